@@ -139,6 +139,9 @@ EMOJI = (
     % {"b": EMOJI_BASE}
 )
 
+# The span all single-character emoji lie in.
+EMOJI_SPAN = r"[\x{a9}\x{ae}\x{203c}-\x{1faff}]"
+
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 # Suffixes counted by the media statistics, and the wider set that marks a

@@ -41,10 +41,10 @@ def vocabularies(languages: Sequence[str] = DEFAULT_LANGUAGES) -> dict[str, tupl
 
 
 def vote_counts(words: Column, lists: Mapping[str, Sequence[str]]) -> dict[str, Column]:
-    return {
-        lang: F.size(F.filter(words, lambda w, v=lists[lang]: w.isin(list(v))))
-        for lang in sorted(lists)
-    }
+    def votes(listed: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(listed)))
+
+    return {lang: votes(list(lists[lang])) for lang in sorted(lists)}
 
 
 def winning_language(votes: Mapping[str, Column]) -> Column:

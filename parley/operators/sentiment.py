@@ -54,73 +54,68 @@ def sentiment_label(score: Column) -> Column:
     )
 
 
+def _one_of(word: Column, *names: str) -> Column:
+    return F.coalesce(word.isin(*names), F.lit(False))
+
+
+def _look_back(words: Column, values: Column, i: Column, v: Column, n: Column, boost: Callable) -> Column:
+    """Valence ``v`` of word i after looking at the n-th word before it."""
+    word = F.get(words, i - n)
+    damping = F.get(F.array(*map(F.lit, DISTANCE_DAMPING)), n - 1)
+    push = F.coalesce(boost(word), F.lit(0.0)) * damping
+    boosted = v + F.when(v < 0, -push).otherwise(push)
+    b1, b2 = F.get(words, i - 1), F.get(words, i - 2)
+    near = ((n >= 2) & _one_of(b1, "so", "this")) | ((n == 3) & _one_of(b2, "so", "this"))
+    sure = ((n >= 2) & _one_of(b1, "doubt")) | ((n == 3) & _one_of(b2, "doubt"))
+    turned = (
+        F.when(_one_of(word, "never") & near, boosted * NEVER_SO)
+        .when(_one_of(word, "without") & sure, boosted)
+        .when(_one_of(word, *NEGATIONS), boosted * NEGATE)
+        .otherwise(boosted)
+    )
+    # only words outside the lexicon modify
+    modifies = word.isNotNull() & F.get(values, i - n).isNull()
+    return F.when(modifies, turned).otherwise(v)
+
+
 def _adjusted(words: Column, values: Column, i: Column, boost: Callable) -> Column:
     """Valence of word i after looking at the three words before it."""
     value = F.get(values, i)
-    word = F.get(words, i)
-    back = [F.get(words, i - n) for n in (1, 2, 3)]
-    plain = [b.isNotNull() & F.get(values, i - n).isNull() for n, b in enumerate(back, start=1)]
-    negated = [F.coalesce(b.isin(NEGATIONS), F.lit(False)) for b in back]
-    so_this = [F.coalesce(b.isin("so", "this"), F.lit(False)) for b in back]
-    doubt = [F.coalesce(b == "doubt", F.lit(False)) for b in back]
-    never = [F.coalesce(b == "never", F.lit(False)) for b in back]
-    without = [F.coalesce(b == "without", F.lit(False)) for b in back]
-    is_no = [F.coalesce(b == "no", F.lit(False)) for b in back]
-
+    b1, b2, b3 = (F.get(words, i - n) for n in (1, 2, 3))
     # "no": a mere determiner before another lexicon word, else a negation
-    v = F.when((word == "no") & F.get(values, i + 1).isNotNull(), F.lit(0.0)).otherwise(value)
-    v = F.when(is_no[0] | is_no[1] | (is_no[2] & back[0].isin("or", "nor")), value * NEGATE).otherwise(v)
-
-    for n in range(3):
-        push = F.coalesce(boost(back[n]), F.lit(0.0)) * DISTANCE_DAMPING[n]
-        boosted = v + F.when(v < 0, -push).otherwise(push)
-        if n == 0:
-            turned = F.when(negated[0], boosted * NEGATE).otherwise(boosted)
-        else:
-            near = so_this[0] if n == 1 else so_this[0] | so_this[1]
-            sure = doubt[0] if n == 1 else doubt[0] | doubt[1]
-            turned = (
-                F.when(never[n] & near, boosted * NEVER_SO)
-                .when(without[n] & sure, boosted)
-                .when(negated[n], boosted * NEGATE)
-                .otherwise(boosted)
-            )
-        v = F.when(plain[n], turned).otherwise(v)
-
+    no_before = _one_of(b1, "no") | _one_of(b2, "no") | (_one_of(b3, "no") & _one_of(b1, "or", "nor"))
+    determiner = (F.get(words, i) == "no") & F.get(values, i + 1).isNotNull()
+    start = F.when(no_before, value * NEGATE).when(determiner, F.lit(0.0)).otherwise(value)
     # "least" negates, but not in "at least" / "very least"
-    least = plain[0] & F.coalesce(back[0] == "least", F.lit(False))
-    excused = F.coalesce(back[1].isin("at", "very"), F.lit(False))
-    return F.when(least & ~excused, v * NEGATE).otherwise(v)
+    least = _one_of(b1, "least") & F.get(values, i - 1).isNull() & ~_one_of(b2, "at", "very")
+    # aggregate() binds the running value, so that each step computes it once
+    return F.aggregate(
+        F.array(F.lit(1), F.lit(2), F.lit(3)),
+        start,
+        lambda v, n: _look_back(words, values, i, v, n, boost),
+        lambda v: F.when(least, v * NEGATE).otherwise(v),
+    )
 
 
-def total_valence(words: Column, values: Column) -> Column:
+def total_valence(words: Column, values: Column, but_at: Column) -> Column:
     """Sum of the adjusted valences of a token array, not yet normalised.
 
-    Both arguments should be plain columns: they are referenced many times.
+    ``but_at`` is the index of the first "but" or -1.  All arguments must be
+    plain columns: they are read for every token.
     """
     boosters = {w: BOOST for w in INTENSIFIERS} | {w: -BOOST for w in DAMPENERS}
-    find = word_lookup(boosters, "double")
-
-    def boost(word: Column) -> Column:
-        return F.when(word.isNotNull(), find(word))
-
-    but_at = F.array_position(words, "but") - 1
+    boost = word_lookup(boosters, "double")
 
     def valence(value: Column, i: Column) -> Column:
-        word = F.get(words, i)
-        hit = value.isNotNull() & find(word).isNull()
-        adjusted = _adjusted(words, values, i, boost)
         contrast = (
             F.when((but_at >= 0) & (i < but_at), BEFORE_BUT)
             .when((but_at >= 0) & (i > but_at), AFTER_BUT)
             .otherwise(1.0)
         )
-        return F.when(hit, adjusted * contrast).otherwise(0.0)
+        counts = value.isNotNull() & boost(F.get(words, i)).isNull()
+        return F.when(counts, _adjusted(words, values, i, boost) * contrast).otherwise(0.0)
 
-    total = F.aggregate(
-        F.transform(values, valence), F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0))
-    )
-    return total
+    return F.aggregate(F.transform(values, valence), F.lit(0.0), lambda acc, v: acc + v)
 
 
 def normalise_score(total: Column) -> Column:
@@ -142,10 +137,12 @@ def sentiment_lexicon(
     words = T.split_on_space(F.coalesce(F.col("cleaned_message"), F.lit("")))
     prepared = computed_once(messages, "_tokens", words)
     valued = values_for_tokens(prepared, lexicon, row_key, "_values", "double", tokens="_tokens")
-    total = total_valence(F.col("_tokens"), F.col("_values"))
+    valued = computed_once(valued, "_values", F.col("_values"))
+    valued = computed_once(valued, "_but_at", F.array_position("_tokens", "but") - 1)
+    total = total_valence(F.col("_tokens"), F.col("_values"), F.col("_but_at"))
     scored = computed_once(valued, "_total", total)
     scored = scored.withColumn("sentiment_score", normalise_score(F.col("_total")))
-    return _with_labels(scored.drop("_tokens", "_values", "_total"))
+    return _with_labels(scored.drop("_tokens", "_values", "_but_at", "_total"))
 
 
 def sentiment_model(

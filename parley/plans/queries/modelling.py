@@ -71,16 +71,16 @@ def topics_embedding(spark, d):
 @query(
     "topic_scores_rule",
     """WITH p AS (SELECT vec_id, label, CASE WHEN vec_id % 10 = 0 THEN NULL ELSE embedding[1:5] END AS probs FROM embeddings)
-SELECT vec_id, CAST(round(CASE WHEN probs IS NULL THEN 1.0 ELSE probs[least(label, 4) + 1] END, 5) AS DOUBLE) AS topic_score FROM p""",
+SELECT vec_id, round(CASE WHEN probs IS NULL THEN CAST(1 AS DOUBLE) ELSE CAST(probs[least(label, 4) + 1] AS DOUBLE) END, 5) AS topic_score FROM p""",
 )
 def topic_scores_rule(spark, d):
     rows = load(spark, d, "embeddings").select(
         "vec_id",
         "label",
-        F.when(F.col("vec_id") % 10 != 0, F.slice("embedding", 1, 5)).alias("probs"),
+        F.when(F.col("vec_id") % 10 != 0, F.slice(F.col("embedding").cast("array<double>"), 1, 5)).alias("probs"),
     )
     score = topics.topic_scores_rule(F.col("probs"), F.col("label"))
-    return rows.select("vec_id", F.round(score.cast("double"), 5).alias("topic_score"))
+    return rows.select("vec_id", F.round(score, 5).alias("topic_score"))
 
 
 @query(

@@ -14,7 +14,7 @@ _AGG = """, ag AS (SELECT em.group_name, em.author, em.topic_id, any_value(gt.to
   avg(topic_score) AS score, count(topic_score) AS n FROM em JOIN gt USING (group_name, topic_id)
   GROUP BY em.group_name, em.author, em.topic_id),
 tt AS (SELECT group_name, author,
-  string_agg(topic_label || '=' || format('{:.3f}', score), '|' ORDER BY n DESC, topic_id) AS top_topics
+  string_agg(topic_label || '=' || format('{:.6f}', score), '|' ORDER BY n DESC, topic_id) AS top_topics
   FROM ag GROUP BY group_name, author)"""
 
 
@@ -22,7 +22,7 @@ def _flat_topics(column: str = "top_topics"):
     shown = F.transform(
         column,
         lambda t: F.concat(
-            t["label"], F.lit("="), F.call_function("format_number", t["score"], F.lit("0.000"))
+            t["label"], F.lit("="), F.call_function("format_number", t["score"], F.lit("0.000000"))
         ),
     )
     return F.array_join(shown, "|").alias("top_topics")

@@ -36,7 +36,7 @@ def time_text(column: str):
 
 def event_columns(events: DataFrame) -> DataFrame:
     """Works on a batch and on a stream of the events table."""
-    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("value") - 20) / 40))
+    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("value") - 20) / 37))
     kind = F.when(F.col("event_type") == "view", "media").when(F.col("event_type") == "error", "system")
     return events.select(
         F.col("ts").alias("timestamp"),
@@ -48,7 +48,7 @@ def event_columns(events: DataFrame) -> DataFrame:
         score.alias("sentiment_score"),
         sentiment_label(score).alias("sentiment_label"),
         (F.col("event_id") % 5).cast("int").alias("topic_id"),
-        (0.5 + (F.col("event_id") % 50) / 100).alias("topic_score"),
+        (0.5 + (F.col("event_id") % 47) / 97).alias("topic_score"),
     )
 
 
@@ -62,9 +62,9 @@ em0 AS (
          event_type || ' ' || event_id AS message,
          CASE event_type WHEN 'view' THEN 'media' WHEN 'error' THEN 'system' ELSE 'text' END AS msg_type,
          'g' || (event_id % 3) AS group_name, event_id AS seq,
-         greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), (value - 20) / 40)) AS sentiment_score,
+         greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), (value - 20) / 37)) AS sentiment_score,
          CAST(event_id % 5 AS INTEGER) AS topic_id,
-         CAST(0.5 AS DOUBLE) + (event_id % 50) / CAST(100 AS DOUBLE) AS topic_score
+         CAST(0.5 AS DOUBLE) + (event_id % 47) / CAST(97 AS DOUBLE) AS topic_score
   FROM events),
 em AS (
   SELECT *, CASE WHEN sentiment_score > 0.05 THEN 'positive'
