@@ -53,15 +53,9 @@ def weekday_name(number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, WEEKDAYS)), (number + 1).cast("int"))
 
 
-def epoch_seconds(ts: Column) -> Column:
-    """Seconds since 1970 as a double, for plain and zoned timestamps (UTC session)."""
-    return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
-
-
 def whole_days(start: Column, end: Column) -> Column:
     """Full 24-hour periods between two times, at least 1."""
-    span = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-    days = F.floor(span / F.lit(86_400_000_000)).cast("bigint")
+    days = F.extract(F.lit("DAY"), end - start).cast("bigint")
     return F.greatest(days, F.lit(1).cast("bigint"))
 
 

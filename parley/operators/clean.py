@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.functions.lookup import word_lookup
-from parley.functions.once import computed_once, unnest
+from parley.functions.once import computed_once
 from parley.operators import language as L
 from parley.session import attach, checkpointed, measure
 
@@ -67,14 +67,13 @@ def remove_stopwords(
 def stopword_anti(
     messages: DataFrame, stop: DataFrame, row_key: Sequence[str], tokens: str = "tokens"
 ) -> DataFrame:
-    """Token rows not in a stop-word *table* of any size: ``word`` is its column.
+    """Token rows (row_key, pos, word) not in a stop-word *table* of any size.
 
-    Tokens are counted per message before the join, so a frequent word is one
-    row per message.
+    With a small table this is a broadcast join and nothing is shuffled.
     """
-    exploded = unnest(messages, row_key, tokens, "word")
-    counted = exploded.groupBy(*row_key, "word").agg(F.count(F.lit(1)).alias("n"))
-    marked = attach(counted, stop.select("word").distinct().withColumn("_stop", F.lit(True)), ["word"])
+    exploded = messages.select(*row_key, F.posexplode_outer(tokens).alias("pos", "word"))
+    exploded = exploded.filter(F.col("word").isNotNull())
+    marked = attach(exploded, stop.select("word").distinct().withColumn("_stop", F.lit(True)), ["word"])
     return marked.filter(F.col("_stop").isNull()).drop("_stop")
 
 

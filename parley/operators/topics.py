@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
-from parley.functions.once import unnest
+from parley.functions.once import computed_once, unnest
 from parley.operators.temporal import fill_slots
 from parley.session import attach, checkpointed
 
@@ -32,30 +32,31 @@ def feature_tokens(text: Column) -> Column:
 def vocabulary(
     messages: DataFrame, max_features: int = MAX_FEATURES, tokens: str = "_terms"
 ) -> list[tuple[str, float]]:
-    """The most frequent terms with their idf, ln((1+n)/(1+df)) + 1.
+    """The most frequent terms with their idf, ln((1+n)/(1+df)) + 1.  Ties by term.
 
-    At most ``max_features`` rows reach the driver.  Ties by term.
+    One pass over the texts counts occurrences, messages per term and, under
+    the null term, all messages.  At most ``max_features`` + 1 rows reach the
+    driver.
     """
-    per_message = unnest(messages, [], tokens, "term")
-    frequent = (
-        per_message.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "term")
-        .limit(max_features)
+    row = lambda term, cf, df: F.struct(
+        term.alias("term"), F.lit(cf).alias("cf"), F.lit(df).alias("df")
     )
-    terms = sorted(row["term"] for row in frequent.collect())
-    if not terms:
-        return []
-    in_list = F.filter(F.array_distinct(tokens), lambda w: w.isin(terms))
-    df = {
-        r["term"]: r["df"]
-        for r in unnest(messages, [], in_list, "term")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
+    entries = F.concat(
+        F.array(row(F.lit(None).cast("string"), 0, 1)),
+        F.transform(tokens, lambda t: row(t, 1, 0)),
+        F.transform(F.array_distinct(tokens), lambda t: row(t, 0, 1)),
+    )
+    counted = (
+        unnest(messages, [], entries, "e")
+        .groupBy("e.term")
+        .agg(F.sum("e.cf").alias("cf"), F.sum("e.df").alias("df"))
+        .orderBy(F.col("term").isNotNull(), F.desc("cf"), "term")
+        .limit(max_features + 1)
         .collect()
-    }
-    n = messages.count()
-    return [(t, math.log((1 + n) / (1 + df[t])) + 1) for t in terms]
+    )
+    n = sum(r["df"] for r in counted if r["term"] is None)
+    terms = {r["term"]: r["df"] for r in counted if r["term"] is not None}
+    return [(t, math.log((1 + n) / (1 + terms[t])) + 1) for t in sorted(terms)]
 
 
 def tfidf_vectors(
@@ -68,7 +69,7 @@ def tfidf_vectors(
 
     After the two vocabulary counts everything is a per-row projection.
     """
-    prepared = messages.withColumn("_terms", feature_tokens(F.col(text)))
+    prepared = computed_once(messages, "_terms", feature_tokens(F.col(text)))
     terms = vocabulary(prepared, max_features)
     if not terms:
         raise ValueError("empty vocabulary: no message has a usable word")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import patterns as P
 from parley.functions import text as T
+from parley.functions.once import computed_once
 from parley.operators import clean, language
 from parley.operators.parse import classify_messages
 from parley.plans.queries.registry import bundled_list, query, sql_list, sql_string
@@ -56,7 +57,8 @@ def lower_strip_punct(spark, d):
     + "SELECT seq, CAST(len(ws) AS INTEGER) AS n_tokens, md5(array_to_string(ws, ' ')) AS tokens_md5 FROM t",
 )
 def tokenize(spark, d):
-    rows = document_messages(spark, d).select("seq", clean.words_of(F.col("message")).alias("ws"))
+    words = clean.words_of(F.col("message"))
+    rows = computed_once(document_messages(spark, d).select("seq", "message"), "ws", words)
     return rows.select("seq", F.size("ws").alias("n_tokens"), F.md5(F.array_join("ws", " ")).alias("tokens_md5"))
 
 
@@ -93,9 +95,11 @@ def stopword_language_fallback(spark, d):
 SELECT seq, word, count(*) AS n FROM t WHERE NOT list_contains({sql_list(bundled_list('english'))}, word) GROUP BY ALL""",
 )
 def stopword_anti(spark, d):
-    rows = document_messages(spark, d).select("seq", clean.words_of(F.col("message")).alias("tokens"))
+    words = clean.words_of(F.col("message"))
+    rows = computed_once(document_messages(spark, d).select("seq", "message"), "tokens", words)
     stop = spark.createDataFrame([(w,) for w in language.stopwords("en")], "word string")
-    return clean.stopword_anti(rows, stop, ["seq"])
+    kept = clean.stopword_anti(rows, stop, ["seq"])
+    return kept.groupBy("seq", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 # lemmas: the hundred most frequent words lose their last letter
@@ -114,7 +118,8 @@ SELECT seq, string_agg(coalesce(lemma, u.word), ' ' ORDER BY i) AS text FROM u L
 )
 def lemmatize(spark, d):
     words = clean.drop_stopwords(clean.words_of(F.col("message")), ())
-    rows = document_messages(spark, d).select("seq", words.alias("tokens")).filter(F.size("tokens") > 0)
+    rows = computed_once(document_messages(spark, d).select("seq", "message"), "tokens", words)
+    rows = rows.drop("message").filter(F.size("tokens") > 0)
     from parley.operators.topics import word_frequency
 
     top = word_frequency(
@@ -132,7 +137,8 @@ def lemmatize(spark, d):
     + "SELECT seq, CAST(n AS INTEGER) AS n FROM t WHERE n >= 50",
 )
 def min_words_filter(spark, d):
-    rows = document_messages(spark, d).select("seq", clean.words_of(F.col("message")).alias("tokens"))
+    words = clean.words_of(F.col("message"))
+    rows = computed_once(document_messages(spark, d).select("seq", "message"), "tokens", words)
     return clean.min_words_filter(rows, 50).select("seq", F.size("tokens").alias("n"))
 
 
@@ -232,7 +238,6 @@ def avg_message_length(spark, d):
 SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM t) GROUP BY word ORDER BY n DESC, word LIMIT 80""",
 )
 def word_frequency(spark, d):
-    from parley.functions.once import computed_once
     from parley.operators.topics import word_frequency as frequency
 
     words = clean.remove_stopwords(clean.words_of(F.col("message")), F.col("true_lang"))
@@ -247,7 +252,6 @@ c AS (SELECT group_name, word, count(*) AS n FROM (SELECT group_name, unnest(ws)
 SELECT group_name, word, n FROM (SELECT *, row_number() OVER (PARTITION BY group_name ORDER BY n DESC, word) AS rn FROM c) WHERE rn <= 15""",
 )
 def word_frequency_by_group(spark, d):
-    from parley.functions.once import computed_once
     from parley.operators.topics import word_frequency as frequency
 
     words = clean.remove_stopwords(clean.words_of(F.col("message")), F.col("true_lang"))

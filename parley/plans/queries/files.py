@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 from collections.abc import Iterator
 
@@ -48,22 +47,25 @@ def _zip_partition(folder: str):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        data = io.BytesIO()
+        batch = next(batches, None)
+        if batch is None:
+            return
+        # a repeated task writes the same file again
+        path = f"{folder}/part-{TaskContext.get().partitionId():05d}.zip"
+        filesystem, local = open_filesystem(path)
         count = 0
-        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        with (
+            filesystem.open_output_stream(local) as out,
+            zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive,
+        ):
             with archive.open("_chat.txt", "w") as member:
-                for batch in batches:
+                while batch is not None:
                     for line in batch["line"]:
                         member.write((line + "\n").encode("utf-8"))
-                        count += 1
+                    count += len(batch)
+                    batch = next(batches, None)
             archive.writestr("photo.jpg", b"0" * 100)
-        if count:
-            # a repeated task writes the same name again
-            path = f"{folder}/part-{TaskContext.get().partitionId():05d}.zip"
-            filesystem, local = open_filesystem(path)
-            with filesystem.open_output_stream(local) as out:
-                out.write(data.getvalue())
-            yield pd.DataFrame({"path": [path], "lines": [count]})
+        yield pd.DataFrame({"path": [path], "lines": [count]})
 
     return write
 

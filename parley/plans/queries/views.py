@@ -14,6 +14,7 @@ from parley.functions import patterns as P
 from parley.operators.language import vocabularies
 from parley.operators.sentiment import sentiment_label
 from parley.operators.topics import topic_weights
+from parley.session import spread
 from parley.plans.queries.registry import bundled_list, sql_list, sql_string
 
 LANGUAGES = {"de": "german", "en": "english", "es": "spanish", "fr": "french"}
@@ -125,7 +126,7 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = text.when(slot == number, notice)
     minutes = ((F.col("conv_id") * 37 + F.col("turn")) % 1_000_000).cast("int")
     start = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
-    return load(spark, sf_dir, "conversations").select(
+    return spread(load(spark, sf_dir, "conversations"), "conv_id", "turn").select(
         (start + F.make_dt_interval(F.lit(0), F.lit(0), minutes)).alias("timestamp"),
         F.concat_ws("_", "role", F.col("conv_id") % 7).alias("author"),
         text.otherwise(F.col("text")).alias("message"),
@@ -183,7 +184,7 @@ CHAT_TYPED = CHAT + f", cm AS (SELECT *, {msg_type_sql('message')} AS msg_type F
 def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = (F.col("doc_id") % 1_000_000).cast("int")
     start = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
-    return load(spark, sf_dir, "documents").select(
+    return spread(load(spark, sf_dir, "documents"), "doc_id").select(
         (start + F.make_dt_interval(F.lit(0), F.lit(0), minutes)).alias("timestamp"),
         F.concat(F.lit("a"), F.col("doc_id") % 20).alias("author"),
         F.col("text").alias("message"),

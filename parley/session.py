@@ -73,6 +73,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give an input with fewer splits than cores one part per core.
+
+    A large table has far more splits than cores and is left alone: no shuffle.
+    A small one, such as a single file with one row group, would otherwise do
+    all text work in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def measure(df: DataFrame) -> tuple[int, int]:
     """Row count and rough size in bytes of an already materialised result."""
     width = F.octet_length(F.to_json(F.struct(*df.columns)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.text import file_stem, file_suffix
 from parley.operators.media import find_media_dir, keep_media
-from parley.session import ship_package
+from parley.session import attach, ship_package
 from parley.sources.blocks import message_blocks
 from parley.sources.listing import ChatFiles, open_filesystem
 
@@ -102,41 +102,81 @@ def export_files(listing: DataFrame) -> DataFrame:
     return plain.unionByName(inside)
 
 
-def _rank(name: Column) -> Column:
-    """Order in which text files are tried: smaller is better."""
-    return F.struct(
-        (~F.lower(name).contains("_chat")).alias("a"), (~name.contains("chat")).alias("b"), name.alias("c")
-    )
+def _chat_order(name: str) -> tuple:
+    """Order in which text files are tried: ``_chat`` first, then ``chat``, then by name."""
+    return "_chat" not in name.lower(), "chat" not in name, name
 
 
-def choose_chat_files(listing: DataFrame) -> DataFrame:
-    """One row per export: its chat file, or the reason there is none.
+def _choose_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The chat text of each archive, or the reason there is none."""
+    columns = ["root", "path", "member", "length", "error"]
+    for members in _archive_members(batches):
+        rows = []
+        for (root, path), inside in members.groupby(["root", "path"], sort=False):
+            broken = inside["error"].dropna()
+            if len(broken):
+                rows.append((root, path, None, None, broken.iloc[0]))
+                continue
+            top = inside[(inside["depth"] == 1) & inside["member"].str.endswith(".txt")]
+            best = min(top["member"], key=_chat_order, default=None)
+            if best is None:
+                rows.append((root, path, None, None, f"No chat text found in: {root}"))
+            else:
+                length = int(top.loc[top["member"] == best, "length"].iloc[0])
+                rows.append((root, path, best, length, None))
+        yield pd.DataFrame(rows, columns=columns).astype({"length": "Int64"})
 
-    A name with ``_chat`` wins, then one with ``chat``, then the first by name.
-    """
-    files = export_files(listing)
-    name = F.coalesce(F.col("name"), F.lit(""))
-    in_place = (F.col("kind") == "txt") | ((F.col("depth") == 1) & name.endswith(".txt"))
-    usable = F.col("error").isNull() & (name != "") & in_place
-    best = F.struct("path", "member", "length")
-    chosen = files.groupBy("root", "kind").agg(
-        F.min_by(F.when(usable, best), F.when(usable, _rank(F.col("name")))).alias("f"),
-        F.max("error").alias("error"),
+
+CHOSEN = ["root", "kind", "group_name", "path", "member", "length", "error"]
+
+
+def chat_of_archives(listing: DataFrame) -> DataFrame:
+    """One row per archive.  Works on a batch and on a stream."""
+    archives = listing.filter(F.col("kind") == "zip").select("root", "path")
+    schema = "root string, path string, member string, length bigint, error string"
+    found = archives.mapInPandas(_choose_members, schema)
+    return found.withColumns(
+        {"kind": F.lit("zip"), "group_name": file_stem(F.col("root"))}
+    ).select(*CHOSEN)
+
+
+def chat_of_texts(listing: DataFrame) -> DataFrame:
+    """One row per text file given as an export, and per unusable input."""
+    single = (F.col("kind") == "txt") | F.col("kind").isNull()
+    return (
+        listing.filter(single)
+        .withColumns({"group_name": file_stem(F.col("root")), "member": F.lit(None).cast("string")})
+        .select(*CHOSEN)
     )
-    stem = file_stem(F.col("root"))
-    whole_name = F.regexp_extract("root", r"([^/]*)/*$", 1)
-    missing = F.when(
-        F.col("f").isNull() & F.col("error").isNull(),
-        F.concat(F.lit("No chat text found in: "), F.col("root")),
+
+
+def chat_of_folders(listing: DataFrame) -> DataFrame:
+    """One row per folder."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    order = F.struct(~F.lower(name).contains("_chat"), ~name.contains("chat"), name)
+    usable = (F.col("depth") == 1) & name.endswith(".txt")
+    chosen = (
+        listing.filter(F.col("kind") == "dir")
+        .groupBy("root", "kind")
+        .agg(F.min_by(F.struct("path", "length"), F.when(usable, order)).alias("f"))
     )
     return chosen.select(
         "root",
         "kind",
-        F.when(F.col("kind") == "dir", whole_name).otherwise(stem).alias("group_name"),
+        F.regexp_extract("root", r"([^/]*)/*$", 1).alias("group_name"),
         "f.path",
-        "f.member",
+        F.lit(None).cast("string").alias("member"),
         "f.length",
-        F.coalesce("error", missing).alias("error"),
+        F.when(F.col("f").isNull(), F.concat(F.lit("No chat text found in: "), F.col("root"))).alias("error"),
+    )
+
+
+def choose_chat_files(listing: DataFrame) -> DataFrame:
+    """One row per export: its chat file, or the reason there is none."""
+    return (
+        chat_of_texts(listing)
+        .unionByName(chat_of_archives(listing))
+        .unionByName(chat_of_folders(listing))
     )
 
 
@@ -240,7 +280,5 @@ def media_files(listing: DataFrame) -> DataFrame:
         "path", F.concat_ws("!/", "path", F.when(F.col("member") != "", F.col("member")))
     )
     folders = find_media_dir(located).select("root", F.col("media_dir").alias("parent"))
-    # one folder per export: small next to the files, and a plain equi join
-    return keep_media(located.join(folders, ["root", "parent"], "left_semi")).select(
-        "root", "path", "length"
-    )
+    inside = attach(keep_media(located), folders, ["root", "parent"], "inner")
+    return inside.select("root", "path", "length")

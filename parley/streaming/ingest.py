@@ -8,10 +8,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions.text import file_stem
 from parley.operators.clean import clean_messages
 from parley.operators.parse import parse_exports
-from parley.sources.exports import BLOCK_BYTES, read_chat_files, register
+from parley.sources.exports import (
+    BLOCK_BYTES,
+    chat_of_archives,
+    chat_of_texts,
+    read_chat_files,
+    register,
+)
 
 
 def stream_exports(
@@ -20,7 +25,7 @@ def stream_exports(
     settle: float = 0.0,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Text blocks of every text file that appears in the landing folders.
+    """Text blocks of every text file and archive that appears in the landing folders.
 
     Each file is one export named by its stem.  All steps are per row, so no
     state is kept; a file is read whole, by byte ranges.
@@ -31,17 +36,9 @@ def stream_exports(
         .option("landing", json.dumps([str(p) for p in landing]))
         .option("settle", str(settle))
         .load()
-        .filter((F.col("kind") == "txt") & F.col("error").isNull())
-    )
-    chosen = listing.select(
-        "root",
-        "kind",
-        file_stem(F.col("root")).alias("group_name"),
-        "path",
-        F.lit(None).cast("string").alias("member"),
-        "length",
-        "error",
     )
+    chosen = chat_of_texts(listing).unionByName(chat_of_archives(listing))
+    chosen = chosen.filter(F.col("error").isNull())
     return read_chat_files(chosen, block_bytes)
 
 

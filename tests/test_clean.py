@@ -76,7 +76,7 @@ def test_stopword_table(spark):
     rows = spark.createDataFrame([(1, ["a", "le", "le", "b", "b"])], "id int, tokens array<string>")
     stop = spark.createDataFrame([("le",), ("le",)], "word string")
     got = clean.stopword_anti(rows, stop, ["id"]).collect()
-    assert {(r["word"], r["n"]) for r in got} == {("a", 1), ("b", 2)}
+    assert {(r["pos"], r["word"]) for r in got} == {(0, "a"), (3, "b"), (4, "b")}
 
 
 def test_corpus_language(spark):

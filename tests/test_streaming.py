@@ -1,4 +1,6 @@
 
+import zipfile
+
 from parley.operators.clean import clean_messages
 from parley.operators.parse import parse_exports
 from parley.sources.exports import read_exports
@@ -25,7 +27,8 @@ def test_new_files_are_taken_once(spark, tmp_path):
     make = lambda: stream_messages(spark, [str(landing)], lang="fr", min_words=1)
     run(make(), target, state)
     first = spark.read.parquet(target).count()
-    (landing / "Famille.txt").write_text(IOS, encoding="utf-8")
+    with zipfile.ZipFile(landing / "Famille.zip", "w") as z:
+        z.writestr("_chat.txt", IOS)
     run(make(), target, state)
     got = spark.read.parquet(target)
     assert first == 4 and got.count() == 7
