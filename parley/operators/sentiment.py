@@ -277,8 +277,9 @@ def sentiment_histogram(
     )
     # equal scores are counted before they meet the ranges
     values = scored.groupBy(*keys, "sentiment_score").agg(F.count(F.lit(1)).alias("n"))
+    place = (F.col("sentiment_score") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     binned = attach(values, ranges, list(keys), how="inner").withColumn(
-        "bin", F.least(F.width_bucket("sentiment_score", "lo", "hi", F.lit(bins)), F.lit(bins)).cast("int")
+        "bin", F.least(F.floor(place * bins) + 1, F.lit(bins)).cast("int")
     )
     return binned.groupBy(*keys, "bin").agg(
         F.sum("n").alias("messages"),
