@@ -106,6 +106,16 @@ EXTENDED_MEDIA_NOTICES = [r"<attached:", r"^poll:", r"^option:", r"<this message
 EXTENDED_SYSTEM_NOTICES = [r"disappearing messages", r"messages éphémères"]
 INVISIBLE_MARKS = r"[\x{200e}\x{200f}\x{202a}-\x{202e}]"
 
+# Every notice above contains one of these, in lower case.
+NOTICE_WORDS = [
+    "omitted", "omis", "encrypted", "chiffr", "learn more", "appuyez", "deleted", "supprim",
+    "ajout", "quitt", "rejoint", "group", "pingl", "added", "joined", "changed", "pinned",
+    "missed", "manqu", "votre code",
+    "<attached", "poll:", "option:", "edited>", "disappearing", "phémères",
+]
+# Letters other than the capitals that match s, k and i when case is ignored.
+CASE_VARIANTS = ("\u017f\u212a\u0130\u0131", "skii")
+
 # Left-overs deleted from message text before tokenising.
 ARTEFACTS = r"<media omitted>|média omis|message deleted|message supprimé"
 

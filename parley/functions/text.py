@@ -59,6 +59,15 @@ def anonymize_phone(text: Column, digits: int = 6) -> Column:
     return F.array_join(joined, "")
 
 
+def fold_case(text: Column) -> Column:
+    return F.lower(F.translate(text, *P.CASE_VARIANTS))
+
+
+def may_be_notice(folded: Column) -> Column:
+    """False for most messages, at a fraction of the cost of the notice patterns."""
+    return F.exists(F.array(*map(F.lit, P.NOTICE_WORDS)), lambda word: F.contains(folded, word))
+
+
 def classify_message(message: Column, extended: bool = False) -> Column:
     """'media' before 'system' before 'text'."""
     media, system = list(P.MEDIA_NOTICES), list(P.SYSTEM_NOTICES)

@@ -89,3 +89,31 @@ def test_the_line_regex_runs_once_per_line(spark):
 def test_lines_without_author_are_dropped(spark, line):
     rows = parsed(spark, f"12/01/2024, 08:14 - A: x\n{line}\n12/01/2024, 08:16 - B: y")
     assert [r["message"] for r in rows] == ["x", "y"]
+
+
+SAMPLES = {
+    "media": [
+        "<Media omitted>", "Média omis", "image omitted", "VIDEO OMITTED", "audio omitted", "sticker omitted",
+        "document omitted", "GIF omitted",
+    ],
+    "system": [
+        "Messages and calls are end-to-end encrypted", "Les messages et les appels sont chiffrés de bout en bout",
+        "Tap to learn more", "Appuyez pour en savoir plus", "This message was deleted", "Ce message a été supprimé",
+        "message deleted", "Message supprimé", "A a ajouté B", "A a quitté", "B a été supprimé", "B a été supprimée",
+        "A a supprimé B", "B a rejoint", "A a créé groupe", "A a créé le groupe x", "B ont été ajoutés",
+        "vous avez été ajouté", "vous avez rejoint", "A a changé le nom du groupe", "A a changé l'intitulé du groupe",
+        "A a changé l'icône du groupe", "A a modifié la description du groupe", "A a épinglé un message", "B was added",
+        "B were added", "B joined using this group's link", "B joined the group", "A created group x",
+        "A created the group", "A changed the subject", "A changed the group's icon", "A changed this group",
+        "A pinned a message", "B was removed from the group", "A removed B from the group", "Missed voice call",
+        "missed video call", "Appel vocal manqué", "APPEL VIDÉO MANQUÉ", "Your security code with B changed",
+        "Votre code de sécurité avec B a changé", "me\u017f\u017fage deleted", "MI\u017f\u017fED VOICE CALL", "p\u0131nned a message",
+    ],
+    "text": ["bonjour", "group", "added", "omis", "j'ai rejoint le groupe", "the subject changed"],
+}
+
+
+def test_no_notice_is_lost_to_the_quick_test(spark):
+    data = [(kind, text) for kind, texts in SAMPLES.items() for text in texts]
+    rows = parse.classify_messages(spark.createDataFrame(data, "want string, message string")).collect()
+    assert [(r["message"], r["msg_type"]) for r in rows if r["msg_type"] != r["want"]] == []
