@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
-from parley.functions.dates import one_decimal, short_date, thousands, whole_days
-from parley.operators.temporal import peak_day, peak_hour
+from parley.functions.dates import one_decimal, short_date, thousands, weekday_name, whole_days
+from parley.operators.temporal import busiest_slot
 from parley.operators.users import author_message_count
 
 
@@ -37,22 +37,37 @@ def stat_cards(raw_messages: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def overview_cards(messages: DataFrame, keys: Sequence[str] = ("group_name",)) -> DataFrame:
-    """Cards over the cleaned messages, with busiest hour and weekday."""
+    """Cards over the cleaned messages, with busiest hour and weekday.
+
+    One aggregation by (weekday, hour) gives everything but the participants.
+    """
+    slots = messages.groupBy(
+        *keys, F.weekday("timestamp").alias("day"), F.hour("timestamp").alias("hour")
+    ).agg(
+        F.count(F.lit(1)).alias("messages"),
+        F.min("timestamp").alias("first_ts"),
+        F.max("timestamp").alias("last_ts"),
+    )
+    packed = slots.groupBy(*keys).agg(
+        F.sum("messages").alias("messages"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        F.collect_list(F.struct("day", "hour", "messages")).alias("_slots"),
+    )
+    people = messages.groupBy(*keys).agg(F.countDistinct("author").alias("participants"))
     days = whole_days(F.col("first_ts"), F.col("last_ts"))
-    cards = _totals(messages, keys).select(
+    hour = busiest_slot("_slots", "hour", 24).cast("string")
+    # one row per group on each side
+    return packed.join(people, list(keys)).select(
         *keys,
         thousands(F.col("messages")).alias("messages"),
         one_decimal(F.col("messages") / days).alias("avg_per_day"),
         F.col("participants").cast("string").alias("participants"),
         short_date(F.col("first_ts")).alias("period_start"),
         short_date(F.col("last_ts")).alias("period_end"),
+        F.concat(F.lpad(hour, 2, "0"), F.lit(":00")).alias("peak_hour"),
+        weekday_name(busiest_slot("_slots", "day", 7)).alias("peak_day"),
     )
-    hour = peak_hour(messages, keys).select(
-        *keys, F.concat(F.lpad(F.col("peak_hour").cast("string"), 2, "0"), F.lit(":00")).alias("peak_hour")
-    )
-    day = peak_day(messages, keys)
-    # one row per group on each side
-    return cards.join(hour, list(keys)).join(day, list(keys))
 
 
 def top_authors(
@@ -122,13 +137,12 @@ def run_summary(
 ) -> DataFrame:
     """Raw and kept rows, authors, topics and positive scores per group."""
     raw = raw_messages.groupBy(*keys).agg(F.count(F.lit(1)).alias("raw_messages"))
-    authors = messages.groupBy(*keys).agg(
+    kept = messages.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("clean_messages"),
         F.countDistinct("author").alias("authors"),
         F.count_if(F.col("sentiment_score") > 0).alias("positive_scores"),
+        # as few values as topics were fitted
+        F.size(F.collect_set("topic_id")).cast("bigint").alias("topics"),
     )
-    topics = messages.select(*keys, "topic_id").distinct().groupBy(*keys).agg(
-        F.count("topic_id").alias("topics")
-    )
-    joined = raw.join(authors, list(keys), "left").join(topics, list(keys), "left")
-    return joined.fillna(0, ["clean_messages", "authors", "positive_scores", "topics"])
+    numbers = ["clean_messages", "authors", "positive_scores", "topics"]
+    return raw.join(kept, list(keys), "left").fillna(0, numbers)

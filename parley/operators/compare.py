@@ -96,9 +96,9 @@ def common_users_long(messages: DataFrame, key: str = "group_name") -> DataFrame
 
 def common_users(messages: DataFrame, key: str = "group_name") -> DataFrame:
     """Authors in two groups or more with the sorted list of their groups."""
-    # pairs are unique, so a list is a set; most authors end before collecting
-    shared = common_users_long(messages, key)
-    return shared.groupBy("author").agg(F.array_sort(F.collect_list(key)).alias("groups"))
+    # pairs are unique, so a list is a set; one row per author is the result itself
+    listed = _authors(messages, key).groupBy("author").agg(F.collect_list(key).alias("groups"))
+    return listed.filter(F.size("groups") > 1).withColumn("groups", F.array_sort("groups"))
 
 
 def common_users_ranked(messages: DataFrame, key: str = "group_name") -> DataFrame:

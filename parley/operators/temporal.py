@@ -35,6 +35,21 @@ def fill_slots(
     return spread.select(*keys, slot, filled.alias(value))
 
 
+def slot_total(slots: str, field: str, value: Column) -> Column:
+    """Messages of the packed slots (array of structs) whose field has the value."""
+    hit = F.filter(slots, lambda s: s[field] == value)
+    return F.aggregate(hit, F.lit(0).cast("bigint"), lambda acc, s: acc + s["messages"])
+
+
+def busiest_slot(slots: str, field: str, n_slots: int) -> Column:
+    """The value 0..n-1 with most messages; ties go to the smallest."""
+    ranked = F.transform(
+        F.sequence(F.lit(0), F.lit(n_slots - 1)),
+        lambda i: F.struct(-slot_total(slots, field, i), i.alias("slot")),
+    )
+    return F.array_min(ranked)["slot"]
+
+
 def timeline_daily(messages: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
     """Messages per calendar day that has any."""
     return messages.groupBy(*keys, F.to_date("timestamp").alias("day")).agg(_count())

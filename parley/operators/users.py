@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.functions.dates import weekday_name
+from parley.operators.temporal import busiest_slot, slot_total
 from parley.session import attach
 
 AUTHOR = ("group_name", "author")
@@ -144,16 +145,8 @@ def user_profiles(
         *([F.sum("_score").alias("_score"), F.sum("_scored").alias("_scored")] if with_sentiment else []),
     )
 
-    def total(field: str, value: Column) -> Column:
-        hit = F.filter("_slots", lambda s: s[field] == value)
-        return F.aggregate(hit, F.lit(0).cast("bigint"), lambda acc, s: acc + s["messages"])
-
     hours = F.array_sort(F.array_distinct(F.transform("_slots", lambda s: s["hour"])))
-    by_hour = F.map_from_entries(F.transform(hours, lambda h: F.struct(h, total("hour", h))))
-    days = F.transform(
-        F.sequence(F.lit(0), F.lit(6)), lambda d: F.struct(-total("_day", d), d.alias("day"))
-    )
-    best_day = F.array_min(days)["day"]
+    by_hour = F.map_from_entries(F.transform(hours, lambda h: F.struct(h, slot_total("_slots", "hour", h))))
     sentiment = (
         F.when(F.col("_scored") > 0, F.col("_score") / F.col("_scored"))
         if with_sentiment
@@ -164,7 +157,7 @@ def user_profiles(
         "message_count",
         (F.col("_words") / F.col("message_count")).alias("avg_message_length"),
         by_hour.alias("activity_hours"),
-        weekday_name(best_day).alias("most_active_day"),
+        weekday_name(busiest_slot("_slots", "_day", 7)).alias("most_active_day"),
         sentiment.alias("sentiment_mean"),
     )
     empty = F.array().cast("array<struct<label:string,score:double>>")

@@ -50,7 +50,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in spark.checkpoint.dir."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder
+        # with its scheme, so that Spark and Python mean the same place
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:

@@ -37,12 +37,18 @@ def open_filesystem(path: str):
     from pyarrow import fs
 
     if "://" in path:
-        return fs.FileSystem.from_uri(path)
+        return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     if path.startswith("file:"):
         path = path[len("file:") :]
     return fs.LocalFileSystem(), os.path.abspath(os.path.expanduser(path))
 
 
+def _scheme(path: str, local: str) -> str:
+    """What to put before paths of the same filesystem, e.g. 'hdfs://host:8020'."""
+    whole = path.rstrip("/").replace("s3a://", "s3://", 1)
+    return whole[: len(whole) - len(local.rstrip("/"))] if "://" in path else ""
+
+
 def _kind(path: str) -> str | None:
     suffix = os.path.splitext(path)[1].lower()
     return {".zip": "zip", ".txt": "txt"}.get(suffix)
@@ -60,24 +66,25 @@ def _list_export(path: str) -> Iterator[tuple]:
     from pyarrow import fs
 
     filesystem, local = open_filesystem(path)
+    scheme = _scheme(path, local)
     info = filesystem.get_file_info(local)
     if info.type == fs.FileType.NotFound:
         yield _row(path, None, path, 0, error=f"Path not found: {path}")
     elif info.type == fs.FileType.Directory:
         for entry in filesystem.get_file_info(fs.FileSelector(local)):
             if entry.type == fs.FileType.File:
-                yield _row(path, "dir", entry.path, 1, entry)
+                yield _row(path, "dir", scheme + entry.path, 1, entry)
             elif entry.type == fs.FileType.Directory:
                 for inner in filesystem.get_file_info(fs.FileSelector(entry.path)):
                     if inner.type == fs.FileType.File:
-                        yield _row(path, "dir", inner.path, 2, inner)
+                        yield _row(path, "dir", scheme + inner.path, 2, inner)
         # keeps an empty folder visible, so that it can be reported
-        yield _row(path, "dir", local + "/", 0)
+        yield _row(path, "dir", scheme + local + "/", 0)
     elif _kind(local) is None:
         suffix = os.path.splitext(local)[1]
-        yield _row(path, None, local, 0, info, f"Unsupported format: {suffix!r}")
+        yield _row(path, None, scheme + local, 0, info, f"Unsupported format: {suffix!r}")
     else:
-        yield _row(path, _kind(local), local, 0, info)
+        yield _row(path, _kind(local), scheme + local, 0, info)
 
 
 def _list_landing(folder: str) -> Iterator[str]:
@@ -86,7 +93,7 @@ def _list_landing(folder: str) -> Iterator[str]:
     filesystem, local = open_filesystem(folder)
     for entry in filesystem.get_file_info(fs.FileSelector(local)):
         if entry.type == fs.FileType.Directory or _kind(entry.path):
-            yield entry.path
+            yield _scheme(folder, local) + entry.path
 
 
 class _Paths(InputPartition):

@@ -48,6 +48,13 @@ def test_each_input_kind(spark, tree):
     assert "not found" in got["missing.txt"]["error"]
 
 
+def test_uris_keep_their_scheme(spark, tree):
+    got = chosen(spark, f"file://{tree}/Etudes", f"file://{tree}/Famille.zip")
+    assert got["Etudes"]["path"] == f"file://{tree}/Etudes/Export_Chat.txt"
+    blocks = exports.read_exports(spark, landing=[f"file://{tree}/"])
+    assert {r["group_name"] for r in parse_exports(blocks).collect()} == {"_chat", "Etudes", "Famille"}
+
+
 def test_bad_inputs_are_skipped_unless_all_are_bad(spark, tree):
     good = exports.choose_chat_files(
         exports.list_exports(spark, [str(tree / "bad.zip"), str(tree / "_chat.txt")])

@@ -106,3 +106,29 @@ def test_media_and_days(spark):
     rows = spark.createDataFrame(data, "group_name string, author string, timestamp timestamp_ntz, msg_type string")
     row = users.media_and_days(rows).first()
     assert (row["media_count"], row["active_days"]) == (2, 2)
+
+
+def test_a_hot_group_and_author(spark):
+    """A third of all rows in one group and with one author: same results, and
+    only counts per author, weekday and hour meet in one task."""
+    from pyspark.sql import functions as F
+
+    from parley.operators import compare
+
+    hot = F.col("id") % 3 == 0
+    rows = spark.range(30_000).select(
+        F.when(hot, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("group_name"),
+        F.when(hot & (F.col("id") % 2 == 0), "busy").otherwise(F.concat(F.lit("a"), F.col("id") % 997)).alias("author"),
+        (F.expr("timestamp_ntz'2024-01-01'") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") % 40_000).cast("int"))).alias(
+            "timestamp"
+        ),
+        F.array(F.lit("x")).alias("tokens"),
+    )
+    profiles = {(r["group_name"], r["author"]): r["message_count"] for r in users.user_profiles(rows).collect()}
+    assert profiles["hot", "busy"] == 5000 and sum(profiles.values()) == 30_000
+    top = users.user_activity_topn(rows, 3).filter("group_name = 'hot'").collect()
+    assert top[-1]["author"] == "busy" and len(top) == 3
+    activity = {r["group_name"]: r["nb_messages"] for r in compare.compare_activity(rows).collect()}
+    assert activity["hot"] == 10_000
+    plan = users.user_profiles(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "Cartesian" not in plan
