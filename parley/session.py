@@ -54,12 +54,10 @@ def shared_folder(spark: SparkSession) -> str:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    folder = tempfile.mkdtemp(prefix="parley-")  # single machine, e.g. tests
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if sc.getCheckpointDir() is None:
+        # the setting is absent: a single machine, e.g. tests
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="parley-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -71,7 +69,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     result does not run the plan behind it again and survives lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
+        folder = shared_folder(df.sparkSession)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
