@@ -1,5 +1,6 @@
 import glob
 import os
+import re
 import subprocess
 import sys
 
@@ -14,6 +15,7 @@ def test_contract():
 
     names, texts = set(entry.queries()), set(entry.oracle_sql())
     assert texts <= names
+    names -= {name for name in names if re.match(r"op\d+_|pipeline$", name)}
     assert names - texts == {"topics_lda", "topic_top_words", "topics_embedding"}
 
 
