@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import chats, decontaminate, jaccard, mixing, sharding, substrings
+from parley.llm import chats, decontaminate, hamming, jaccard, mixing, pitman_yor, quality, sharding, substrings, surrogates
 from parley.llm.common import WORD, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,3 +157,27 @@ qualify row_number() over (partition by doc_id, item_id order by similarity desc
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """The best window of each document for each benchmark item it contains."""
     return decontaminate.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op1_quality_rff")
+def op1_quality_rff(spark: SparkSession, folder: str) -> DataFrame:
+    """Calibrated quality of every document."""
+    return quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_pii_surrogates")
+def op3_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    return surrogates.with_surrogates(table(spark, folder, "documents"), key="a key that production keeps secret")
+
+
+@query("op4_pitman_yor")
+def op4_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document."""
+    return pitman_yor.perplexity_scores(table(spark, folder, "documents"))
+
+
+@query("op8_multi_index_hashing")
+def op8_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest codes of every twentieth vector."""
+    return hamming.nearest(table(spark, folder, "embeddings"))
