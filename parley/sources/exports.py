@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import logging
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parley.functions.text import file_stem, file_suffix
 from parley.operators.media import find_media_dir, keep_media
@@ -17,6 +20,9 @@ from parley.sources.blocks import message_blocks
 from parley.sources.listing import ChatFiles, open_filesystem
 
 BLOCK_BYTES = 8 * 1024 * 1024
+TASK_BYTES = 128 * 1024 * 1024
+
+log = logging.getLogger(__name__)
 BLOCK_SCHEMA = "path string, group_name string, block bigint, text string, error string"
 
 
@@ -60,7 +66,11 @@ def list_exports(
 
 
 def _archive_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members of each archive as listing rows; only its directory is read."""
+    """Members of each archive as listing rows; only its directory is read.
+
+    A file that is no archive becomes a row with ``error``.  Any other failure,
+    such as a lost connection, fails the task, and Spark repeats it.
+    """
     columns = ["root", "path", "member", "depth", "length", "error"]
     for batch in batches:
         rows = []
@@ -72,9 +82,8 @@ def _archive_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             depth = info.filename.count("/") + 1
                             rows.append((root, path, info.filename, depth, info.file_size, None))
                     rows.append((root, path, "", 0, 0, None))  # an empty archive stays visible
-            except Exception as error:
-                message = f"Invalid or corrupted ZIP file: {path} ({error})"
-                rows.append((root, path, None, 0, None, message))
+            except (zipfile.BadZipFile, ValueError) as error:  # ValueError: shorter than any archive
+                rows.append((root, path, None, 0, None, f"{path} is not a readable archive: {error}"))
         yield pd.DataFrame(rows, columns=columns)
 
 
@@ -84,7 +93,7 @@ def export_files(listing: DataFrame) -> DataFrame:
     Columns: root, kind, path, member (archives only), parent, name, depth,
     length, error.
     """
-    archives = listing.filter(F.col("kind") == "zip").select("root", "path")
+    archives = listing.filter(F.col("kind") == "zip").select("root", "path").repartition("path")
     members = archives.mapInPandas(
         _archive_members,
         "root string, path string, member string, depth int, length bigint, error string",
@@ -107,8 +116,24 @@ def _chat_order(name: str) -> tuple:
     return "_chat" not in name.lower(), "chat" not in name, name
 
 
+def _damage(path: str, member: str) -> str | None:
+    """Why a member cannot be read, after reading all of it against its check sum."""
+    with open_input(path) as raw:
+        try:
+            with zipfile.ZipFile(raw) as archive, archive.open(member) as data:
+                while data.read(BLOCK_BYTES):
+                    pass
+        except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, ValueError) as error:
+            return f"{path}: {member} is damaged or locked: {error}"
+    return None
+
+
 def _choose_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The chat text of each archive, or the reason there is none."""
+    """The chat text of each archive, or the reason there is none.
+
+    The chosen member is read through once, so that a damaged one never gives
+    half a chat.
+    """
     columns = ["root", "path", "member", "length", "error"]
     for members in _archive_members(batches):
         rows = []
@@ -120,10 +145,11 @@ def _choose_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             top = inside[(inside["depth"] == 1) & inside["member"].str.endswith(".txt")]
             best = min(top["member"], key=_chat_order, default=None)
             if best is None:
-                rows.append((root, path, None, None, f"No chat text found in: {root}"))
+                rows.append((root, path, None, None, f"{root} holds no chat text"))
             else:
+                damage = _damage(path, best)
                 length = int(top.loc[top["member"] == best, "length"].iloc[0])
-                rows.append((root, path, best, length, None))
+                rows.append((root, path, None if damage else best, None if damage else length, damage))
         yield pd.DataFrame(rows, columns=columns).astype({"length": "Int64"})
 
 
@@ -132,7 +158,8 @@ CHOSEN = ["root", "kind", "group_name", "path", "member", "length", "error"]
 
 def chat_of_archives(listing: DataFrame) -> DataFrame:
     """One row per archive.  Works on a batch and on a stream."""
-    archives = listing.filter(F.col("kind") == "zip").select("root", "path")
+    # spread before they are opened: a landing folder is listed by one task
+    archives = listing.filter(F.col("kind") == "zip").select("root", "path").repartition("path")
     schema = "root string, path string, member string, length bigint, error string"
     found = archives.mapInPandas(_choose_members, schema)
     return found.withColumns(
@@ -167,19 +194,32 @@ def chat_of_folders(listing: DataFrame) -> DataFrame:
         "f.path",
         F.lit(None).cast("string").alias("member"),
         "f.length",
-        F.when(F.col("f").isNull(), F.concat(F.lit("No chat text found in: "), F.col("root"))).alias("error"),
+        F.when(F.col("f").isNull(), F.concat("root", F.lit(" holds no chat text"))).alias("error"),
     )
 
 
 def choose_chat_files(listing: DataFrame) -> DataFrame:
     """One row per export: its chat file, or the reason there is none."""
-    return (
+    return distinct_groups(
         chat_of_texts(listing)
         .unionByName(chat_of_archives(listing))
         .unionByName(chat_of_folders(listing))
     )
 
 
+def distinct_groups(chosen: DataFrame) -> DataFrame:
+    """Exports of the same name, such as two ``_chat.txt``, stay separate groups:
+    each of them is named by its whole path."""
+    same = F.count(F.lit(1)).over(Window.partitionBy("group_name"))
+    name = F.when(same > 1, F.regexp_replace("root", r"/+$", "")).otherwise(F.col("group_name"))
+    return chosen.withColumn("group_name", name)
+
+
+def input_errors(chosen: DataFrame) -> DataFrame:
+    """(path, error) of the exports that cannot be used."""
+    return chosen.filter(F.col("error").isNotNull()).select(F.col("root").alias("path"), "error")
+
+
 def _read_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["path", "group_name", "block", "text", "error"]
     for batch in batches:
@@ -187,25 +227,19 @@ def _read_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if row.error is not None:
                 yield pd.DataFrame([(row.root, row.group_name, 0, None, row.error)], columns=columns)
                 continue
-            try:
-                with open_input(row.path) as raw:
-                    if row.member is not None:
-                        with zipfile.ZipFile(raw) as archive, archive.open(row.member) as member:
-                            found = message_blocks(member, 0, 0, None, BLOCK_BYTES)
-                            for offset, data in found:
-                                yield _block(row, offset, data, columns)
-                    else:
-                        origin = max(int(row.start) - 1, 0)
-                        raw.seek(origin)
-                        last = int(row.start) + int(row.span)
-                        for offset, data in message_blocks(
-                            raw, origin, int(row.start), last, BLOCK_BYTES
-                        ):
+            # a failure here fails the task; Spark repeats it
+            with open_input(row.path) as raw:
+                if row.member is not None:
+                    with zipfile.ZipFile(raw) as archive, archive.open(row.member) as member:
+                        found = message_blocks(member, 0, 0, None, BLOCK_BYTES)
+                        for offset, data in found:
                             yield _block(row, offset, data, columns)
-            except Exception as error:
-                yield pd.DataFrame(
-                    [(row.root, row.group_name, int(row.start), None, str(error))], columns=columns
-                )
+                else:
+                    origin = max(int(row.start) - 1, 0)
+                    raw.seek(origin)
+                    last = int(row.start) + int(row.span)
+                    for offset, data in message_blocks(raw, origin, int(row.start), last, BLOCK_BYTES):
+                        yield _block(row, offset, data, columns)
 
 
 def _block(row, offset: int, data: bytes, columns: list[str]) -> pd.DataFrame:
@@ -221,7 +255,8 @@ def read_chat_files(
 
     A text file is cut into byte ranges which are spread over the cluster; a
     block holds whole messages, and (block, position) gives their order.  An
-    archive member is inflated as a stream.
+    archive member is inflated as a stream.  Without ``n_partitions`` the ranges
+    go to as many tasks as a shuffle has.
     """
     length = F.coalesce(F.col("length"), F.lit(0))
     last = F.when(F.col("member").isNull(), F.greatest(length - 1, F.lit(0))).otherwise(0)
@@ -230,10 +265,8 @@ def read_chat_files(
         F.lit(block_bytes).cast("bigint").alias("span"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"), F.lit(block_bytes).cast("bigint"))).alias("start"),
     )
-    if not chosen.isStreaming:
-        n = n_partitions or int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = ranges.repartition(n, "root", "start")
-    return ranges.mapInPandas(_read_ranges, BLOCK_SCHEMA)
+    n = n_partitions or int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(n, "root", "start").mapInPandas(_read_ranges, BLOCK_SCHEMA)
 
 
 def read_exports(
@@ -254,11 +287,20 @@ def read_exports(
     return read_chat_files(chosen, block_bytes, n_partitions)
 
 
+def tasks_for(chosen: DataFrame) -> int:
+    """Reading tasks for the chosen files: one per ``TASK_BYTES``, and at least one per core."""
+    total = chosen.agg(F.sum("length")).first()[0] or 0
+    return max(chosen.sparkSession.sparkContext.defaultParallelism, -(-int(total) // TASK_BYTES))
+
+
 def require_any(chosen: DataFrame) -> DataFrame:
-    """Fail when not one export is usable; warn about the others."""
-    if chosen.filter(F.col("error").isNull()).isEmpty():
-        reasons = [r["error"] for r in chosen.select("error").limit(5).collect()]
-        raise RuntimeError("No groups could be loaded. " + "; ".join(map(str, reasons)))
+    """Fail when not one export is usable; log how many of the others are not."""
+    usable = F.count(F.when(F.col("error").isNull(), 1))
+    good, bad, sample = chosen.agg(usable, F.count("error"), F.min("error")).first()
+    if not good:
+        raise RuntimeError(f"None of the {bad} exports is usable, for example: {sample}")
+    if bad:
+        log.warning("%d of %d exports are not usable, for example: %s", bad, good + bad, sample)
     return chosen
 
 

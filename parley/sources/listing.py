@@ -9,6 +9,7 @@ Options
     paths     JSON list of exports (text file, archive or folder each)
     landing   JSON list of folders whose entries are exports
     settle    stream only: seconds a file must be unchanged before it is taken
+    ledger    stream only: shared folder that records which files were taken
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def _list_export(path: str) -> Iterator[tuple]:
     scheme = _scheme(path, local)
     info = filesystem.get_file_info(local)
     if info.type == fs.FileType.NotFound:
-        yield _row(path, None, path, 0, error=f"Path not found: {path}")
+        yield _row(path, None, path, 0, error=f"{path} does not exist")
     elif info.type == fs.FileType.Directory:
         for entry in filesystem.get_file_info(fs.FileSelector(local)):
             if entry.type == fs.FileType.File:
@@ -82,7 +83,7 @@ def _list_export(path: str) -> Iterator[tuple]:
         yield _row(path, "dir", scheme + local + "/", 0)
     elif _kind(local) is None:
         suffix = os.path.splitext(local)[1]
-        yield _row(path, None, scheme + local, 0, info, f"Unsupported format: {suffix!r}")
+        yield _row(path, None, scheme + local, 0, info, f"{local} is no text file, archive or folder ({suffix!r})")
     else:
         yield _row(path, _kind(local), scheme + local, 0, info)
 
@@ -125,40 +126,61 @@ class _Files(InputPartition):
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Offsets are (modification time, path), the order files are taken in."""
+    """Offsets count the batches in the ledger.
+
+    The ledger is a folder with one JSON file per batch: the rows of the files
+    that were new then.  What is new is decided by path, size and time together,
+    not by a highest time, so a file that lands late with an old time is taken,
+    and a file that was replaced is taken again.
+    """
 
     def __init__(self, options):
         self.landing = json.loads(options.get("landing", "[]"))
         self.settle = float(options.get("settle", "0"))
+        if not options.get("ledger"):
+            raise ValueError("a stream of chat_files needs the option ledger: a folder that outlives it")
+        self.filesystem, self.ledger = open_filesystem(options["ledger"])
+        self.filesystem.create_dir(self.ledger, recursive=True)
+        self.known: set[tuple] = set()
+        self.read_to = 0
 
     def initialOffset(self):
-        return {"modified": -1, "path": ""}
+        return {"batch": 0}
 
-    def _files(self, after=None, until=None) -> list[tuple]:
-        newest = time.time_ns() - int(self.settle * 1e9)
-        rows = []
-        for folder in self.landing:
-            for path in _list_landing(folder):
-                if not _kind(path):
-                    continue
-                for row in _list_export(path):
-                    key = (row[6] or 0, row[2])
-                    if until is None and key[0] > newest:
-                        continue
-                    if (after is None or key > after) and (until is None or key <= until):
-                        rows.append(row)
-        return sorted(rows, key=lambda r: (r[6] or 0, r[2]))
+    def _entry(self, batch: int) -> list[tuple]:
+        with self.filesystem.open_input_stream(f"{self.ledger}/{batch:012d}.json") as data:
+            return [tuple(row) for row in json.loads(data.read())]
+
+    def _last(self) -> int:
+        from pyarrow import fs
+
+        names = [e.base_name for e in self.filesystem.get_file_info(fs.FileSelector(self.ledger))]
+        return max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
+
+    @staticmethod
+    def _key(row) -> tuple:
+        return row[2], row[5], row[6]
 
     def latestOffset(self):
-        files = self._files()
-        if not files:
-            return self.initialOffset()
-        return {"modified": files[-1][6], "path": files[-1][2]}
+        last = self._last()
+        for batch in range(self.read_to + 1, last + 1):
+            self.known.update(map(self._key, self._entry(batch)))
+        self.read_to = last
+        newest = time.time_ns() - int(self.settle * 1e9)
+        files = [path for folder in self.landing for path in _list_landing(folder) if _kind(path)]
+        rows = [row for path in files for row in _list_export(path)]
+        fresh = sorted(r for r in rows if self._key(r) not in self.known and (r[6] or 0) <= newest)
+        if fresh:
+            last += 1
+            # written beside its place first, so that no half entry is ever read
+            made = f"{self.ledger}/{last:012d}.new"
+            with self.filesystem.open_output_stream(made) as out:
+                out.write(json.dumps(fresh).encode("utf-8"))
+            self.filesystem.move(made, made[:-4] + ".json")
+        return {"batch": last}
 
     def partitions(self, start, end):
-        files = self._files(
-            (start["modified"], start["path"]), (end["modified"], end["path"])
-        )
+        files = [row for batch in range(start["batch"] + 1, end["batch"] + 1) for row in self._entry(batch)]
         n = max(1, min(len(files), LISTING_TASKS))
         return [_Files(files[i::n]) for i in range(n)]
 

@@ -1,7 +1,8 @@
 """Windowed and keyed aggregates over a stream of messages.
 
-``messages`` needs a TIMESTAMP column named ``timestamp`` (watermarks do not
-accept the zone-less type); ``with_event_time`` converts it.
+Exports are history: a chat that lands today may hold messages that are older
+than all that was seen before.  Nothing here drops rows by the time of the
+message; state ends with the time of arrival, if at all.
 """
 
 from __future__ import annotations
@@ -12,24 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def with_event_time(messages: DataFrame) -> DataFrame:
-    return messages.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+def stream_timeline(messages: DataFrame, keys: Sequence[str] = ("group_name",)) -> DataFrame:
+    """Messages per day; update or complete mode.
 
-
-def stream_timeline(
-    messages: DataFrame, delay: str = "1 hour", keys: Sequence[str] = ("group_name",)
-) -> DataFrame:
-    """Messages per day in append mode: a day is emitted once it is closed.
-
-    State is one row per open day and key; later rows than ``delay`` are dropped.
+    State is one row per key and day that has messages, however many messages
+    arrive and in whatever order.  Messages without a time are left out.
     """
-    return (
-        with_event_time(messages)
-        .withWatermark("timestamp", delay)
-        .groupBy(*keys, F.window("timestamp", "1 day"))
-        .agg(F.count(F.lit(1)).alias("messages"))
-        .select(*keys, F.to_date("window.start").alias("day"), "messages")
-    )
+    timed = messages.filter(F.col("timestamp").isNotNull())
+    return timed.groupBy(*keys, F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("messages"))
 
 
 def stream_user_counts(
@@ -46,15 +37,17 @@ def stream_user_counts(
 
 def stream_dedup(
     messages: DataFrame,
-    delay: str = "7 days",
+    keep_for: str = "30 days",
     keys: Sequence[str] = ("group_name", "timestamp", "author", "message"),
 ) -> DataFrame:
     """Drop messages seen before, e.g. in an earlier export of the same chat.
 
-    Keys are forgotten once the watermark has passed them.
+    A message is forgotten ``keep_for`` after its arrival.  The watermark is on
+    the time of arrival, so that messages of any age come through.
     """
     return (
-        with_event_time(messages)
-        .withWatermark("timestamp", delay)
+        messages.withColumn("_arrived", F.current_timestamp())
+        .withWatermark("_arrived", keep_for)
         .dropDuplicatesWithinWatermark(list(keys))
+        .drop("_arrived")
     )

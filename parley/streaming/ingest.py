@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from parley.operators.clean import clean_messages
 from parley.operators.parse import parse_exports
+from parley.session import shared_folder
 from parley.sources.exports import (
     BLOCK_BYTES,
     chat_of_archives,
@@ -24,21 +25,29 @@ def stream_exports(
     landing: Sequence[str],
     settle: float = 0.0,
     block_bytes: int = BLOCK_BYTES,
+    ledger: str | None = None,
 ) -> DataFrame:
     """Text blocks of every text file and archive that appears in the landing folders.
 
     Each file is one export named by its stem.  All steps are per row, so no
-    state is kept; a file is read whole, by byte ranges.
+    state is kept; a file is read whole, by byte ranges spread over tasks.  A file
+    that cannot be used is a row with ``error`` and no text.  The files taken are
+    recorded in ``ledger``, by default a folder in the shared folder that belongs
+    to these landing folders.
     """
     register(spark)
+    folders = [str(p) for p in landing]
+    if ledger is None:
+        mark = hashlib.md5(json.dumps(sorted(folders)).encode("utf-8")).hexdigest()
+        ledger = f"{shared_folder(spark).rstrip('/')}/parley/ledger-{mark}"
     listing = (
         spark.readStream.format("chat_files")
-        .option("landing", json.dumps([str(p) for p in landing]))
+        .option("landing", json.dumps(folders))
         .option("settle", str(settle))
+        .option("ledger", ledger)
         .load()
     )
     chosen = chat_of_texts(listing).unionByName(chat_of_archives(listing))
-    chosen = chosen.filter(F.col("error").isNull())
     return read_chat_files(chosen, block_bytes)
 
 

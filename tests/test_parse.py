@@ -13,18 +13,18 @@ def parsed(spark, text, **options):
 
 def test_android(spark):
     rows = parsed(spark, ANDROID)
-    assert [r["author"] for r in rows] == ["Aminata", "Moussa", "Aminata", "Ibrahima", "Ibrahima"]
+    assert [r["author"] for r in rows] == ["Odile", "Bruno", "Odile", "Katell", "Katell"]
     assert [r["msg_type"] for r in rows] == ["text", "text", "media", "text", "text"]
-    assert rows[0]["timestamp"] == ts("2024-01-12 08:15")
-    assert rows[0]["message"] == "Bonjour tout le monde !"
+    assert rows[0]["timestamp"] == ts("2023-02-03 19:40")
+    assert rows[0]["message"] == "Qui apporte le gâteau samedi ?"
 
 
 def test_ios(spark):
     rows = parsed(spark, IOS)
     assert [(r["author"], r["message"]) for r in rows] == [
-        ("Aminata", "Bonjour tout le monde !"),
-        ("Moussa", "Salut, ça va ?"),
-        ("Ibrahima", "Le cours est annulé demain"),
+        ("Odile", "La clé est sous le pot"),
+        ("Bruno", "Merci, bonne soirée"),
+        ("Katell", "Réunion reportée jeudi"),
     ]
 
 

@@ -42,10 +42,10 @@ def test_each_input_kind(spark, tree):
     assert got["_chat.txt"]["kind"] == "txt" and got["_chat.txt"]["group_name"] == "_chat"
     assert got["Etudes"]["path"].endswith("Export_Chat.txt") and got["Etudes"]["group_name"] == "Etudes"
     assert got["Famille.zip"]["member"] == "_chat.txt" and got["Famille.zip"]["group_name"] == "Famille"
-    assert "ZIP" in got["bad.zip"]["error"]
-    assert "No chat text" in got["empty"]["error"]
-    assert "Unsupported" in got["doc.pdf"]["error"]
-    assert "not found" in got["missing.txt"]["error"]
+    assert "not a readable archive" in got["bad.zip"]["error"]
+    assert "holds no chat text" in got["empty"]["error"]
+    assert "no text file" in got["doc.pdf"]["error"]
+    assert "does not exist" in got["missing.txt"]["error"]
 
 
 def test_uris_keep_their_scheme(spark, tree):
@@ -61,10 +61,46 @@ def test_bad_inputs_are_skipped_unless_all_are_bad(spark, tree):
     )
     assert exports.require_any(good) is good
     bad = exports.choose_chat_files(exports.list_exports(spark, [str(tree / "bad.zip")]))
-    with pytest.raises(RuntimeError, match="No groups could be loaded"):
+    with pytest.raises(RuntimeError, match="None of the 1 exports"):
         exports.require_any(bad)
 
 
+def test_a_damaged_member_gives_no_half_chat(spark, tmp_path):
+    lines = "".join(f"0{i % 9 + 1}/02/2023, 19:40 - Odile: message {random.Random(i).random()}\n" for i in range(60_000))
+    for name in ("broken", "whole"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("_chat.txt", lines)
+    data = bytearray((tmp_path / "broken.zip").read_bytes())
+    data[len(data) // 2] ^= 0xFF
+    (tmp_path / "broken.zip").write_bytes(data)
+    paths = [str(tmp_path / n) for n in ("broken.zip", "whole.zip", "missing.txt", "x.doc")]
+    (tmp_path / "x.doc").write_text("x")
+    good = exports.choose_chat_files(exports.list_exports(spark, paths))
+    errors = {r["path"].rsplit("/", 1)[-1]: r["error"] for r in exports.input_errors(good).collect()}
+    assert set(errors) == {"broken.zip", "missing.txt", "x.doc"} and "damaged" in errors["broken.zip"]
+    rows = parse_exports(exports.read_chat_files(exports.require_any(good)))
+    assert {r["group_name"]: r["count"] for r in rows.groupBy("group_name").count().collect()} == {"whole": 60_000}
+    assert exports.tasks_for(good) >= 1
+
+
+def test_a_file_that_vanishes_fails_the_read(spark, tree):
+    rows = exports.choose_chat_files(exports.list_exports(spark, [str(tree / "_chat.txt")]))
+    good = spark.createDataFrame(rows.collect(), rows.schema)
+    (tree / "_chat.txt").unlink()
+    with pytest.raises(Exception, match="_chat.txt"):
+        exports.read_chat_files(good).collect()
+
+
+def test_exports_of_the_same_name_stay_apart(spark, tmp_path):
+    for name in ("x", "y"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "_chat.txt").write_text(ANDROID, encoding="utf-8")
+    rows = parse_exports(exports.read_exports(spark, [str(tmp_path / n / "_chat.txt") for n in "xy"]))
+    assert {r["group_name"]: r["count"] for r in rows.groupBy("group_name").count().collect()} == {
+        str(tmp_path / n / "_chat.txt"): 5 for n in "xy"
+    }
+
+
 def test_messages_of_all_kinds(spark, tree):
     paths = [str(tree / n) for n in ("_chat.txt", "Etudes", "Famille.zip", "bad.zip")]
     rows = parse_exports(exports.read_exports(spark, paths)).collect()
