@@ -88,29 +88,29 @@ def values_for_tokens(
 ) -> DataFrame:
     """Add an array aligned with ``tokens``: the table's value of each, or null.
 
-    ``table`` has columns ``word`` and ``value``, one row per word.  Up to
-    ``inline_words`` rows it becomes a lookup inside the projection: no shuffle.
-    A larger table is joined to the exploded tokens with a salted key and the
-    arrays are put together again per ``row_key``.
+    ``table`` has columns ``word`` and ``value``; of several values of a word the
+    least counts, and rows without a word are ignored.  Up to ``inline_words``
+    words it becomes a lookup inside the projection: no shuffle.  A larger table
+    is joined to the tokens with a salted key, once for each different token
+    array, and the arrays are found again by their content (``row_key`` is not
+    needed any more).  Both ways give the same result.  Eager: the table is
+    checkpointed and measured.
     """
-    table = checkpointed(table.select("word", "value"))
+    table = checkpointed(table.filter("word is not null").groupBy("word").agg(F.min("value").alias("value")))
     rows, size = measure(table)
     if rows <= inline_words and size <= 16 * 1024 * 1024:
         find = word_lookup({r["word"]: r["value"] for r in table.collect()}, value_type)
         return messages.withColumn(output, F.transform(tokens, find))
-    if not row_key:
-        raise ValueError("a word table this large needs row_key to regroup the tokens")
-    exploded = messages.select(*row_key, F.posexplode_outer(tokens).alias("_pos", "word"))
-    valued = attach(exploded.filter(F.col("word").isNotNull()), table, ["word"])
-    arrays = valued.groupBy(*row_key).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_pos", "value"))), lambda x: x["value"]
-        ).alias(output)
-    )
-    empty = F.array().cast(f"array<{value_type}>")
-    return messages.join(arrays, list(row_key), "left").withColumn(
-        output, F.coalesce(F.col(output), empty)
+    keys = [F.xxhash64(tokens).alias("_one"), F.xxhash64(F.lit(1), tokens).alias("_two")]
+    different = messages.select(*keys, F.col(tokens).alias("_tokens")).groupBy("_one", "_two").agg(F.first("_tokens").alias("_tokens"))
+    exploded = different.select("_one", "_two", F.posexplode("_tokens").alias("_pos", "word"))
+    valued = attach(exploded, table, ["word"])
+    arrays = valued.groupBy("_one", "_two").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "value"))), lambda x: x["value"]).alias(output)
     )
+    empty = F.when(F.col(tokens).isNotNull(), F.array().cast(f"array<{value_type}>"))
+    joined = messages.withColumns({"_one": keys[0], "_two": keys[1]}).join(arrays, ["_one", "_two"], "left")
+    return joined.withColumn(output, F.coalesce(F.col(output), empty)).drop("_one", "_two")
 
 
 def lemmatize(

@@ -7,16 +7,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parley.functions.dates import whole_days
 from parley.functions.text import clean_label
 from parley.operators.sentiment import sentiment_global
 from parley.operators.temporal import timeline_daily
 
-# Above this many pivot columns the long form is the way to go.
-MAX_COLUMNS = 5000
-
-
 def union_groups(*tables: DataFrame) -> DataFrame:
     """Separately built message tables as one."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
@@ -54,21 +51,21 @@ def compare_topics_long(group_topics: DataFrame, key: str = "group_name") -> Dat
     )
 
 
-def _columns_of(df: DataFrame, column: str, advice: str) -> list:
-    found = [
-        r[0] for r in df.select(column).distinct().orderBy(column).limit(MAX_COLUMNS + 1).collect()
-    ]
-    if len(found) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} distinct {column} values: use {advice}")
-    return found
+def _columns_of(df: DataFrame, column: str) -> list:
+    """The columns of a wide table: as many as the table itself will have."""
+    return [r[0] for r in df.select(column).distinct().orderBy(column).collect()]
 
 
 def compare_topics(
     group_topics: DataFrame, key: str = "group_name", labels: Sequence[str] | None = None
 ) -> DataFrame:
-    """Groups x labels with 0.0 for a label a group does not have."""
+    """Groups x labels with 0.0 for a label a group does not have.
+
+    One column per label: give ``labels`` to choose them; with very many use
+    ``compare_topics_long``, which has the same content as rows.
+    """
     long = compare_topics_long(group_topics, key)
-    labels = list(labels or _columns_of(long, "topic_label", "compare_topics_long"))
+    labels = list(labels or _columns_of(long, "topic_label"))
     wide = long.groupBy(key).pivot("topic_label", labels).agg(F.first("weight"))
     return wide.fillna(0.0)
 
@@ -76,9 +73,13 @@ def compare_topics(
 def compare_timelines(
     messages: DataFrame, key: str = "group_name", groups: Sequence[str] | None = None
 ) -> DataFrame:
-    """Days x groups with 0 for a day without messages."""
+    """Days x groups with 0 for a day without messages.
+
+    One column per group: give ``groups`` to choose them; with very many use
+    ``timeline_daily``, which has the same content as rows.
+    """
     daily = timeline_daily(messages, [key])
-    groups = list(groups or _columns_of(daily, key, "timeline_daily"))
+    groups = list(groups or _columns_of(daily, key))
     wide = daily.groupBy("day").pivot(key, groups).agg(F.sum("messages"))
     return wide.fillna(0)
 
@@ -90,8 +91,8 @@ def _authors(messages: DataFrame, key: str) -> DataFrame:
 def common_users_long(messages: DataFrame, key: str = "group_name") -> DataFrame:
     """(author, group, n_groups) of authors in two groups or more, one row per pair."""
     pairs = _authors(messages, key)
-    shared = pairs.groupBy("author").agg(F.count(F.lit(1)).alias("n_groups")).filter("n_groups > 1")
-    return pairs.join(shared, "author").select("author", key, "n_groups")
+    counted = pairs.withColumn("n_groups", F.count(F.lit(1)).over(Window.partitionBy("author")))
+    return counted.filter("n_groups > 1").select("author", key, "n_groups")
 
 
 def common_users(messages: DataFrame, key: str = "group_name") -> DataFrame:

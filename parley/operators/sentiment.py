@@ -14,6 +14,7 @@ from parley.functions import text as T
 from parley.functions.lookup import word_lookup
 from parley.functions.once import computed_once
 from parley.operators.clean import values_for_tokens
+from parley.operators.temporal import timed
 from parley.session import attach
 
 log = logging.getLogger(__name__)
@@ -123,6 +124,9 @@ def normalise_score(total: Column) -> Column:
     return F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)), 4)
 
 
+MODEL_BATCH = 64  # texts a model is given at once
+
+
 def _with_labels(scored: DataFrame) -> DataFrame:
     return scored.withColumn("sentiment_label", sentiment_label(F.col("sentiment_score")))
 
@@ -147,34 +151,60 @@ def sentiment_lexicon(
 
 def sentiment_model(
     messages: DataFrame,
-    load_model: Callable[[], Callable[[str], tuple[str, float]]],
+    load_model: Callable[[], Callable[[list[str]], list[tuple[str, float]]]],
     positive_label: str = "LABEL_1",
     text: str = "cleaned_message",
 ) -> DataFrame:
     """Add score and label from a classifier.
 
-    ``load_model`` runs once per Python worker and returns text -> (label,
-    probability).  A text the model fails on scores 0.0.
+    ``load_model`` runs once per Python worker and returns a function from a list
+    of texts to a list of (label, probability).  Where a whole list fails its
+    texts are tried alone, and one that still fails scores 0.0.
     """
+    score = _model_score(load_model, positive_label)
+    return _with_labels(messages.withColumn("sentiment_score", score(F.coalesce(F.col(text), F.lit("")))))
+
+
+def _model_score(load_model: Callable, positive_label: str = "LABEL_1"):
+    """The signed probability of each text; null for a null text."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
 
-        def one(value: str) -> float:
+        def signed(texts: list[str]) -> list[float]:
             try:
-                label, probability = model(value)
-                return float(probability) if label == positive_label else -float(probability)
+                found = model(texts)
+                return [float(p) if label == positive_label else -float(p) for label, p in found]
             except Exception:  # one bad text must not fail the job
-                return 0.0
+                if len(texts) == 1:
+                    return [0.0]
+                return [s for value in texts for s in signed([value])]
 
         for batch in batches:
-            yield batch.map(one).astype("float64")
+            given = batch.dropna()
+            out = pd.Series(float("nan"), index=batch.index, dtype="float64")
+            if len(given):
+                texts = given.tolist()
+                out[given.index] = [s for i in range(0, len(texts), MODEL_BATCH) for s in signed(texts[i : i + MODEL_BATCH])]
+            yield out.astype("Float64")
+
+    return score
 
-    scored = messages.withColumn(
-        "sentiment_score", score(F.coalesce(F.col(text), F.lit("")))
-    )
-    return _with_labels(scored)
+
+def _loads(load_model: Callable, spark) -> str | None:
+    """Why a model does not load, tried in one task; null if it does."""
+
+    def probe(batches):
+        try:
+            load_model()
+            error = None
+        except Exception as problem:
+            error = str(problem) or type(problem).__name__
+        for batch in batches:
+            yield pd.DataFrame({"error": [error] * len(batch)})
+
+    return spark.range(1, numPartitions=1).mapInPandas(probe, "error string").first()["error"]
 
 
 def analyze_sentiment(
@@ -190,9 +220,8 @@ def analyze_sentiment(
         if column not in messages.columns:
             raise ValueError(f"messages must have a {column!r} column")
     if load_model is not None and lang in (None, "fr"):
-        try:
-            load_model()
-        except Exception as error:
+        error = _loads(load_model, messages.sparkSession)
+        if error is not None:
             log.warning("sentiment model not available (%s): using the lexicon", error)
             load_model = None
     if load_model is None or lang not in (None, "fr"):
@@ -202,9 +231,10 @@ def analyze_sentiment(
     if lang == "fr" or lexicon is None:
         return sentiment_model(messages, load_model)
     french = F.coalesce(F.col("language") == "fr", F.lit(False))
-    return sentiment_model(messages.filter(french), load_model).unionByName(
-        sentiment_lexicon(messages.filter(~french), lexicon, row_key)
-    )
+    # one pass: the model sees nothing of the other languages
+    scored = sentiment_lexicon(messages, lexicon, row_key)
+    model = _model_score(load_model)(F.when(french, F.coalesce(F.col("cleaned_message"), F.lit(""))))
+    return _with_labels(scored.withColumn("sentiment_score", F.coalesce(model, F.col("sentiment_score"))))
 
 
 def sentiment_by_user(
@@ -225,7 +255,7 @@ def sentiment_global(messages: DataFrame, keys: Sequence[str] = ("group_name",))
 
 
 def sentiment_daily(messages: DataFrame, keys: Sequence[str] = ("group_name",)) -> DataFrame:
-    return messages.groupBy(*keys, F.to_date("timestamp").alias("day")).agg(
+    return timed(messages).groupBy(*keys, F.to_date("timestamp").alias("day")).agg(
         F.avg("sentiment_score").alias("mean_score")
     )
 

@@ -12,6 +12,11 @@ from parley.functions.dates import weekday_name
 GROUP = ("group_name",)
 
 
+def timed(messages: DataFrame) -> DataFrame:
+    """Messages without a time belong to no slot of a calendar."""
+    return messages.filter(F.col("timestamp").isNotNull())
+
+
 def _count() -> Column:
     return F.count(F.lit(1)).alias("messages")
 
@@ -52,13 +57,13 @@ def busiest_slot(slots: str, field: str, n_slots: int) -> Column:
 
 def timeline_daily(messages: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
     """Messages per calendar day that has any."""
-    return messages.groupBy(*keys, F.to_date("timestamp").alias("day")).agg(_count())
+    return timed(messages).groupBy(*keys, F.to_date("timestamp").alias("day")).agg(_count())
 
 
 def hourly_heatmap(messages: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
     """Long form of the 7 x 24 table: weekday_no (0 = Monday), weekday, hour."""
     slot = (F.weekday("timestamp") * 24 + F.hour("timestamp")).cast("int").alias("slot")
-    counts = messages.groupBy(*keys, slot).agg(_count())
+    counts = timed(messages).groupBy(*keys, slot).agg(_count())
     day = F.floor(F.col("slot") / 24).cast("int")
     return fill_slots(counts, keys, "slot", 168).select(
         *keys,
@@ -79,14 +84,14 @@ def hourly_heatmap_wide(messages: DataFrame, keys: Sequence[str] = GROUP) -> Dat
 
 def weekly_activity(messages: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
     day = F.weekday("timestamp").cast("int").alias("weekday_no")
-    counts = messages.groupBy(*keys, day).agg(_count())
+    counts = timed(messages).groupBy(*keys, day).agg(_count())
     return fill_slots(counts, keys, "weekday_no", 7).select(
         *keys, "weekday_no", weekday_name(F.col("weekday_no")).alias("weekday"), "messages"
     )
 
 
 def monthly_activity(messages: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
-    return messages.groupBy(*keys, F.date_format("timestamp", "yyyy-MM").alias("month")).agg(_count())
+    return timed(messages).groupBy(*keys, F.date_format("timestamp", "yyyy-MM").alias("month")).agg(_count())
 
 
 def _busiest(counts: DataFrame, keys: Sequence[str], slot: str) -> DataFrame:
@@ -96,12 +101,12 @@ def _busiest(counts: DataFrame, keys: Sequence[str], slot: str) -> DataFrame:
 
 
 def peak_hour(messages: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
-    counts = messages.groupBy(*keys, F.hour("timestamp").alias("peak_hour")).agg(_count())
+    counts = timed(messages).groupBy(*keys, F.hour("timestamp").alias("peak_hour")).agg(_count())
     return _busiest(counts, keys, "peak_hour")
 
 
 def peak_day(messages: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
-    counts = messages.groupBy(*keys, F.weekday("timestamp").alias("_day")).agg(_count())
+    counts = timed(messages).groupBy(*keys, F.weekday("timestamp").alias("_day")).agg(_count())
     return _busiest(counts, keys, "_day").select(*keys, weekday_name(F.col("_day")).alias("peak_day"))
 
 

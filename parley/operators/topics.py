@@ -91,13 +91,13 @@ def tfidf_features(
 ) -> DataFrame:
     """Long form: one row per message and term with its weight."""
     vectors, names = tfidf_vectors(messages, max_features, text)
-    weights = vector_to_array("features")
-    pairs = F.zip_with(
-        F.array(*map(F.lit, names)), weights, lambda t, w: F.struct(t.alias("term"), w.alias("weight"))
-    )
-    # the generator sees only the non-zero entries
-    used = F.filter(pairs, lambda p: p["weight"] != 0)
-    return unnest(vectors, list(row_key), used, "p").select(*row_key, "p.term", "p.weight")
+    # the stored form of the vector lists its entries; dense ones have no indices
+    stored = F.unwrap_udt("features")
+    at = F.coalesce(stored["indices"], F.sequence(F.lit(0), F.size(stored["values"]) - 1))
+    pairs = F.zip_with(at, stored["values"], lambda i, w: F.struct(i.alias("i"), w.alias("weight")))
+    rows = unnest(vectors, list(row_key), pairs, "p").filter("p.weight <> 0")
+    terms = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    return rows.select(*row_key, F.get(terms, F.col("p.i")).alias("term"), "p.weight")
 
 
 def first_argmax(values: Column) -> Column:
@@ -137,11 +137,13 @@ def topics_lda(
 ) -> tuple[DataFrame, DataFrame]:
     """Fit LDA on TF-IDF; return (messages + topic_id, topic_score; topic table).
 
-    Every pass reads the whole corpus.  One model serves all groups of the
-    input, so labels compare across groups; weights are per group.  A message
-    without any vocabulary word gets topic 0 with score 1/k.
+    The vectors are written once, and every pass over the corpus reads those.
+    One model serves all groups of the input, so labels compare across groups;
+    weights are per group.  A message without any vocabulary word gets topic 0
+    with score 1/k.
     """
     vectors, names = tfidf_vectors(messages, max_features, text, "_features")
+    vectors = checkpointed(vectors)
     lda = LDA(
         k=n_topics, seed=seed, optimizer="online", subsamplingRate=1.0, maxIter=max_iter,
         featuresCol="_features", topicDistributionCol="_dist",
@@ -203,7 +205,7 @@ def class_tfidf(
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_class_n"))
     corpus = counts.groupBy("term").agg(F.sum("n").alias("_term_n"))
     average = sizes.agg(F.avg("_class_n").alias("avg")).first()["avg"]
-    joined = attach(counts, sizes, list(keys), "inner").join(corpus, "term")
+    joined = attach(attach(counts, sizes, list(keys), "inner"), corpus, ["term"], "inner")
     weight = F.col("n") / F.col("_class_n") * F.log1p(F.lit(average or 0.0) / F.col("_term_n"))
     return joined.select(*keys, "term", "n", weight.alias("weight"))
 
@@ -231,14 +233,16 @@ def topics_embedding(
     tokens: str = "tokens",
     probabilities: str | None = None,
     seed: int = SEED,
+    max_features: int = MAX_FEATURES,
 ) -> tuple[DataFrame, DataFrame]:
     """Cluster embeddings into topics.
 
-    ``embedding`` names an array column; without one the TF-IDF vector is used.
+    ``embedding`` names an array column; without one the TF-IDF vector of the
+    ``max_features`` commonest terms is used.
     Only topics that occur are listed; labels come from class TF-IDF.
     """
     if embedding is None:
-        prepared, _ = tfidf_vectors(messages, MAX_FEATURES, text, "_vec")
+        prepared, _ = tfidf_vectors(messages, max_features, text, "_vec")
     else:
         prepared = messages.withColumn(
             "_vec", array_to_vector(F.col(embedding).cast("array<double>"))

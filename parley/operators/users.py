@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.functions.dates import weekday_name
-from parley.operators.temporal import busiest_slot, slot_total
+from parley.operators.temporal import busiest_slot, slot_total, timed
 from parley.session import attach
 
 AUTHOR = ("group_name", "author")
@@ -49,14 +49,14 @@ def _hours_map() -> Column:
 
 
 def activity_hours(messages: DataFrame, keys: Sequence[str] = AUTHOR) -> DataFrame:
-    counts = messages.groupBy(*keys, F.hour("timestamp").alias("hour")).agg(
+    counts = timed(messages).groupBy(*keys, F.hour("timestamp").alias("hour")).agg(
         F.count(F.lit(1)).alias("messages")
     )
     return counts.groupBy(*keys).agg(_hours_map().alias("activity_hours"))
 
 
 def most_active_day(messages: DataFrame, keys: Sequence[str] = AUTHOR) -> DataFrame:
-    counts = messages.groupBy(*keys, F.weekday("timestamp").alias("_day")).agg(
+    counts = timed(messages).groupBy(*keys, F.weekday("timestamp").alias("_day")).agg(
         F.count(F.lit(1)).alias("messages")
     )
     best = F.max_by("_day", F.struct(F.col("messages"), -F.col("_day")))
@@ -141,7 +141,8 @@ def user_profiles(
     packed = slots.groupBy(*keys).agg(
         F.sum("messages").alias("message_count"),
         F.sum("_words").alias("_words"),
-        F.collect_list(F.struct("_day", "hour", "messages")).alias("_slots"),
+        # messages without a time count, but belong to no slot
+        F.collect_list(F.when(F.col("hour").isNotNull(), F.struct("_day", "hour", "messages"))).alias("_slots"),
         *([F.sum("_score").alias("_score"), F.sum("_scored").alias("_scored")] if with_sentiment else []),
     )
 
@@ -157,7 +158,7 @@ def user_profiles(
         "message_count",
         (F.col("_words") / F.col("message_count")).alias("avg_message_length"),
         by_hour.alias("activity_hours"),
-        weekday_name(busiest_slot("_slots", "_day", 7)).alias("most_active_day"),
+        F.when(F.size("_slots") > 0, weekday_name(busiest_slot("_slots", "_day", 7))).alias("most_active_day"),
         sentiment.alias("sentiment_mean"),
     )
     empty = F.array().cast("array<struct<label:string,score:double>>")

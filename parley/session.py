@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -55,8 +57,12 @@ def shared_folder(spark: SparkSession) -> str:
         return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        # the setting is absent: a single machine, e.g. tests
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="parley-"))
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # one machine, one process, e.g. tests: gone when the process ends
+        folder = tempfile.mkdtemp(prefix="parley-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -86,9 +92,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
+def _width(column: str, kind: str):
+    """Rough bytes of a value; only what can vary is looked at."""
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    if kind.startswith(("array", "map", "struct", "variant")):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return F.lit(8)
+
+
 def measure(df: DataFrame) -> tuple[int, int]:
-    """Row count and rough size in bytes of an already materialised result."""
-    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    """Row count and rough size in bytes of an already materialised result.  Eager."""
+    width = sum((_width(c, t) for c, t in df.dtypes), F.lit(0))
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return int(n), int(size)
 
@@ -103,7 +118,7 @@ def attach(
 ) -> DataFrame:
     """Join a large table to one that is usually, but not surely, small.
 
-    ``small`` (one row per key) is checkpointed and measured.  Below the bounds
+    Eager: ``small`` is checkpointed and measured.  Below the bounds
     it is broadcast.  Above them, both sides are shuffled on the key plus a
     salt, so that a key holding a third of ``large`` spreads over many tasks.
     """

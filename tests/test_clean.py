@@ -122,3 +122,11 @@ def test_text_is_cleaned_once_per_message(spark):
     rows = clean.clean_messages(messages(spark, "un deux trois quatre"), "fr")
     plan = rows.filter(F.size("tokens") > 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("split(lower(") == 1
+
+
+@pytest.mark.parametrize("inline_words", [0, 50_000])
+def test_word_tables_give_one_value_per_token(spark, inline_words):
+    table = spark.createDataFrame([("a", 2.0), ("a", 1.0), ("b", None), ("c", 5.0), (None, 9.0)], "word string, value double")
+    rows = spark.createDataFrame([(1, ["a", "b", "z", "a"]), (2, []), (3, None), (4, ["c"]), (5, ["c"])], "seq int, tokens array<string>")
+    got = clean.values_for_tokens(rows, table, None, "values", "double", inline_words=inline_words)
+    assert {r["seq"]: r["values"] for r in got.collect()} == {1: [1.0, None, None, 1.0], 2: [], 3: None, 4: [5.0], 5: [5.0]}

@@ -41,10 +41,9 @@ def test_topics_pivot(topics):
     assert set(got) == {"Etudes", "Famille"}
 
 
-def test_too_many_columns_point_to_the_long_form(topics, monkeypatch):
-    monkeypatch.setattr(compare, "MAX_COLUMNS", 2)
-    with pytest.raises(ValueError, match="compare_topics_long"):
-        compare.compare_topics(topics)
+def test_chosen_columns_and_long_form(topics):
+    some = compare.compare_topics(topics, labels=["sport"])
+    assert some.columns == ["group_name", "sport"] and some.count() == 2
     assert compare.compare_topics_long(topics).count() == 4
 
 
