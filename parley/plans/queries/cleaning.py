@@ -114,12 +114,13 @@ _LEMMAS = """lm AS (SELECT word, word[1:length(word)-1] AS lemma FROM (
     + f", t AS (SELECT seq, {stop_sql(words_sql('message'))} AS ws FROM dm), "
     + _LEMMAS
     + """, u AS (SELECT seq, ws[i] AS word, i FROM (SELECT seq, ws, unnest(range(1, len(ws) + 1)) AS i FROM t))
-SELECT seq, string_agg(coalesce(lemma, u.word), ' ' ORDER BY i) AS text FROM u LEFT JOIN lm ON lm.word = u.word GROUP BY seq""",
+SELECT t.seq, coalesce(string_agg(coalesce(lemma, u.word), ' ' ORDER BY i), '') AS text
+FROM t LEFT JOIN u USING (seq) LEFT JOIN lm ON lm.word = u.word GROUP BY t.seq""",
 )
 def lemmatize(spark, d):
     words = clean.drop_stopwords(clean.words_of(F.col("message")), ())
     rows = computed_once(document_messages(spark, d).select("seq", "message"), "tokens", words)
-    rows = rows.drop("message").filter(F.size("tokens") > 0)
+    rows = rows.drop("message")
     from parley.operators.topics import word_frequency
 
     top = word_frequency(

@@ -149,14 +149,14 @@ def compare_timelines(spark, d):
     return out.withColumn("day", day_text())
 
 
-_SHARED = """, pr AS (SELECT DISTINCT author, group_name FROM em WHERE NOT (author LIKE '%5' AND group_name <> 'g1')),
+_SHARED = """, pr AS (SELECT DISTINCT CASE WHEN author LIKE '%5' THEN author || '@' || group_name ELSE author END AS author, group_name FROM em),
 sh AS (SELECT author, count(*) AS n FROM pr GROUP BY author HAVING count(*) > 1)"""
 
 
 def _partly_shared(spark, d):
-    # authors ending in 5 are kept in one group only
-    rows = event_messages(spark, d)
-    return rows.filter(~(F.col("author").endswith("5") & (F.col("group_name") != "g1")))
+    # authors ending in 5 have another name in each group
+    own = F.when(F.col("author").endswith("5"), F.concat("author", F.lit("@"), "group_name"))
+    return event_messages(spark, d).withColumn("author", own.otherwise(F.col("author")))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,17 @@ from pyspark.sql import functions as F
 from parley.functions import patterns as P
 from parley.operators import media
 from parley.operators.parse import parse_exports
-from parley.plans.queries.parsing import _PARSED, _shown, export_lines
+from parley.plans.queries.parsing import _PARSED, _SELECT, _shown, export_lines
 from parley.plans.queries.registry import query, sql_string
-from parley.plans.queries.views import CHAT, chat_messages, document_messages, event_messages, load
+from parley.plans.queries.views import (
+    CHAT,
+    EVENT_TOPICS,
+    chat_messages,
+    document_messages,
+    event_messages,
+    event_topics,
+    load,
+)
 from parley.session import scratch_path, ship_package
 from parley.sources import exports, sinks
 from parley.sources.listing import open_filesystem
@@ -37,9 +46,39 @@ def write_text_exports(spark: SparkSession, d: str) -> str:
     return folder
 
 
+def _folder_partition(folder: str):
+    """Each group of a partition becomes a folder: the chat beside other texts."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, now = None, None
+        for batch in batches:
+            for name, rows in batch.groupby("group_name", sort=False):
+                if name != now:
+                    if out is not None:
+                        out.close()
+                    filesystem, local = open_filesystem(f"{folder}/{name}")
+                    filesystem.create_dir(local, recursive=True)
+                    for other in ("a chat.txt", "notes.txt"):
+                        with filesystem.open_output_stream(f"{local}/{other}") as decoy:
+                            decoy.write(b"01/01/2024, 10:00 - Nobody: not the chat\n")
+                    out, now = filesystem.open_output_stream(f"{local}/my _Chat.txt"), name
+                out.write(("\n".join(rows["line"]) + "\n").encode("utf-8"))
+            yield pd.DataFrame({"n": [len(batch)]})
+        if out is not None:
+            out.close()
+
+    return write
+
+
 def write_folder_exports(spark: SparkSession, d: str) -> str:
+    """One folder per group; a chat is one file, so one task writes it as a stream."""
+    ship_package(spark)
     folder = scratch_path(spark, "folders")
-    _ordered_lines(spark, d).select("group_name", "line").write.partitionBy("group_name").text(folder)
+    filesystem, local = open_filesystem(folder)
+    filesystem.create_dir(local, recursive=True)
+    lines = export_lines(chat_messages(spark, d)).select("group_name", "seq", "line")
+    sorted_ = lines.repartition("group_name").sortWithinPartitions("group_name", "seq")
+    sorted_.mapInPandas(_folder_partition(folder), "n bigint").write.format("noop").mode("overwrite").save()
     return folder
 
 
@@ -98,13 +137,13 @@ def read_export_zip(spark, d):
 
 @query(
     "read_export_dir",
-    """SELECT 'group_name=c' || g AS group_name, 'dir' AS kind, true AS found FROM (SELECT DISTINCT conv_id % 10 AS g FROM conversations)""",
+    W + _PARSED + _SELECT,
 )
 def read_export_dir(spark, d):
     # each folder is an export; the chat file is chosen among its text files
     listing = exports.list_exports(spark, landing=[write_folder_exports(spark, d)])
     chosen = exports.choose_chat_files(listing.filter(F.col("kind") == "dir"))
-    return chosen.select("group_name", "kind", F.col("path").isNotNull().alias("found"))
+    return _shown(parse_exports(exports.read_chat_files(chosen)))
 
 
 @query(
@@ -188,13 +227,14 @@ def list_media(spark, d):
     return files.select(_name().alias("name"), "length")
 
 
-@query("find_media_dir", "SELECT 'media' AS media_dir, count(*) > 0 AS any_file FROM documents")
+@query("find_media_dir", _MEDIA_SQL + "SELECT 'media' AS media_dir, count(*) AS files, sum(length) AS bytes FROM m")
 def find_media_dir(spark, d):
     listing = exports.list_exports(spark, [write_media(spark, d)])
-    found = media.find_media_dir(listing)
-    return found.select(
-        _name("media_dir").alias("media_dir"), F.lit(True).alias("any_file")
+    folders = media.find_media_dir(listing)
+    files = exports.media_files(listing).groupBy("root").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").cast("decimal(38,0)").alias("bytes")
     )
+    return folders.join(files, "root").select(_name("media_dir").alias("media_dir"), "files", "bytes")
 
 
 def stub_transcriber():
@@ -249,11 +289,35 @@ def write_messages_csv(spark, d):
 
 @query(
     "report_tables",
-    """SELECT 'g' || (event_id % 3) AS group_name, 'user_' || user_id AS author, count(*) AS message_count FROM events GROUP BY ALL""",
+    "WITH "
+    + EVENT_TOPICS
+    + """, g AS (SELECT count(DISTINCT group_name) AS n FROM em), a AS (SELECT DISTINCT group_name, author FROM em),
+pg AS (SELECT group_name, count(*) AS n FROM a GROUP BY 1),
+days AS (SELECT DISTINCT group_name, CAST("timestamp" AS DATE) AS day FROM em)
+SELECT unnest(['stat_cards', 'overview_cards', 'activity_table', 'group_details', 'peak_hour', 'peak_day', 'sentiment_global', 'sentiment_split']) AS "table", (SELECT n FROM g) AS "rows"
+UNION ALL SELECT 'top_authors', (SELECT sum(least(n, 10)) FROM pg) UNION ALL SELECT 'user_activity', (SELECT sum(least(n, 50)) FROM pg)
+UNION ALL SELECT 'comparison_cards', 1 UNION ALL SELECT 'common_users', (SELECT count(*) FROM (SELECT author FROM a GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT unnest(['timeline', 'sentiment_daily']), (SELECT count(*) FROM days)
+UNION ALL SELECT 'hourly_heatmap', (SELECT n * 168 FROM g) UNION ALL SELECT 'weekly_activity', (SELECT n * 7 FROM g)
+UNION ALL SELECT 'monthly_activity', (SELECT count(*) FROM (SELECT DISTINCT group_name, date_trunc('month', day) FROM days))
+UNION ALL SELECT 'topic_distribution', (SELECT count(*) FROM gt)
+UNION ALL SELECT 'topic_words', (SELECT sum(len(string_split(topic_label, ' / '))) FROM gt)
+UNION ALL SELECT 'compare_topics', (SELECT count(*) FROM (SELECT DISTINCT group_name, topic_label FROM gt))
+UNION ALL SELECT unnest(['sentiment_by_user', 'user_profiles']), (SELECT count(*) FROM a)""",
 )
 def report_tables(spark, d):
-    from parley.operators.users import author_message_count
-
-    table = author_message_count(event_messages(spark, d))
-    written = sinks.write_report_tables({"user_activity": table}, scratch_path(spark, "reports"))
-    return spark.read.parquet(written["user_activity"])
+    from parley.plans.analysis import ChatAnalysis, _temporal, _users
+
+    run = ChatAnalysis(spark, [])
+    rows = event_messages(spark, d).withColumn("tokens", F.split("message", " "))
+    r = run.results
+    r.raw = r.clean = r.scored = rows
+    r.group_topics, r.sentiment = event_topics(rows), {}
+    _temporal(run)
+    _users(run)
+    written = run.write_reports(scratch_path(spark, "reports"))
+    counts = [
+        spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        for name, path in written.items()
+    ]
+    return reduce(DataFrame.union, counts)

@@ -47,39 +47,76 @@ def tfidf_features(spark, d):
     return out.withColumn("weight", F.round("weight", 6))
 
 
-@query("topics_lda")
+def _placement(placed, table, n_topics: int):
+    """Per group what holds whatever the numbering of the topics is: messages
+    placed, scores that are probabilities of a best topic, topics listed, the sum
+    of the weights and how far they are from a recount."""
+    recount = placed.groupBy("group_name", "topic_id").agg(F.count(F.lit(1)).alias("n"))
+    score = F.round("topic_score", 9).between(1 / n_topics - 1e-9, 1.0)
+    per_group = placed.groupBy("group_name").agg(F.count(F.lit(1)).alias("messages"), F.count_if(score).alias("scored"))
+    joined = table.join(recount, ["group_name", "topic_id"], "left").join(per_group, "group_name")
+    off = F.abs(F.col("weight") - F.coalesce("n", F.lit(0)) / F.col("messages"))
+    return joined.groupBy("group_name", "messages", "scored").agg(
+        F.count(F.lit(1)).alias("topics"), F.round(F.sum("weight"), 6).alias("weights"), F.round(F.max(off), 6).alias("off")
+    )
+
+
+@query(
+    "topics_lda",
+    """SELECT source AS group_name, count(*) AS messages, count(*) AS scored, CAST(5 AS BIGINT) AS topics,
+CAST(1 AS DOUBLE) AS weights, CAST(0 AS DOUBLE) AS off FROM documents GROUP BY source""",
+)
 def topics_lda(spark, d):
-    _, table = topics.topics_lda(content_tokens(spark, d), n_topics=5)
-    return table
+    placed, table = topics.topics_lda(content_tokens(spark, d), n_topics=5)
+    return _placement(placed, table, 5)
 
 
-@query("topic_top_words")
+@query(
+    "topic_top_words",
+    lambda: _CONTENT()
+    + """, voc AS (SELECT term FROM (SELECT unnest(ws) AS term FROM t) GROUP BY term ORDER BY count(*) DESC, term LIMIT 1000)
+SELECT CAST(k AS INTEGER) AS topic_id, CAST(5 AS BIGINT) AS words, least(5, (SELECT count(*) FROM voc)) AS known FROM (SELECT unnest(range(3)) AS k)""",
+)
 def topic_top_words(spark, d):
-    _, table = topics.topics_lda(content_tokens(spark, d), n_topics=3, keys=["group_name"])
-    return table.select("topic_id", "topic_label").distinct()
+    rows = content_tokens(spark, d)
+    _, table = topics.topics_lda(rows, n_topics=3, keys=["group_name"])
+    labels = table.select("topic_id", F.explode(F.split("topic_label", " / ")).alias("word")).distinct()
+    vocabulary = topics.word_frequency(rows, topics.MAX_FEATURES).select("word", F.lit(True).alias("known"))
+    # at most 15 words and as many as the vocabulary has
+    return labels.join(vocabulary, "word", "left").groupBy("topic_id").agg(
+        F.count(F.lit(1)).alias("words"), F.count("known").alias("known")
+    )
 
 
-@query("topics_embedding")
+@query(
+    "topics_embedding",
+    """SELECT 'all' AS group_name, count(*) AS messages, count(*) AS scored, CAST(10 AS BIGINT) AS topics,
+CAST(1 AS DOUBLE) AS weights, CAST(0 AS DOUBLE) AS off, CAST(10 AS BIGINT) AS labelled FROM embeddings""",
+)
 def topics_embedding(spark, d):
     rows = load(spark, d, "embeddings").select(
-        F.lit("all").alias("group_name"), F.col("vec_id").alias("seq"), "embedding"
+        F.lit("all").alias("group_name"),
+        F.col("vec_id").alias("seq"),
+        "embedding",
+        F.array(F.concat(F.lit("label"), "label")).alias("tokens"),
     )
-    _, table = topics.topics_embedding(rows, n_topics=10, embedding="embedding")
-    return table
+    placed, table = topics.topics_embedding(rows, n_topics=10, embedding="embedding")
+    labelled = table.groupBy("group_name").agg(F.count_if(F.col("topic_label").startswith("label")).alias("labelled"))
+    return _placement(placed, table, 10).join(labelled, "group_name")
 
 
 @query(
     "topic_scores_rule",
-    """WITH p AS (SELECT vec_id, label, CASE WHEN vec_id % 10 = 0 THEN NULL ELSE embedding[1:5] END AS probs FROM embeddings)
-SELECT vec_id, round(CASE WHEN probs IS NULL THEN CAST(1 AS DOUBLE) ELSE CAST(probs[least(label, 4) + 1] AS DOUBLE) END, 5) AS topic_score FROM p""",
+    """WITH p AS (SELECT vec_id, label, label * 8 AS topic, CASE WHEN vec_id % 10 = 0 THEN NULL ELSE embedding END AS probs FROM embeddings)
+SELECT vec_id, round(CASE WHEN probs IS NULL THEN CAST(1 AS DOUBLE) ELSE CAST(probs[least(topic, len(probs) - 1) + 1] AS DOUBLE) END, 5) AS topic_score FROM p""",
 )
 def topic_scores_rule(spark, d):
     rows = load(spark, d, "embeddings").select(
         "vec_id",
-        "label",
-        F.when(F.col("vec_id") % 10 != 0, F.slice(F.col("embedding").cast("array<double>"), 1, 5)).alias("probs"),
+        (F.col("label") * 8).alias("topic"),
+        F.when(F.col("vec_id") % 10 != 0, F.col("embedding").cast("array<double>")).alias("probs"),
     )
-    score = topics.topic_scores_rule(F.col("probs"), F.col("label"))
+    score = topics.topic_scores_rule(F.col("probs"), F.col("topic"))
     return rows.select("vec_id", F.round(score, 5).alias("topic_score"))
 
 
@@ -130,10 +167,10 @@ def lexicon(messages):
     lambda: _PLAIN()
     + _LEXICON
     + """, u AS (SELECT seq, unnest(ws) AS word FROM t)
-SELECT seq, count(value) AS hits, round(sum(value), 6) AS total FROM u LEFT JOIN lx USING (word) GROUP BY seq""",
+SELECT t.seq, count(value) AS hits, round(sum(value), 6) AS total FROM t LEFT JOIN u USING (seq) LEFT JOIN lx USING (word) GROUP BY t.seq""",
 )
 def lexicon_join(spark, d):
-    rows = plain_tokens(spark, d).filter(F.size("tokens") > 0)
+    rows = plain_tokens(spark, d)
     valued = clean.values_for_tokens(rows, lexicon(rows), ["seq"], "values", "double")
     hits = F.filter("values", lambda v: v.isNotNull())
     total = F.aggregate(hits, F.lit(0.0), lambda acc, v: acc + v)
@@ -200,10 +237,10 @@ def sentiment_lexicon(spark, d):
 def stub_model():
     """Stands in for a classifier: label and probability from the text length."""
 
-    def classify(text: str) -> tuple[str, float]:
-        if len(text) % 11 == 0:
-            raise ValueError("cannot read this text")
-        return f"LABEL_{len(text) % 2}", (len(text) % 100) / 100
+    def classify(texts: list[str]) -> list[tuple[str, float]]:
+        if any(len(text) % 11 == 0 for text in texts):
+            raise ValueError("cannot read one of the texts")
+        return [(f"LABEL_{len(text) % 2}", (len(text) % 100) / 100) for text in texts]
 
     return classify
 

@@ -24,8 +24,9 @@ W = "WITH " + CHAT
 TURNS_PER_BLOCK = 8
 
 
-def export_lines(messages: DataFrame) -> DataFrame:
-    """Each message as it stands in an export: even chats Android, odd ones iOS."""
+def export_lines(messages: DataFrame, form: str | None = None) -> DataFrame:
+    """Each message as it stands in an export of the given form ('android' or
+    'ios'); without one, even chats are Android and odd ones iOS."""
     android = F.concat(
         F.date_format("timestamp", "dd/MM/yyyy, HH:mm"), F.lit(" - "), "author", F.lit(": "), "message"
     )
@@ -33,6 +34,8 @@ def export_lines(messages: DataFrame) -> DataFrame:
         F.lit("["), F.date_format("timestamp", "dd/MM/yyyy"), F.lit(" à "),
         F.date_format("timestamp", "HH:mm:ss"), F.lit("] "), "author", F.lit(" : "), "message",
     )
+    if form is not None:
+        return messages.withColumn("line", {"android": android, "ios": ios}[form])
     return messages.withColumn("line", F.when(F.col("conv_id") % 2 == 0, android).otherwise(ios))
 
 
@@ -79,19 +82,19 @@ def parse_exports(spark, d):
     return _shown(parse.parse_exports(export_blocks(spark, d)))
 
 
-def _one_form(spark, d, remainder: int) -> DataFrame:
-    lines = export_lines(chat_messages(spark, d)).filter(F.col("conv_id") % 2 == remainder)
+def _one_form(spark, d, form: str) -> DataFrame:
+    lines = export_lines(chat_messages(spark, d), form)
     return _shown(parse.parse_exports(export_blocks(spark, d, lines)))
 
 
-@query("parse_android", W + _PARSED + _SELECT + " WHERE conv_id % 2 = 0")
+@query("parse_android", W + _PARSED + _SELECT)
 def parse_android(spark, d):
-    return _one_form(spark, d, 0)
+    return _one_form(spark, d, "android")
 
 
-@query("parse_ios", W + _PARSED + _SELECT + " WHERE conv_id % 2 = 1")
+@query("parse_ios", W + _PARSED + _SELECT)
 def parse_ios(spark, d):
-    return _one_form(spark, d, 1)
+    return _one_form(spark, d, "ios")
 
 
 @query("drop_unparsed", W + _PARSED + _SELECT + " WHERE NOT author LIKE 'assistant%'")

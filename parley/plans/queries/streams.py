@@ -63,13 +63,10 @@ def run_complete(stream: DataFrame, name: str) -> DataFrame:
 
 @query(
     "stream_timeline",
-    W
-    + """, m AS (SELECT max("timestamp") - INTERVAL 1 HOUR AS mark FROM em)
-SELECT group_name, strftime("timestamp", '%Y-%m-%d') AS day, count(*) AS messages FROM em, m
-WHERE date_trunc('day', "timestamp") + INTERVAL 1 DAY <= mark GROUP BY ALL""",
+    W + """SELECT group_name, strftime("timestamp", '%Y-%m-%d') AS day, count(*) AS messages FROM em GROUP BY ALL""",
 )
 def stream_timeline(spark, d):
-    out = run_to_table(aggregates.stream_timeline(event_stream(spark, d)), "timeline")
+    out = run_complete(aggregates.stream_timeline(event_stream(spark, d)), "timeline")
     return out.select("group_name", day_text(), "messages")
 
 

@@ -107,13 +107,13 @@ EVENT_TOPICS = (
 
 # -- conversations -------------------------------------------------------------
 
-# every 12th message is replaced by one of these (slot 0..5 of 12), 6 adds emoji
+# half of the messages end with one of these (slots 0..5 of 12), slot 6 adds emoji
 NOTICES = {
     0: "<Media omitted>",
-    1: "Moussa a ajouté Fatou",
+    1: "Inès a ajouté Bruno",
     2: "This message was deleted",
     3: "Média omis",
-    4: "Alice changed the group name now",
+    4: "Greta changed the group name now",
     5: "J'ai ajoutée la note, was readded later",
 }
 
@@ -123,7 +123,7 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = (F.col("conv_id") * 7 + F.col("turn")) % 12
     text = F.when(slot == 6, F.concat("text", F.lit(" 😀👨‍👩‍👧 ok‍é média OMIS fin")))
     for number, notice in NOTICES.items():
-        text = text.when(slot == number, notice)
+        text = text.when(slot == number, F.concat("text", F.lit(" " + notice)))
     minutes = ((F.col("conv_id") * 37 + F.col("turn")) % 1_000_000).cast("int")
     start = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
     return spread(load(spark, sf_dir, "conversations"), "conv_id", "turn").select(
@@ -138,7 +138,7 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _notice_sql() -> str:
-    cases = " ".join(f"WHEN {n} THEN {sql_string(t)}" for n, t in NOTICES.items())
+    cases = " ".join(f"WHEN {n} THEN text || {sql_string(' ' + t)}" for n, t in NOTICES.items())
     extra = sql_string(" 😀👨‍👩‍👧 ok‍é média OMIS fin")
     return f"CASE (conv_id * 7 + turn) % 12 WHEN 6 THEN text || {extra} {cases} ELSE text END"
 

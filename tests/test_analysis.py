@@ -90,13 +90,15 @@ def test_order_of_steps(spark, folder):
         a.write_csv()
     with pytest.raises(ValueError):
         ChatAnalysis(spark, "x", topic_method="magic")
+    with pytest.raises(TypeError, match="colour"):
+        ChatAnalysis(spark, "x", colour="red")
 
 
 def test_nothing_to_parse(spark, tmp_path):
     (tmp_path / "x.txt").write_text("hello")
-    with pytest.raises(ValueError, match="No messages"):
+    with pytest.raises(ValueError, match="hold no message"):
         ChatAnalysis(spark, str(tmp_path / "x.txt")).parse()
-    with pytest.raises(RuntimeError, match="No groups"):
+    with pytest.raises(RuntimeError, match="None of the"):
         ChatAnalysis(spark, str(tmp_path / "missing.txt")).parse()
 
 
