@@ -34,8 +34,8 @@ from parley.llm.common import column, crc_mod, saved, workers_ready
 from parley.llm.words import Words, mix, parts
 
 HELD_OUT = (5, 1)  # crc32(doc_id) mod 5 = 1 is never learned from
-SHARD_BYTES = 16 << 20
-BLOCK_BYTES = 6 << 20
+SHARD_BYTES = 10 << 20
+BLOCK_BYTES = 4 << 20
 HOT = 256
 DISCOUNT = (0.5, 0.8)  # of the parent and of the contexts
 STRENGTH = (10.0, 2.0)
@@ -87,12 +87,13 @@ def _frequent(held_out: tuple[int, int]):
     return run
 
 
-PAIRS = "shard int, block bigint, docs binary, train binary, context binary, runs binary, word binary, times binary, text binary"
+PAIRS = "shard int, block bigint, docs binary, texts int, train binary, context binary, runs binary, word binary, times binary, text binary"
 
 
 def _pairs(shards: int, hot: np.ndarray, held_out: tuple[int, int]):
     """Distinct pairs of each block by shard: contexts and their numbers of words,
-    words and their numbers of occurrences, and the text of each occurrence."""
+    words and their numbers of occurrences, and the text of each occurrence.
+    Only the first row of a block carries the keys of its texts."""
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -121,8 +122,8 @@ def _pairs(shards: int, hot: np.ndarray, held_out: tuple[int, int]):
                     c, w = c[first], w[first]
                     new = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
                     runs = np.diff(np.append(new, len(c)))
-                    rows.append((s, number, keys, learn.tobytes(), c[new].tobytes(), _small(runs), w.tobytes(), _small(times), _small(t)))
-                types = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
+                    rows.append((s, number, None if rows else keys, len(ids), learn.tobytes(), c[new].tobytes(), _small(runs), w.tobytes(), _small(times), _small(t)))
+                types = [pa.int32(), pa.int64(), pa.binary(), pa.int32(), *[pa.binary()] * 6]
                 names = [f.split()[0] for f in PAIRS.split(", ")]
                 for i in range(0, len(rows), 16):
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[i : i + 16], strict=True), types, strict=True)], names=names)
@@ -151,7 +152,7 @@ class Shard:
             word.append(w)
             at = np.cumsum(n) - n
             times.append(np.add.reduceat(learn[text], at))
-            self.blocks.append((row["block"], row["docs"], n, text))
+            self.blocks.append((row["block"], row["docs"], row["texts"], n, text))
         context, word, times = np.concatenate(context), np.concatenate(word), np.concatenate(times)
         pair = mix(context) + np.uint64(3) * word
         order = np.argsort(pair, kind="stable")
@@ -290,7 +291,7 @@ def _at_root(roots: int):
     return run
 
 
-SUMS = "block bigint, docs binary, score binary, base binary, known binary, tokens binary, vocabulary double, train double"
+SUMS = "block bigint, docs binary, texts int, score binary, base binary, known binary, tokens binary, vocabulary double, train double"
 
 
 def _score(roots: int, hot: np.ndarray):
@@ -321,13 +322,12 @@ def _score(roots: int, hot: np.ndarray):
         log_base = np.log10(count + 0.5)[own.dish]
         known = (count > 0)[own.dish]
         out, i = [], 0
-        for block, docs, n, text in own.blocks:
+        for block, docs, many, n, text in own.blocks:
             entry = own.entry[i : i + len(n)]
             i += len(n)
-            many = len(docs) // 8
             add = lambda values: np.bincount(text, weights=np.repeat(values[entry], n), minlength=many)  # noqa: B023, E731
             seen, all_ = add(known).astype(np.int64), np.bincount(text, minlength=many)
-            out.append((block, docs, add(log_model).tobytes(), add(log_base).tobytes(), _small(seen), _small(all_), vocabulary, train))
+            out.append((block, docs, many, add(log_model).tobytes(), add(log_base).tobytes(), _small(seen), _small(all_), vocabulary, train))
         return _table(out, SUMS)
 
     return run
@@ -339,7 +339,7 @@ OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_t
 def _of_block(held_out: tuple[int, int]):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         rows = sorted(rows.to_pylist(), key=lambda r: (r["score"], r["base"]))
-        ids = np.frombuffer(rows[0]["docs"], dtype=np.int64)
+        ids = np.frombuffer(next(r["docs"] for r in rows if r["docs"] is not None), dtype=np.int64)
         score, base, known, tokens = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for r in rows:
             score += np.frombuffer(r["score"])
