@@ -100,14 +100,18 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     starts = hits.select("doc_id", "n", "miss", (F.col("at") - F.col("offset")).alias("start")).distinct()
     shifted = starts.select("doc_id", "n", F.explode(F.sequence(F.col("start") - F.col("miss"), F.col("start") + F.col("miss"))).alias("start"))
     asked = shifted.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("asked"))
-    first = F.greatest(F.col("w.start"), F.lit(0))
-    stop = F.least(F.col("w.start") + F.col("w.n"), F.size("words"))
-    windows = (
-        texts.join(asked, "doc_id")
-        .select("doc_id", "words", F.explode("asked").alias("w"))
-        .select("doc_id", first.alias("start"), F.col("w.n").alias("n"), (stop - first).alias("length"), F.explode(shingles_of(F.col("words"), first, stop - (shingle - 1), shingle)).alias("shingle"))
+    # windows that stand out at an end are cut there; several may become the same
+    cut = lambda w: F.struct(
+        F.greatest(w["start"], F.lit(0)).alias("start"), w["n"].alias("n"), F.least(w["start"] + w["n"], F.size("words")).alias("stop")
     )
-    window = ["doc_id", "start", "n", "length"]
+    # rows that repeat a document's text are read once
+    once = texts.join(asked, "doc_id").withColumn("copy", F.xxhash64("words")).dropDuplicates(["doc_id", "copy"])
+    found = once.select("doc_id", "copy", "words", F.explode(F.array_distinct(F.transform("asked", cut))).alias("w"))
+    inside = shingles_of(F.col("words"), F.col("w.start"), F.col("w.stop") - (shingle - 1), shingle)
+    windows = found.select(
+        "doc_id", "copy", "w.start", "w.n", (F.col("w.stop") - F.col("w.start")).alias("length"), F.explode(inside).alias("shingle")
+    )
+    window = ["doc_id", "copy", "start", "n", "length"]
     counted = saved(windows.groupBy(*window, "shingle").agg(F.count(F.lit(1)).alias("weight")), "windows")
     own = items.select("item_id", "n", F.explode("shingles").alias("shingle")).groupBy("item_id", "n", "shingle").agg(F.count(F.lit(1)).alias("weight"))
     item_prints = simhash(own, "item_id", "n").select("item_id", "n", F.col("total").alias("item_total"), F.col("fingerprint").alias("item_print"), F.explode(_blocks(F.col("fingerprint"))).alias("b"))
