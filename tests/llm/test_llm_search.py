@@ -1,0 +1,97 @@
+import re
+
+import numpy as np
+import pytest
+from cases import SCHEMA, corpus, frame
+
+from parley.llm import hamming, surrogates
+
+
+def neighbours(ids, codes, query, k):
+    far = np.bitwise_count(codes ^ codes[ids == query][0]).astype(int)
+    order = [i for i in np.lexsort((ids, far)) if ids[i] != query][:k]
+    return [(int(far[i]), int(ids[i])) for i in order]
+
+
+@pytest.mark.parametrize("n,block", [(700, 16_384), (700, 40), (6, 16_384)])
+def test_nearest_codes(spark, n, block):
+    rng = np.random.default_rng(n)
+    centres = rng.standard_normal((4, 24))
+    rows = [(i, [float(x) for x in centres[i % 4] + 0.4 * rng.standard_normal(24)], "clash") for i in range(n)]
+    rows += [(1000 + i, rows[0][1], "clash") for i in range(60)]  # one vector many times
+    rows += [rows[1], (2000, None, "clash"), (2020, [1.0], "clash"), (None, rows[2][1], "clash"), (2040, [float("nan")] * 24, "clash")]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, code string")
+    table = hamming.binary_codes(vectors).distinct().toPandas()
+    ids, codes = table.vec_id.to_numpy(), table.code.to_numpy().view(np.uint64)
+    assert 2000 not in ids and 2020 not in ids and 2040 in ids
+    got = {}
+    for r in hamming.nearest(vectors, 10, 20, block).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.vec_id))
+    assert got == {int(q): neighbours(ids, codes, q, 10) for q in ids if q % 20 == 0}
+
+
+def test_few_and_no_vectors(spark):
+    two = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id bigint, embedding array<float>")
+    assert [(r.query_id, r.rank, r.vec_id) for r in hamming.nearest(two).collect()] == [(0, 1, 1)]
+    assert hamming.nearest(two.limit(0)).collect() == []
+
+
+TEXT = (
+    "Write to Maria.Lopez@mail3.example.com or +1 (743) 555-3824 from 10.20.3.251. Card 4111 1111 1111 1111, "
+    'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", SSN 123-45-6789. Maria Lopez met Dr. Weber; later Lopez called Maria. '
+    "Ольга Петрова wrote too. IBAN DE89 3704 0044 0532 0130 00. The year 2024, page 12 and v1.2.3 stay."
+)
+
+
+def test_types_and_formats():
+    kinds = [k for _, _, k in surrogates.mentions(TEXT)]
+    assert kinds == ["email", "phone", "ip", "card", "secret", "ssn", "first", "last", "last", "last", "first", "first", "last", "iban"]
+    assert surrogates.mentions("A clean text. Maria went home in 2024, at 12:30, for 5.5 km.") == []
+    make = surrogates.Surrogates(b"k")
+    assert surrogates.luhn(make.of("card", "4111111111111111")) == 0
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", make.of("phone", "+1 (743) 555-3824"))
+    assert all(0 <= int(o) <= 255 for o in make.of("ip", "10.20.3.251").split("."))
+    assert re.fullmatch(r"[a-z]{5}\.[a-z]{5}@[a-z]{4}\d\.[a-z]{7}\.com", make.of("email", "maria.lopez@mail3.example.com"))
+    assert re.fullmatch(r"[А-Я][а-я]{6}", make.of("last", "Петрова"))
+    for kind, names in surrogates.FIRST_NAMES.items():
+        new = [make.of("first", n) for n in names.split()]
+        assert sorted(new) == sorted(names.split()) and all(a != b for a, b in zip(new, names.split(), strict=True)), kind
+
+
+def test_permutations_are_one_to_one():
+    make = surrogates.Surrogates(b"k")
+    assert len({make.of("ssn", f"12{i // 100}-{i // 10 % 10}{i % 10}-0000") for i in range(300)}) == 300
+    assert sorted(make._permute(i, 37, "x") for i in range(37)) == list(range(37))
+
+
+def test_surrogates_in_documents(spark):
+    rows = corpus() + [(500, TEXT, "a"), (501, "Again maria.lopez@MAIL3.example.com and 4111-1111-1111-1111", "a")]
+    got = {r.doc_id: r for r in surrogates.with_surrogates(frame(spark, rows), "secret").collect()}
+    for i, text, _ in rows[:-2]:
+        assert (got[i].text, got[i].n_replaced) == (text, 0)
+    new = got[500].text
+    assert got[500].n_replaced == 14 and len(new) == len(TEXT)
+    for i, j, _ in surrogates.mentions(TEXT):
+        assert TEXT[i:j] not in new
+    last = re.search(r"met Dr\. (\w+); later (\w+) called (\w+)\.", new)
+    person = re.search(r"(\w+) (\w+) met", new)
+    assert last[2] == person[2] and last[3] == person[1] and last[1] != "Weber"
+    assert new.endswith("The year 2024, page 12 and v1.2.3 stay.")
+    email = re.search(r"to (\S+) or", new)[1]
+    assert email.lower() in got[501].text.lower()
+    again = {r.doc_id: r.text for r in surrogates.with_surrogates(frame(spark, rows), "secret").collect()}
+    other = {r.doc_id: r.text for r in surrogates.with_surrogates(frame(spark, rows), "another").collect()}
+    assert again[500] == new != other[500]
+    assert surrogates.with_surrogates(spark.createDataFrame([], SCHEMA), "k").collect() == []
+
+
+def test_collisions_are_tried_again(spark):
+    values = [f"{i}.{j}" for i in range(3) for j in range(4)]  # a format with few free strings
+    entities = spark.createDataFrame([("secret", f"a{i}") for i in range(8)] + [("phone", v) for v in values], "kind string, value string")
+    other = surrogates.exceptions(entities, b"k")
+    tweak = {(r.kind, r.value): r.tweak for r in other.collect()}
+    make = surrogates.Surrogates(b"k")
+    new = {(r.kind, r.value): make.of(r.kind, r.value, tweak.get((r.kind, r.value), 0)) for r in entities.collect()}
+    assert tweak
+    assert len({(k, s) for (k, _), s in new.items()}) == len(new)
+    assert not {(k, s) for (k, _), s in new.items()} & set(new)
