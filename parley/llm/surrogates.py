@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +176,7 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
         for m in _ENTITY.finditer(text):
             found.append((*m.span(m.lastgroup), m.lastgroup))
     names: list[tuple[int, int, str]] = []
+    kept: list[tuple[int, int, str]] = []
     for m in _PERSON.finditer(text):
         if m["first"] in _NAME_LIST:
             names += [(*m.span("first"), "first"), (*m.span("last"), "last")]
@@ -182,13 +184,14 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
     if names:
         known = {text[i:j]: kind for i, j, kind in names}
         alone = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(known, key=len, reverse=True))) + r")(?!\w)")
-        found += [(*m.span(), known[m.group()]) for m in alone.finditer(text)]
-        found.sort()
-    out: list[tuple[int, int, str]] = []
-    for span in found:
-        if not out or span[0] >= out[-1][1]:
-            out.append(span)
-    return out
+        # a name inside an address stays part of the address
+        begins = [i for i, _, _ in found]
+        for m in alone.finditer(text):
+            k = bisect_right(begins, m.start())
+            if (k and found[k - 1][1] > m.start()) or (k < len(begins) and begins[k] < m.end()):
+                continue
+            kept.append((*m.span(), known[m.group()]))
+    return sorted(found + kept)
 
 
 def _detect(batches):
