@@ -244,8 +244,14 @@ def _bin(raw: np.ndarray, bins: int) -> np.ndarray:
     return np.clip(np.floor((raw + 0.5) / 2 * bins), 0, bins - 1).astype(np.int64)
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, stats) of every row, written to the shared folder: texts are read once."""
+    rows = workers_ready(docs).select("doc_id", "text").mapInArrow(_statistics("doc_id"), "doc_id bigint, stats array<double>")
+    return saved(rows, "statistics")
+
+
 def fit(
-    docs: DataFrame,
+    stats: DataFrame,
     labels: DataFrame,
     features: int = FEATURES,
     ridge: float = RIDGE,
@@ -256,6 +262,7 @@ def fit(
 ):
     """A function from statistics to probabilities, learned from the labelled documents.
 
+    stats: as from ``measured``.
     labels: doc_id, quality (0 or 1; other values and nulls are ignored).  The
     driver gets ``folds`` systems of features squared numbers and at most
     ``bins`` sums.  Without any usable label every score is 0.5; a document with
@@ -264,8 +271,7 @@ def fit(
     use = labels.filter("quality in (0, 1) and doc_id is not null")
     if held_out:
         use = use.filter(remainder(F.col("doc_id"), held_out[0]) != held_out[1])
-    texts = docs.select("doc_id", "text").join(use.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    rows = saved(texts.mapInArrow(_statistics("doc_id", "label"), "doc_id bigint, label double, stats array<double>"), "labelled")
+    rows = saved(stats.join(use.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id"), "labelled")
     sums = rows.agg(
         F.count(F.lit(1)),
         *[f(F.col("stats")[i]) for i in range(len(STATISTICS)) for f in (F.avg, F.stddev_pop)],
@@ -275,11 +281,11 @@ def fit(
     mean, scale = np.array(sums[1::2]), np.array(sums[2::2])
     kernel = Kernel(mean, np.where(scale > 1e-9, scale, 1.0), features, width)
     partial = rows.mapInArrow(_equations(kernel, folds), "fold bigint, sums binary")
-    for n in (64, 8):
+    for n in (64, 8, 1):  # few numbers in the end: one matrix per fold
         partial = partial.repartition(n).mapInArrow(_added, "fold bigint, sums binary")
     size = 1 + len(STATISTICS) + features
     by_fold: dict[int, np.ndarray] = {}
-    for row in partial.collect():  # at most 8 * folds matrices
+    for row in partial.collect():
         by_fold[row.fold] = by_fold.get(row.fold, 0) + np.frombuffer(row.sums).reshape(size, size + 1)
     total = sum(by_fold.values())
     model = _solve(total, ridge)
@@ -307,22 +313,22 @@ def scored(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, **options
     statistics 0 and are scored like any other; repeated rows are scored each.
     Other columns are ignored.
     """
-    workers_ready(docs)
-    score = fit(docs, labels, **options)
+    stats = measured(docs)
+    score = fit(stats, labels, **options)
     held = options.get("held_out", HELD_OUT)
 
     def run(batches):
-        return _read(batches, lambda part: [pa.array(score(statistics(column(part, "text"))))], ["score"], "doc_id")
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(_matrix(batch)))], names=["doc_id", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
+    out = stats.mapInArrow(run, "doc_id bigint, score double")
     is_held = remainder(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), held[0]) == held[1] if held else F.lit(False)
     return out.select("doc_id", is_held.alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, **options) -> DataFrame:
     """The documents whose score reaches ``accept``, with their own columns only."""
-    workers_ready(docs)
-    score = fit(docs, labels, **options)
+    score = fit(measured(docs), labels, **options)
     names = docs.columns
     def run(batches):
         for batch in batches:
