@@ -55,6 +55,24 @@ def test_benchmark_passages(spark):
     assert decontaminate.find_passages(docs.limit(0), bench).collect() == []
 
 
+def test_passages_with_their_parts_in_another_order(spark):
+    rng = random.Random(12)
+    items = [(k, sentence(rng, n)) for k, n in enumerate([60, 90, 200])]
+    rows = []
+    for k, text in items:
+        w = text.split()
+        for part in (0.25, 0.33, 0.5, 0.75):
+            cut = int(len(w) * part)
+            swapped = " ".join(w[cut:] + w[:cut])
+            rows += [f"{sentence(rng, 40)} {swapped} {sentence(rng, 25)}", swapped, f"{sentence(rng, 9)} {' '.join((w[cut:] + w[:cut])[:-2])}"]
+        rows.append(" ".join(w[: len(w) // 2] + w))
+    rows = [(k, t, "a") for k, t in enumerate(rows)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.n_words, pytest.approx(r.similarity)) for r in decontaminate.find_passages(frame(spark, rows), bench).collect()}
+    want = passages_by_brute_force(rows, items)
+    assert got == want and len(want) > 30
+
+
 def test_repeated_rows_count_once(spark):
     rows = [(1, "a b c d e f g h", "a")] * 2
     bench = spark.createDataFrame([(5, "a b c d e f g h")] * 3, "item_id bigint, text string")
