@@ -4,12 +4,12 @@
    class; the rest works on one representative per class.
 2. A sketch of ``SKETCH`` min-wise values per set gives the tokens of the
    chosen-path recursion.  In a node, a set follows each token whose hash,
-   seeded by the path, lies below 1 / (threshold * SKETCH), so that similar
-   sets go on together for at least one child on average.  Sets alone in a
+   seeded by the path, lies below SPREAD / (threshold * SKETCH), so that similar
+   sets go on together for more than one child on average.  Sets alone in a
    node drop out; nodes of at most ``limit`` sets are compared by brute force
    on the sketches; larger nodes are split again.  After ``MAX_DEPTH`` levels
    what is left is compared block by block.  Runs are repeated until a pair at
-   the threshold is met with probability ``recall`` even at ``PLANNED_DEPTH``.
+   the threshold is met with probability ``recall`` even at ``MAX_DEPTH``.
 3. Candidates only say which sets to read: connected candidates are compared
    exactly, all with all, in blocks.  Tasks give the number of links of each
    set and a spanning forest, never the pairs.
@@ -32,10 +32,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 SKETCH = 64
-SLACK = 3.5  # standard deviations of the sketch's error that candidates may lie below the threshold
+SPREAD = 1.15  # children per node that two sets at the threshold share on average
 LIMIT = 1024
 BLOCK = 512
-PLANNED_DEPTH = 3
 MAX_DEPTH = 6
 
 _random = np.random.default_rng(20240)
@@ -43,17 +42,42 @@ _FACTOR = _random.integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) +
 _SHIFT = _random.integers(0, 1 << 32, SKETCH, dtype=np.uint64).astype(np.uint32)
 
 
-def runs_for(recall: float, depth: int = PLANNED_DEPTH) -> int:
+def _agreeing(threshold: float) -> list[float]:
+    """Probability that so many sketch values of two sets at the threshold agree."""
+    return [math.comb(SKETCH, x) * threshold**x * (1 - threshold) ** (SKETCH - x) for x in range(SKETCH + 1)]
+
+
+def least_agreeing(recall: float, threshold: float = THRESHOLD) -> int:
+    """Sketch values that candidates share at least: half of what may be missed lies below."""
+    lost, x = 0.0, 0
+    for x, odds in enumerate(_agreeing(threshold)):
+        lost += odds
+        if lost > (1 - recall) / 2:
+            break
+    return x
+
+
+def runs_for(recall: float, depth: int = MAX_DEPTH, threshold: float = THRESHOLD) -> int:
     """Runs after which a pair at the threshold was met with this probability.
 
-    At the threshold two sets share one child per node on average (Poisson), so
-    they are still together after d levels with probability p(d), where
-    p(0) = 1 and p(d) = 1 - exp(-p(d - 1)).
+    Two sets of which x sketch values agree share s = SPREAD * x / (threshold *
+    SKETCH) children per node on average (Poisson), so they are still together
+    after d levels with probability p(d), where p(0) = 1 and
+    p(d) = 1 - exp(-s * p(d - 1)).  All runs share the sketch, so what is missed
+    is averaged over x after the runs; pairs below ``least_agreeing`` are missed.
     """
-    p = 1.0
-    for _ in range(depth):
-        p = 1 - math.exp(-p)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+    least = least_agreeing(recall, threshold)
+    odds = _agreeing(threshold)
+    apart = []
+    for x in range(least, SKETCH + 1):
+        p = 1.0
+        for _ in range(depth):
+            p = 1 - math.exp(-SPREAD * x / (threshold * SKETCH) * p)
+        apart.append(1 - p)
+    runs = 1
+    while sum(odds[:least]) + sum(o * q**runs for o, q in zip(odds[least:], apart, strict=True)) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +146,7 @@ def _children(tokens: np.ndarray, paths: np.ndarray, limit: np.uint64) -> tuple[
 
 
 def _roots(runs: int, threshold: float):
-    limit = np.uint64(int((1 << 64) / (threshold * SKETCH)))
+    limit = np.uint64(min(int((1 << 64) * SPREAD / (threshold * SKETCH)), (1 << 64) - 1))
     seeds = mix(np.arange(1, runs + 1, dtype=np.uint64))
 
     def run(batches):
@@ -140,7 +164,7 @@ def _roots(runs: int, threshold: float):
 
 
 def _deeper(threshold: float):
-    limit = np.uint64(int((1 << 64) / (threshold * SKETCH)))
+    limit = np.uint64(min(int((1 << 64) * SPREAD / (threshold * SKETCH)), (1 << 64) - 1))
 
     def run(batches):
         for batch in batches:
@@ -156,20 +180,22 @@ def _deeper(threshold: float):
     return run
 
 
-def _brute_force(threshold: float):
-    """Candidate links of each bucket, as a spanning forest."""
-    least = math.ceil(SKETCH * (threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SKETCH)))
+def _brute_force(least: int):
+    """Candidate links of each bucket, as a spanning forest; what is connected already is not compared again."""
 
     def run(batches):
         a, b = [], []
         for _, (reps, sketches) in grouped(batches, "bucket", "rep", "sketch"):
             if len(reps) > 1:
-                sketch, forest = _sketch_matrix(sketches), Forest(len(reps))
+                sketch, part = _sketch_matrix(sketches), np.arange(len(reps))
                 for i in range(len(reps) - 1):
-                    for j in (np.flatnonzero((sketch[i + 1 :] == sketch[i]).sum(axis=1) >= least) + i + 1).tolist():
-                        if forest.join(i, j):
-                            a.append(reps[i])
-                            b.append(reps[j])
+                    other = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+                    near = other[(sketch[other] == sketch[i]).sum(axis=1) >= least]
+                    if len(near):
+                        joined, at = np.unique(part[near], return_index=True)
+                        a += [reps[i]] * len(joined)
+                        b += [reps[j] for j in near[at].tolist()]
+                        part[np.isin(part, joined)] = part[i]
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 a, b = [], []
@@ -192,9 +218,9 @@ def _in_blocks(rows: DataFrame, key: str, rep: str, block: int, *keep: str) -> D
     return split.withColumn("bucket", F.xxhash64(key, "pair.x", "pair.y"))
 
 
-def _candidates(reps: DataFrame, threshold: float, runs: int, limit: int) -> DataFrame:
+def _candidates(reps: DataFrame, threshold: float, recall: float, limit: int) -> DataFrame:
     sketches = reps.select("rep", "sketch")
-    nodes = sketches.mapInArrow(_roots(runs, threshold), "path bigint, rep bigint")
+    nodes = sketches.mapInArrow(_roots(runs_for(recall, threshold=threshold), threshold), "path bigint, rep bigint")
     found = None
     for depth in range(1, MAX_DEPTH + 1):
         nodes = saved(nodes, "paths")
@@ -203,7 +229,7 @@ def _candidates(reps: DataFrame, threshold: float, runs: int, limit: int) -> Dat
         last = depth == MAX_DEPTH
         small = shared if last else shared.filter(F.col("members") <= limit)
         buckets = _in_blocks(small, "path", "rep", limit).select("bucket", "rep").join(sketches, "rep")
-        links = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_brute_force(threshold), "a bigint, b bigint")
+        links = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_brute_force(least_agreeing(recall, threshold)), "a bigint, b bigint")
         found = links if found is None else found.union(links)
         large = shared.filter(F.col("members") > limit)
         if last or large.isEmpty():
@@ -317,7 +343,7 @@ def jaccard_links(
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch")),
         "representatives",
     )
-    candidates = components(_candidates(reps, threshold, runs_for(recall), limit))
+    candidates = components(_candidates(reps, threshold, recall, limit))
     sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     chosen = (
         candidates.join(sizes, "root")

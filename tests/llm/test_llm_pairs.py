@@ -1,7 +1,9 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
-from cases import corpus, frame, links_by_brute_force, removed_by_brute_force
+from cases import corpus, frame, links_by_brute_force, removed_by_brute_force, sentence
 
 from parley.llm import jaccard, substrings
 from parley.llm.common import components
@@ -63,6 +65,16 @@ def test_runs_follow_the_recall():
     assert jaccard.runs_for(0.999) > jaccard.runs_for(0.9)
 
 
+def test_recall_holds_in_nodes_split_to_the_end(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(600):  # pairs of similarity 0.8: 80 of 100 shingles
+        w = sentence(rng, 94, 100_000).split()
+        rows += [(2 * k, " ".join(w), "a"), (2 * k + 1, " ".join("new" if i in (30, 60) else x for i, x in enumerate(w)), "a")]
+    got = jaccard.jaccard_links(frame(spark, rows), limit=1).collect()
+    assert sum(r.n_links == 0 for r in got) // 2 <= 3  # 0.6 on average
+
+
 def test_shared_counts():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 5, 40, 40, 1)]
