@@ -57,8 +57,9 @@ _ENTITY = re.compile(
 )
 _TRIGGER = re.compile(r"[0-9@=:]")
 _UPPER = r"[A-ZÀ-ÖØ-ÞА-Я]"
-_PERSON = re.compile(rf"(?<!\w)(?P<first>{_UPPER}[^\W\d_]+)(?P<middle>(?: {_UPPER}\.)*) (?P<last>{_UPPER}[^\W\d_]+(?:-{_UPPER}[^\W\d_]+)?)")
-_TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES.split())})\.? (?P<last>{_UPPER}[^\W\d_]{{2,}})")
+_FIRST = "(?:" + "|".join(_NAME_LIST) + ")"
+_PERSON = re.compile(rf"(?<!\w)(?P<first>{_FIRST}(?:[ -]{_FIRST})*)(?P<middle>(?: {_UPPER}\.)*) (?P<last>{_UPPER}[^\W\d_]+(?:-{_UPPER}[^\W\d_]+)?)")
+_TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES.split())})\.? (?:{_FIRST} )*(?:{_UPPER}\. )*(?P<last>{_UPPER}[^\W\d_]{{2,}})")
 
 
 def luhn(digits: str) -> int:
@@ -178,8 +179,11 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
     names: list[tuple[int, int, str]] = []
     kept: list[tuple[int, int, str]] = []
     for m in _PERSON.finditer(text):
-        if m["first"] in _NAME_LIST:
-            names += [(*m.span("first"), "first"), (*m.span("last"), "last")]
+        at = m.start("first")
+        for name in re.split("[ -]", m["first"]):
+            names.append((at, at + len(name), "first"))
+            at += len(name) + 1
+        names.append((*m.span("last"), "last"))
     names += [(*m.span("last"), "last") for m in _TITLED.finditer(text) if m["last"] not in _NAME_LIST]
     if names:
         known = {text[i:j]: kind for i, j, kind in names}

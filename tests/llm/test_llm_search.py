@@ -58,6 +58,24 @@ def test_types_and_formats():
         assert sorted(new) == sorted(names.split()) and all(a != b for a, b in zip(new, names.split(), strict=True)), kind
 
 
+@pytest.mark.parametrize(
+    "text,names",
+    [
+        ("Contact John Smith, then Smith", ["John", "Smith", "Smith"]),
+        ("When Maria Lopez came", ["Maria", "Lopez"]),
+        ("Dear Mary Jones", ["Mary", "Jones"]),
+        ("Mr John Smith", ["John", "Smith"]),
+        ("Dr Anna Weber", ["Anna", "Weber"]),
+        ("Dr. J. Weber", ["Weber"]),
+        ("Hello Jean-Pierre Martin", ["Jean", "Pierre", "Martin"]),
+        ("With Maria Anna Lopez", ["Maria", "Anna", "Lopez"]),
+        ("Contact Johnson Smith", []),
+    ],
+)
+def test_names_after_a_capitalised_word(text, names):
+    assert [text[i:j] for i, j, _ in surrogates.mentions(text)] == names
+
+
 def test_permutations_are_one_to_one():
     make = surrogates.Surrogates(b"k")
     assert len({make.of("ssn", f"12{i // 100}-{i // 10 % 10}{i % 10}-0000") for i in range(300)}) == 300
