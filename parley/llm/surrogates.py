@@ -53,8 +53,9 @@ _ENTITY = re.compile(
     r"|(?P<phone>(?<![\w])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![\w])"
     r"|(?<![\w])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![\w]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w])(?:[0-9][ -]?){12,18}[0-9](?![\w]))",
+    r"|(?P<card>(?<![\w])(?:[0-9]{13,19}|[0-9]{4}(?P<sep>[ -])(?:[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{4}(?:(?P=sep)[0-9]{3})?|[0-9]{6}(?P=sep)[0-9]{4,5}))(?![\w]))",
 )
+KINDS = ("email", "secret", "hex", "iban", "ip", "phone", "ssn", "card")
 _TRIGGER = re.compile(r"[0-9@=:]")
 _UPPER = r"[A-ZÀ-ÖØ-ÞА-Я]"
 _FIRST = "(?:" + "|".join(_NAME_LIST) + ")"
@@ -70,6 +71,25 @@ def luhn(digits: str) -> int:
     return total % 10
 
 
+def card_length(text: str, start: int, stop: int) -> int:
+    """Letters of the card number that a match of the card pattern begins with, or 0.
+
+    A run of 16 digits or a usual grouping counts as it is; a run of another length,
+    a fifth group and a piece of a longer row of groups only with a right check-sum.
+    """
+    card = text[start:stop]
+    digits = re.sub(r"[ -]", "", card)
+    if luhn(digits) == 0:
+        return len(card)
+    if len(digits) == len(card):
+        return len(card) if len(card) == 16 else 0
+    if len(digits) == 19:
+        return 19
+    sep = card[4]
+    row = re.compile(rf"{sep}[0-9]{{4}}(?![\w])").match(text, stop) or re.search(rf"(?<!\w)[0-9]{{4}}{sep}$", text[max(0, start - 6) : start])
+    return 0 if row else len(card)
+
+
 def normal(kind: str, text: str) -> str:
     """The form that two mentions of one entity share."""
     if kind in ("card", "iban"):
@@ -174,8 +194,16 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
     """(start, stop, kind) of each entity in a text, in order, without overlaps."""
     found = []
     if _TRIGGER.search(text):
-        for m in _ENTITY.finditer(text):
-            found.append((*m.span(m.lastgroup), m.lastgroup))
+        at = 0
+        while m := _ENTITY.search(text, at):
+            kind = next(k for k in KINDS if m[k] is not None)
+            i, at = m.span(kind)
+            if kind == "card":
+                size = card_length(text, i, at)
+                at = i + size if size else i + len(re.match("[0-9]+", m[kind])[0])
+                if not size:
+                    continue
+            found.append((i, at, kind))
     names: list[tuple[int, int, str]] = []
     kept: list[tuple[int, int, str]] = []
     for m in _PERSON.finditer(text):
@@ -278,7 +306,7 @@ def _replace(key: bytes):
 def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_replaced): the texts with every detected entity replaced.
 
-    Detected: e-mail and IPv4 addresses, phone, card (13 to 19 digits), social
+    Detected: e-mail and IPv4 addresses, phone, card (see ``card_length``), social
     security and bank account numbers, secrets after a name like ``token =``, long
     hexadecimal strings, and persons (a listed first name and a surname, or a title
     and a surname) with later mentions of their parts.  Everything else stays as it

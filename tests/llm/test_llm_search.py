@@ -76,6 +76,26 @@ def test_names_after_a_capitalised_word(text, names):
     assert [text[i:j] for i, j, _ in surrogates.mentions(text)] == names
 
 
+@pytest.mark.parametrize(
+    "text,cards",
+    [
+        ("2024-01-15 2024-01-16", []),
+        ("1 2 3 4 5 6 7 8 9 10 11 12 13", []),
+        ("12 345 678 901 234 567", []),
+        ("at 1700000000001 ms", []),
+        ("1112 2222 3333 4444 5555 6666", []),
+        ("4465758382889437 12", ["4465758382889437"]),
+        ("4465758382889437 4111111111111111", ["4465758382889437", "4111111111111111"]),
+        ("4111 1111 1111 1111 123", ["4111 1111 1111 1111"]),
+        ("3782-822463-10005.", ["3782-822463-10005"]),
+        ("4111-1111-1111-1111", ["4111-1111-1111-1111"]),
+    ],
+)
+def test_only_card_numbers_are_cards(text, cards):
+    found = surrogates.mentions(text)
+    assert [text[i:j] for i, j, _ in found] == cards and {k for *_, k in found} <= {"card"}
+
+
 def test_permutations_are_one_to_one():
     make = surrogates.Surrogates(b"k")
     assert len({make.of("ssn", f"12{i // 100}-{i // 10 % 10}{i % 10}-0000") for i in range(300)}) == 300
