@@ -46,7 +46,7 @@ _HEX = {c: a for a in ("0123456789abcdef", "ABCDEF") for c in a}
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _ENTITY = re.compile(
     r"(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?:\b(?:token|secret|password|passwd|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)(?P<secret>[^\s\"'<>,;]{8,})"
+    r"|(?:(?i:token|secret|password|passwd|api[_-]?key)(?:[_-]\w+|[0-9]+)?(?!\w)[\"']?\s*[=:]\s*[\"']?)(?P<secret>[^\s\"'<>,;]{8,})"
     r"|(?P<hex>(?<![\w])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\w]))"
     r"|(?P<iban>(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\w]))"
     rf"|(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.[0-9]))"
@@ -56,6 +56,7 @@ _ENTITY = re.compile(
     r"|(?P<card>(?<![\w])(?:[0-9]{13,19}|[0-9]{4}(?P<sep>[ -])(?:[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{4}(?:(?P=sep)[0-9]{3})?|[0-9]{6}(?P=sep)[0-9]{4,5}))(?![\w]))",
 )
 KINDS = ("email", "secret", "hex", "iban", "ip", "phone", "ssn", "card")
+_COUNTRY = re.compile(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})")
 _TRIGGER = re.compile(r"[0-9@=:]")
 _UPPER = r"[A-ZÀ-ÖØ-ÞА-Я]"
 _FIRST = "(?:" + "|".join(_NAME_LIST) + ")"
@@ -94,6 +95,8 @@ def normal(kind: str, text: str) -> str:
     """The form that two mentions of one entity share."""
     if kind in ("card", "iban"):
         return re.sub(r"[ -]", "", text)
+    if kind == "phone":
+        return re.sub(r"[^0-9+]", "", text)
     return text.lower() if kind == "email" else text
 
 
@@ -172,7 +175,7 @@ class Surrogates:
         if kind == "iban":
             return text[:2] + self._letters(text[2:], label)
         if kind == "phone":
-            code = re.match(r"\+[0-9]{1,3}(?![0-9])", text)
+            code = _COUNTRY.match(text)
             at = code.end() if code else 0
             return text[:at] + self._letters(text[at:], label)
         if kind in ("hex",) or kind == "secret" and set(text) <= set(_HEX):
@@ -182,8 +185,8 @@ class Surrogates:
 
 def _spelled(kind: str, mention: str, surrogate: str) -> str:
     """A surrogate in the spelling of the mention: its separators and case."""
-    if kind in ("card", "iban"):
-        new = iter(surrogate)
+    if kind in ("card", "iban", "phone"):
+        new = (c for c in surrogate if c.isalnum())
         return "".join(next(new) if c.isalnum() else c for c in mention)
     if kind == "email" and len(mention) == len(surrogate):
         return "".join(s.upper() if m.isupper() else s for m, s in zip(mention, surrogate, strict=True))

@@ -96,6 +96,21 @@ def test_only_card_numbers_are_cards(text, cards):
     assert [text[i:j] for i, j, _ in found] == cards and {k for *_, k in found} <= {"card"}
 
 
+@pytest.mark.parametrize("name", ["API_KEY=", "Password: ", "access_token=", "client_secret=", "x-api-key: ", "TOKEN_2 = ", "token="])
+def test_names_of_secrets(name):
+    text = f"{name}s3cr3tvalue99 end"
+    assert [(text[i:j], k) for i, j, k in surrogates.mentions(text)] == [("s3cr3tvalue99", "secret")]
+    assert surrogates.mentions("The secretary: Everybody, tokenizer: something") == []
+
+
+def test_spellings_of_one_phone(spark):
+    rows = [(1, "call +1 (743) 555-3824 now", "a"), (2, "call +1 743-555-3824 now", "a"), (3, "call +49 30 1234 5678 now", "a")]
+    got = {r.doc_id: r.text for r in surrogates.with_surrogates(frame(spark, rows), "k").collect()}
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} now", got[1]) and got[1] != rows[0][1]
+    assert re.sub(r"\D", "", got[1]) == re.sub(r"\D", "", got[2])
+    assert re.fullmatch(r"call \+49 \d\d \d{4} \d{4} now", got[3])
+
+
 def test_permutations_are_one_to_one():
     make = surrogates.Surrogates(b"k")
     assert len({make.of("ssn", f"12{i // 100}-{i // 10 % 10}{i % 10}-0000") for i in range(300)}) == 300
