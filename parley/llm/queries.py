@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import chats, decontaminate, hamming, jaccard, mixing, pitman_yor, quality, sharding, substrings, surrogates
+from parley.llm import chats, decontaminate, exact, hamming, jaccard, mixing, periods, pitman_yor, quality, sharding, spelling, substrings, surrogates
 from parley.llm.common import WORD, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,3 +181,54 @@ def op4_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
 def op8_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest codes of every twentieth vector."""
     return hamming.nearest(table(spark, folder, "embeddings"))
+
+
+# crc32 bit by bit: every byte of the text, followed by seven zeros for its other bits
+_SPELLING_SQL = r"""
+with recursive runs as (select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+per as (select run, coalesce(doc_id::varchar, '') || ':' || run as tagged, count(*) as c from runs group by all),
+coded as (select run, c, xor(4294967295::ubigint, list_reduce(flatten(list_transform(string_split(tagged, ''), lambda x:
+    case when unicode(x) < 128 then [unicode(x), 0, 0, 0, 0, 0, 0, 0]::ubigint[]
+         else [192 + (unicode(x) >> 6), 0, 0, 0, 0, 0, 0, 0, 128 + (unicode(x) & 63), 0, 0, 0, 0, 0, 0, 0]::ubigint[] end)),
+    lambda acc, e: xor(xor(acc, e) >> 1, 3988292384::ubigint * (xor(acc, e) & 1)), 4294967295::ubigint)) as h from per),
+slipped as (select case when h % 97 = 0 then left(run, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, c from coded),
+words as (select word, sum(c)::bigint as n from slipped where length(word) >= 5 group by 1 having sum(c) >= 3),
+less as (select word, n, i, left(word, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+pair as (select a.word, b.word as near, b.n as near_n from less a join less b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+         union select l.word, w.word, w.n from less l join words w on l.rest = w.word
+         union select w.word, l.word, l.n from less l join words w on l.rest = w.word),
+best as (select word, count(*) as n_near, arg_min(near, (-near_n, near)) as near, max(near_n) as near_n from pair group by 1),
+form as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when near_n >= 2 * w.n then near end as form, case when near_n >= 2 * w.n then near_n end as form_n
+         from words w left join best b using (word)),
+up(word, root) as (select word, word from form union all select up.word, f.form from up join form f on f.word = up.root where f.form is not null)
+select f.word, f.form, u.root, f.n, f.n_near::bigint as n_near, f.form_n from form f join (
+  select up.word, up.root from up join form f on f.word = up.root where f.form is null) u on u.word = f.word
+"""
+
+
+@query("op11_spelling_variants", _SPELLING_SQL)
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word with its near words and the form it is a variant of."""
+    return spelling.variants(spelling.counted(table(spark, folder, "documents"), slip=97))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every document, after its words were made to repeat."""
+    return periods.run_digest(periods.collapsed(periods.overlaid(table(spark, folder, "documents"))))
+
+
+_EXACT_SQL = r"""
+with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256,
+                  max(length(coalesce(text, ''))) as n from documents group by 1, 2),
+w as (select *, first_value(doc_id) over (partition by text_sha256 order by n desc, doc_id nulls last) as keep_id,
+             count(*) over (partition by text_sha256) as group_size from d)
+select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, text_sha256 from w
+"""
+
+
+@query("op13_exact_dedup", _EXACT_SQL)
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the one of its equals that stays."""
+    return exact.deduplicated(table(spark, folder, "documents"))

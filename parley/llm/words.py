@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = max(CHUNK, 1 << (n - 1).bit_length())
     if size not in _powers:
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -83,7 +83,7 @@ class Words:
             part = self.data[at : self.stop[j - 1]].astype(np.uint64)
             if lower:
                 part += ((part >= 65) & (part <= 90)).astype(np.uint64) * np.uint64(32)
-            up, down = _power_table(len(part))
+            up, down = power_table(len(part))
             part += np.uint64(1)
             part *= up[: len(part)]
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)))
