@@ -126,7 +126,7 @@ def _grams(rows: DataFrame) -> DataFrame:
 
 def near_words(words: DataFrame, pairs: int = PAIRS) -> DataFrame:
     """(a, a_n, b, b_n): each two of the distinct words (word, n) that one edit parts, once."""
-    rows = words.filter(F.char_length("word") > 1).select(F.col("word"), "n", F.lit("").alias("path"), F.col("word").alias("rest"), F.char_length("word").alias("length"))
+    rows = words.select("word", "n", F.lit("").alias("path"), F.col("word").alias("rest"), F.char_length("word").alias("length"))
     chunks = rows
     # a word meets words of its own length and words shorter by one
     grams = rows.withColumn("length", F.explode(F.array("length", F.col("length") - 1)))
