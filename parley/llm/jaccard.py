@@ -7,9 +7,14 @@
    seeded by the path, lies below SPREAD / (threshold * SKETCH), so that similar
    sets go on together for more than one child on average.  Sets alone in a
    node drop out; nodes of at most ``limit`` sets are compared by brute force
-   on the sketches; larger nodes are split again.  After ``MAX_DEPTH`` levels
-   what is left is compared block by block.  Runs are repeated until a pair at
-   the threshold is met with probability ``recall`` even at ``MAX_DEPTH``.
+   on the sketches.  In a larger node every set is compared with a few pivots.
+   Sets alike to one pivot are connected through it; where they are all but
+   ``limit`` sets of the node, they are compared with those others, block by
+   block, and the node is done, so that near copies, which no split separates,
+   do not go down together.  The remaining nodes are split again; after
+   ``MAX_DEPTH`` levels what is left is compared block by block.  Runs are
+   repeated until a pair at the threshold is met with probability ``recall``
+   even at ``MAX_DEPTH``.
 3. Candidates only say which sets to read: connected candidates are compared
    exactly, all with all, in blocks.  Tasks give the number of links of each
    set and a spanning forest, never the pairs.
@@ -36,6 +41,7 @@ SPREAD = 1.15  # children per node that two sets at the threshold share on avera
 LIMIT = 1024
 BLOCK = 512
 MAX_DEPTH = 6
+PIVOTS = 4
 
 _random = np.random.default_rng(20240)
 _FACTOR = _random.integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -130,8 +136,8 @@ def _sketches(size: int):
     return run
 
 
-def _sketch_matrix(sketches: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), dtype=np.uint32).reshape(len(sketches), SKETCH)
+def _sketch_matrix(sketches: list[bytes], width: int = SKETCH) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), dtype=np.uint32).reshape(len(sketches), width)
 
 
 def _tokens(sketch: np.ndarray) -> np.ndarray:
@@ -180,22 +186,42 @@ def _deeper(threshold: float):
     return run
 
 
+def _marked(least: int):
+    """Which pivots of its node (column ``pivots``, their sketches) each set is a candidate for, as bits."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                own = _sketch_matrix(column(part, "sketch").to_pylist())
+                pivots = _sketch_matrix(column(part, "pivots").to_pylist(), PIVOTS * SKETCH).reshape(-1, PIVOTS, SKETCH)
+                alike = (pivots == own[:, None, :]).sum(axis=2) >= least
+                bits = (alike << np.arange(PIVOTS)).sum(axis=1)
+                arrays = [column(part, "path"), column(part, "rep"), column(part, "sketch"), pa.array(bits.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["path", "rep", "sketch", "alike"])
+
+    return run
+
+
 def _brute_force(least: int):
-    """Candidate links of each bucket, as a spanning forest; what is connected already is not compared again."""
+    """Candidate links of each bucket, as a spanning forest; what is connected
+    already (``joined``, or by a link found here) is not compared again."""
 
     def run(batches):
         a, b = [], []
-        for _, (reps, sketches) in grouped(batches, "bucket", "rep", "sketch"):
+        for _, (reps, sketches, joined) in grouped(batches, "bucket", "rep", "sketch", "joined"):
             if len(reps) > 1:
                 sketch, part = _sketch_matrix(sketches), np.arange(len(reps))
+                together = np.flatnonzero(joined)
+                part[together] = together[:1]
                 for i in range(len(reps) - 1):
                     other = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
                     near = other[(sketch[other] == sketch[i]).sum(axis=1) >= least]
                     if len(near):
-                        joined, at = np.unique(part[near], return_index=True)
-                        a += [reps[i]] * len(joined)
+                        parts_, at = np.unique(part[near], return_index=True)
+                        a += [reps[i]] * len(parts_)
                         b += [reps[j] for j in near[at].tolist()]
-                        part[np.isin(part, joined)] = part[i]
+                        part[np.isin(part, parts_)] = part[i]
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 a, b = [], []
@@ -218,23 +244,59 @@ def _in_blocks(rows: DataFrame, key: str, rep: str, block: int, *keep: str) -> D
     return split.withColumn("bucket", F.xxhash64(key, "pair.x", "pair.y"))
 
 
+def _dense(large: DataFrame, least: int, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Large nodes (path, rep, sketch) that one pivot connects but for ``limit``
+    sets: links to the pivot and buckets that compare its sets with the others.
+    The rows of all other nodes come third."""
+    chosen = [F.min(F.struct(F.xxhash64(F.lit(k), "rep").alias("order"), "rep", "sketch")).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = saved(large.groupBy("path").agg(*chosen), "pivots")
+    packed = pivots.select("path", F.concat(*[f"p{k}.sketch" for k in range(PIVOTS)]).alias("pivots"))
+    kind = "path bigint, rep bigint, sketch binary, alike int"
+    marked = saved(large.select("path", "rep", "sketch").join(packed, "path").mapInArrow(_marked(least), kind), "marked")
+
+    counts = [F.count_if(F.col("alike").bitwiseAND(1 << k) != 0).alias(f"n{k}") for k in range(PIVOTS)]
+    met = marked.groupBy("path").agg(F.count(F.lit(1)).alias("members"), *counts)
+    best = F.greatest(*[F.struct(F.col(f"n{k}").alias("n"), F.lit(k).alias("k")) for k in range(PIVOTS)])
+    met = met.select("path", "members", best.alias("best")).join(pivots, "path")
+    pivot = F.element_at(F.array(*[f"p{k}.rep" for k in range(PIVOTS)]), F.col("best.k") + 1)
+    nodes = met.select("path", (F.col("members") - F.col("best.n")).alias("others"), F.col("best.n").alias("n"), F.col("best.k").alias("k"), pivot.alias("pivot"))
+    rows = saved(marked.join(nodes, "path"), "large-nodes")
+
+    done = rows.filter(F.col("others") <= limit).withColumn("joined", F.expr("alike & shiftleft(1, k)") != 0)
+    links = done.filter("joined and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    blocks = F.ceil(F.col("n") / F.lit(limit)).cast("int")
+    own = F.array(F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int"))
+    block = F.explode(F.when(F.col("joined"), own).otherwise(F.sequence(F.lit(0), blocks - 1)))
+    dealt = done.filter("others > 0").select("path", "rep", "sketch", "joined", block.alias("block"))
+    buckets = dealt.select(F.xxhash64("path", "block").alias("bucket"), "rep", "sketch", "joined")
+    return links, buckets, rows.filter(F.col("others") > limit).select("path", "rep", "sketch", (F.col("n") + F.col("others")).alias("members"))
+
+
 def _candidates(reps: DataFrame, threshold: float, recall: float, limit: int) -> DataFrame:
-    sketches = reps.select("rep", "sketch")
+    sketches, least = reps.select("rep", "sketch"), least_agreeing(recall, threshold)
     nodes = sketches.mapInArrow(_roots(runs_for(recall, threshold=threshold), threshold), "path bigint, rep bigint")
     found = None
     for depth in range(1, MAX_DEPTH + 1):
         nodes = saved(nodes, "paths")
         counts = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
         shared = saved(nodes.join(counts, "path"), "shared-paths")
-        last = depth == MAX_DEPTH
-        small = shared if last else shared.filter(F.col("members") <= limit)
-        buckets = _in_blocks(small, "path", "rep", limit).select("bucket", "rep").join(sketches, "rep")
-        links = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_brute_force(least_agreeing(recall, threshold)), "a bigint, b bigint")
-        found = links if found is None else found.union(links)
+        alone = F.lit(False).alias("joined")
+        buckets = shared.filter(F.col("members") <= limit).join(sketches, "rep").select(F.col("path").alias("bucket"), "rep", "sketch", alone)
         large = shared.filter(F.col("members") > limit)
-        if last or large.isEmpty():
+        large = None if large.isEmpty() else saved(large.join(sketches, "rep"), "large")
+        if large is not None:
+            links, more, large = _dense(large, least, limit)
+            found = links if found is None else found.union(links)
+            buckets = buckets.union(more)
+            large = None if large.isEmpty() else large
+        if large is not None and depth == MAX_DEPTH:
+            rest = _in_blocks(large, "path", "rep", limit, "sketch")
+            buckets, large = buckets.union(rest.select("bucket", "rep", "sketch", alone)), None
+        links = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_brute_force(least), "a bigint, b bigint")
+        found = links if found is None else found.union(links)
+        if large is None:
             return found
-        nodes = large.select("path", "rep").join(sketches, "rep").mapInArrow(_deeper(threshold), "path bigint, rep bigint")
+        nodes = large.select("path", "rep", "sketch").mapInArrow(_deeper(threshold), "path bigint, rep bigint")
     return found
 
 

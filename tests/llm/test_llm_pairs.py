@@ -86,3 +86,39 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (105, 101), (7, 7)]
     got = components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()
     assert {r.node: r.root for r in got} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 105: 100}
+
+
+def near_copies(spark, groups, seed=5):
+    """Representatives whose sketches agree in about 95% of the values within a group."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for n in groups:
+        base = rng.integers(0, 1 << 32, jaccard.SKETCH, dtype=np.uint64).astype(np.uint32)
+        for _ in range(n):
+            own = base.copy()
+            other = rng.random(jaccard.SKETCH) < 0.03
+            own[other] = rng.integers(0, 1 << 32, int(other.sum()), dtype=np.uint64).astype(np.uint32)
+            rows.append((len(rows), own.tobytes()))
+    return spark.createDataFrame(rows, "rep bigint, sketch binary").repartition(4)
+
+
+def test_dense_nodes_are_not_split(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("near copies were split")
+
+    monkeypatch.setattr(jaccard, "_deeper", never)
+    reps = near_copies(spark, [300, 40, 1, 1, 1])
+    links = jaccard._candidates(reps, 0.8, 0.999, 64).collect()
+    assert len(links) < 40 * 400  # a few for each set and run, not each pair
+    classes = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert classes == {i: 0 if i < 300 else 300 for i in range(340)}
+
+
+def test_two_dense_groups_in_one_node(spark):
+    """Half of the sketch is common to both groups: not alike, but often in one node."""
+    rows = near_copies(spark, [200, 200]).collect()
+    common = rows[0].sketch[:80]
+    reps = spark.createDataFrame([(r.rep, common + r.sketch[80:]) for r in rows], "rep bigint, sketch binary")
+    links = jaccard._candidates(reps, 0.8, 0.999, 50)
+    classes = {r.node: r.root for r in components(links).collect()}
+    assert classes == {i: 0 if i < 200 else 200 for i in range(400)}
