@@ -1,6 +1,7 @@
 import glob
 import os
 import re
+import shutil
 import subprocess
 import sys
 
@@ -19,6 +20,25 @@ def test_contract():
     assert names <= texts
 
 
+def _without(tmp_path, *gone: str) -> list[str]:
+    """Names of the queries of a copy of the tree that lacks some parts."""
+    copy = tmp_path / "copy"
+    lacks = {os.path.join(ROOT, part) for part in gone}
+    shutil.copytree(ROOT, copy, ignore=lambda d, names: [n for n in names if n.startswith(".") or os.path.join(d, n) in lacks])
+    code = "import __spark_entry__ as e; e.oracle_sql(); print(*e.queries())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0, run.stderr[-2000:]
+    return run.stdout.split()
+
+
+@pytest.mark.parametrize("gone", [("parley/llm", "tests/llm"), ("parley/llm", "tests/llm", "corpus_pipeline.py")])
+def test_imports_without_the_training_data_operators(tmp_path, gone):
+    from parley.plans.queries import QUERIES
+
+    assert _without(tmp_path, *gone) == list(QUERIES)
+
+
 @pytest.mark.skipif(not glob.glob(f"{DATA}/*.parquet"), reason="needs the given tables")
 def test_flagship(spark):
     import __spark_entry__ as entry
