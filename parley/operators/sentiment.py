@@ -15,7 +15,7 @@ from parley.functions.lookup import word_lookup
 from parley.functions.once import computed_once
 from parley.operators.clean import values_for_tokens
 from parley.operators.temporal import timed
-from parley.session import attach
+from parley.session import attach, checkpointed
 
 log = logging.getLogger(__name__)
 
@@ -98,11 +98,12 @@ def _adjusted(words: Column, values: Column, i: Column, boost: Callable) -> Colu
     )
 
 
-def total_valence(words: Column, values: Column, but_at: Column) -> Column:
+def total_valence(words: Column, values: Column, but_at: Column, fixed: Column | None = None) -> Column:
     """Sum of the adjusted valences of a token array, not yet normalised.
 
-    ``but_at`` is the index of the first "but" or -1.  All arguments must be
-    plain columns: they are read for every token.
+    ``but_at`` is the index of the first "but" or -1; ``fixed`` has the valences
+    that no neighbouring word changes.  All arguments must be plain columns:
+    they are read for every token.
     """
     boosters = {w: BOOST for w in INTENSIFIERS} | {w: -BOOST for w in DAMPENERS}
     boost = word_lookup(boosters, "double")
@@ -114,7 +115,8 @@ def total_valence(words: Column, values: Column, but_at: Column) -> Column:
             .otherwise(1.0)
         )
         counts = value.isNotNull() & boost(F.get(words, i)).isNull()
-        return F.when(counts, _adjusted(words, values, i, boost) * contrast).otherwise(0.0)
+        own = F.when(counts, _adjusted(words, values, i, boost) * contrast).otherwise(0.0)
+        return own if fixed is None else F.coalesce(F.get(fixed, i) * contrast, own)
 
     return F.aggregate(F.transform(values, valence), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -124,6 +126,55 @@ def normalise_score(total: Column) -> Column:
     return F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)), 4)
 
 
+LONGEST_PHRASE = 5  # words
+
+
+def consecutive(tokens: str, n: int) -> Column:
+    """Every n consecutive tokens, joined by a space, in order."""
+    at = F.sequence(F.lit(1), F.size(tokens) - n + 1)
+    return F.when(F.size(tokens) >= n, F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def with_phrases(
+    messages: DataFrame, phrases: DataFrame, row_key: Sequence[str] | None, tokens: str, values: str, output: str
+) -> DataFrame:
+    """Let phrases of a table (phrase, value) override the values of their words.
+
+    Of the phrases that cover a word the longest holds it, of equally long ones
+    the first.  A phrase counts, at its last word, if it holds that word; the
+    other words that phrases cover are worth 0.  ``output`` gets the value of each
+    token that a phrase covers, ``values`` is changed.
+    Phrases have up to ``LONGEST_PHRASE`` words, separated by single spaces.
+    """
+    phrases = checkpointed(phrases.filter("phrase is not null").select(F.col("phrase").alias("word"), "value", F.size(F.split("phrase", " ")).alias("n")))
+    lengths = [r["n"] for r in phrases.select("n").distinct().orderBy(F.desc("n")).limit(LONGEST_PHRASE + 1).collect()]
+    if lengths and lengths[0] > LONGEST_PHRASE:
+        raise ValueError(f"phrases have up to {LONGEST_PHRASE} words, not {lengths[0]}")
+    kept = messages.columns
+    for n in lengths:
+        messages = computed_once(messages, f"_grams{n}", consecutive(tokens, n))
+        messages = values_for_tokens(messages, phrases.filter(F.col("n") == n).select("word", "value"), row_key, f"_phrase{n}", "double", tokens=f"_grams{n}")
+        messages = computed_once(messages, f"_phrase{n}", F.col(f"_phrase{n}"))
+
+    def holder(i: Column) -> Column:
+        """Value of the phrase that holds token i, and whether the token is its last."""
+        held = [
+            F.when(value.isNotNull(), F.struct(value.alias("value"), F.lit(back == 0).alias("last")))
+            for n in lengths
+            for back in range(n)
+            for value in [F.get(f"_phrase{n}", i - (n - 1 - back))]
+        ]
+        return F.coalesce(*held)
+
+    if not lengths:
+        return messages.withColumn(output, F.transform(values, lambda _: F.lit(None).cast("double")))
+    messages = computed_once(messages, "_held", F.transform(tokens, lambda _, i: holder(i)))
+    own = F.transform("_held", lambda h: F.when(h.isNotNull(), F.when(h["last"], h["value"]).otherwise(0.0)))
+    messages = computed_once(messages, output, own)
+    messages = computed_once(messages, values, F.zip_with(values, output, lambda v, held: F.coalesce(held, v)))
+    return messages.select(*kept, *([] if output in kept else [output]))
+
+
 MODEL_BATCH = 64  # texts a model is given at once
 
 
@@ -132,21 +183,26 @@ def _with_labels(scored: DataFrame) -> DataFrame:
 
 
 def sentiment_lexicon(
-    messages: DataFrame, lexicon: DataFrame, row_key: Sequence[str] | None = None
+    messages: DataFrame, lexicon: DataFrame, row_key: Sequence[str] | None = None, phrases: DataFrame | None = None
 ) -> DataFrame:
     """Add score and label from a lexicon table (word, value).
 
     The score reads ``cleaned_message``; a missing text counts as empty.
+    ``phrases`` (phrase, value) are idioms that override the values of their
+    words, see ``with_phrases``; boosters and negations leave them alone.
     """
     words = T.split_on_space(F.coalesce(F.col("cleaned_message"), F.lit("")))
     prepared = computed_once(messages, "_tokens", words)
     valued = values_for_tokens(prepared, lexicon, row_key, "_values", "double", tokens="_tokens")
     valued = computed_once(valued, "_values", F.col("_values"))
     valued = computed_once(valued, "_but_at", F.array_position("_tokens", "but") - 1)
-    total = total_valence(F.col("_tokens"), F.col("_values"), F.col("_but_at"))
+    fixed = None
+    if phrases is not None:
+        valued, fixed = with_phrases(valued, phrases, row_key, "_tokens", "_values", "_fixed"), F.col("_fixed")
+    total = total_valence(F.col("_tokens"), F.col("_values"), F.col("_but_at"), fixed)
     scored = computed_once(valued, "_total", total)
     scored = scored.withColumn("sentiment_score", normalise_score(F.col("_total")))
-    return _with_labels(scored.drop("_tokens", "_values", "_but_at", "_total"))
+    return _with_labels(scored.drop("_tokens", "_values", "_but_at", "_total", "_fixed"))
 
 
 def sentiment_model(
@@ -213,6 +269,7 @@ def analyze_sentiment(
     lang: str | None = None,
     load_model: Callable | None = None,
     row_key: Sequence[str] | None = None,
+    phrases: DataFrame | None = None,
 ) -> DataFrame:
     """French messages go to the model when one is given and loads, all others
     to the lexicon.  ``lang=None`` decides by each row's ``language``."""
@@ -227,12 +284,12 @@ def analyze_sentiment(
     if load_model is None or lang not in (None, "fr"):
         if lexicon is None:
             raise ValueError("no lexicon given and no model available")
-        return sentiment_lexicon(messages, lexicon, row_key)
+        return sentiment_lexicon(messages, lexicon, row_key, phrases)
     if lang == "fr" or lexicon is None:
         return sentiment_model(messages, load_model)
     french = F.coalesce(F.col("language") == "fr", F.lit(False))
     # one pass: the model sees nothing of the other languages
-    scored = sentiment_lexicon(messages, lexicon, row_key)
+    scored = sentiment_lexicon(messages, lexicon, row_key, phrases)
     model = _model_score(load_model)(F.when(french, F.coalesce(F.col("cleaned_message"), F.lit(""))))
     return _with_labels(scored.withColumn("sentiment_score", F.coalesce(model, F.col("sentiment_score"))))
 

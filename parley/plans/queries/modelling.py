@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.once import computed_once
+from parley.functions.once import computed_once, unnest
 from parley.operators import clean, sentiment, topics
 from parley.plans.queries.registry import query, sql_list
 from parley.plans.queries.views import DOCS, document_messages, load, stop_sql, words_sql
@@ -181,7 +184,8 @@ def lexicon_join(spark, d):
     )
 
 
-def _sentiment_sql() -> str:
+def _sentiment_sql(phrases: bool = False) -> str:
+    """With phrases the table ``held`` says which words phrases hold."""
     s = sentiment
     scale = f"CASE WHEN list_contains({sql_list(s.INTENSIFIERS)}, {{w}}) THEN {s.BOOST} WHEN list_contains({sql_list(s.DAMPENERS)}, {{w}}) THEN -{s.BOOST} ELSE 0 END"
     negated = f"coalesce(list_contains({sql_list(s.NEGATIONS)}, {{w}}), false)"
@@ -207,19 +211,23 @@ def _sentiment_sql() -> str:
         return f"CASE WHEN {w} IS NOT NULL AND l{n} IS NULL THEN {turned} ELSE {previous} END"
 
     boosters = sql_list(s.INTENSIFIERS + s.DAMPENERS)
+    values = "x AS (SELECT u.*, value, CAST(NULL AS DOUBLE) AS fixed FROM u LEFT JOIN lx USING (word)),"
+    if phrases:
+        values = """x AS (SELECT u.*, CASE WHEN h.seq IS NULL THEN lx.value WHEN h.last THEN h.value ELSE 0 END AS value,
+  CASE WHEN h.last THEN h.value WHEN h.seq IS NOT NULL THEN 0 END AS fixed FROM u LEFT JOIN lx USING (word) LEFT JOIN held h ON h.seq = u.seq AND h.i = u.i),"""
     return f""", u AS (SELECT seq, i, ws[i] AS word FROM (SELECT seq, ws, unnest(range(1, len(ws) + 1)) AS i FROM t)),
-x AS (SELECT u.*, value FROM u LEFT JOIN lx USING (word)),
+{values}
 y AS (SELECT *, lag(word, 1) OVER o AS b1, lag(word, 2) OVER o AS b2, lag(word, 3) OVER o AS b3,
   lag(value, 1) OVER o AS l1, lag(value, 2) OVER o AS l2, lag(value, 3) OVER o AS l3, lead(value, 1) OVER o AS nx,
   min(CASE WHEN word = 'but' THEN i END) OVER (PARTITION BY seq) AS but_at FROM x WINDOW o AS (PARTITION BY seq ORDER BY i)),
 h AS (SELECT *, CASE WHEN coalesce(b1 = 'no', false) OR coalesce(b2 = 'no', false)
     OR (coalesce(b3 = 'no', false) AND coalesce(b1 IN ('or','nor'), false)) THEN value * {s.NEGATE}
     WHEN word = 'no' AND nx IS NOT NULL THEN 0 ELSE value END AS v0
-  FROM y WHERE value IS NOT NULL AND NOT list_contains({boosters}, word)),
+  FROM y WHERE fixed IS NOT NULL OR (value IS NOT NULL AND NOT list_contains({boosters}, word))),
 h1 AS (SELECT *, {step(1, 'v0')} AS v1 FROM h),
 h2 AS (SELECT *, {step(2, 'v1')} AS v2 FROM h1),
 h3 AS (SELECT *, {step(3, 'v2')} AS v3 FROM h2),
-h4 AS (SELECT *, CASE WHEN b1 = 'least' AND l1 IS NULL AND NOT coalesce(b2 IN ('at','very'), false) THEN v3 * {s.NEGATE} ELSE v3 END
+h4 AS (SELECT *, CASE WHEN fixed IS NOT NULL THEN fixed WHEN b1 = 'least' AND l1 IS NULL AND NOT coalesce(b2 IN ('at','very'), false) THEN v3 * {s.NEGATE} ELSE v3 END
   * CASE WHEN i < but_at THEN {s.BEFORE_BUT} WHEN i > but_at THEN {s.AFTER_BUT} ELSE 1 END AS v FROM h3),
 tot AS (SELECT t.seq, coalesce(sum(h4.v), 0) AS total FROM t LEFT JOIN h4 ON h4.seq = t.seq GROUP BY t.seq),
 sc AS (SELECT seq, round(total / sqrt(total * total + {s.ALPHA}), 4) AS sentiment_score FROM tot)
@@ -234,6 +242,37 @@ def sentiment_lexicon(spark, d):
     return scored.select("seq", "sentiment_score", "sentiment_label")
 
 
+# The phrases of that query: the commonest two to four words in a row, so that
+# they overlap and nest, with a value computed from the phrase.
+PHRASES = {2: 60, 3: 40, 4: 20}
+_PHRASES = "".join(
+    f""", g{n} AS (SELECT seq, i, array_to_string(ws[i:i + {n - 1}], ' ') AS phrase FROM (SELECT seq, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM t)),
+p{n} AS (SELECT phrase, CAST((length(phrase) * 7 + ascii(phrase)) % 9 - 4 AS DOUBLE) AS value FROM g{n} GROUP BY phrase ORDER BY count(*) DESC, phrase LIMIT {top})"""
+    for n, top in PHRASES.items()
+) + """, hit AS ({}),
+held AS (SELECT seq, i + d AS i, value, d = n - 1 AS last FROM (SELECT *, unnest(range(n)) AS d FROM hit)
+  QUALIFY row_number() OVER (PARTITION BY seq, i + d ORDER BY n DESC, i) = 1)""".format(
+    " UNION ALL ".join(f"SELECT seq, i, {n} AS n, value FROM g{n} JOIN p{n} USING (phrase)" for n in PHRASES)
+)
+
+
+def phrase_table(rows):
+    parts = []
+    for n, top in PHRASES.items():
+        counts = unnest(rows, [], sentiment.consecutive("tokens", n), "phrase").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(counts.orderBy(F.desc("n"), "phrase").limit(top).select("phrase"))
+    value = (F.length("phrase") * 7 + F.ascii("phrase")) % 9 - 4
+    return reduce(DataFrame.union, parts).select("phrase", value.cast("double").alias("value"))
+
+
+@query("sentiment_phrases", lambda: _PLAIN() + _LEXICON + _PHRASES + _sentiment_sql(phrases=True))
+def sentiment_phrases(spark, d):
+    """Idioms override the values of their words."""
+    rows = plain_tokens(spark, d)
+    scored = sentiment.sentiment_lexicon(rows, lexicon(rows), ["seq"], phrase_table(rows))
+    return scored.select("seq", "sentiment_score", "sentiment_label")
+
+
 def stub_model():
     """Stands in for a classifier: label and probability from the text length."""
 

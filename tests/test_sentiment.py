@@ -167,3 +167,57 @@ def test_routing(spark):
         S.analyze_sentiment(rows, None, "en")
     with pytest.raises(ValueError):
         S.analyze_sentiment(rows.drop("author"), words)
+
+
+PHRASES = {"kiss of death": -1.5, "of death": -4.0, "bad ass": 1.5, "ass kiss": 3.0, "good good": 4.0, "bus stop": 0.0, "very good idea": 2.0}
+
+
+def valences_with_phrases(words):
+    """Each word's valence where phrases hold it: (value, whether it counts), else None."""
+    out = []
+    for i in range(len(words)):
+        best = None
+        for phrase, value in PHRASES.items():
+            p = phrase.split(" ")
+            for start in range(max(0, i - len(p) + 1), i + 1):
+                if words[start : start + len(p)] == p:
+                    best = min(filter(None, [best, (-len(p), start, value, start + len(p) - 1 == i)]))
+        out.append(best and (best[2], best[3]))
+    return out
+
+
+@pytest.mark.parametrize("inline", [50_000, 0])
+def test_phrases_override_words(spark, monkeypatch, inline):
+    import random
+
+    monkeypatch.setattr(S.values_for_tokens, "__kwdefaults__", None)
+    monkeypatch.setattr(S.values_for_tokens, "__defaults__", ("tokens", inline))
+    rng = random.Random(2)
+    pieces = [*PHRASES, "kiss", "of", "ass", "stop", "very", "but", "x", "not", "bad"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(8))) for _ in range(150)]
+    texts += ["the kiss of death", "bad ass kiss of death", "good good good", "good good good good", "bus stop", "not good", None, ""]
+    phrases = spark.createDataFrame([*PHRASES.items(), (None, 1.0)], "phrase string, value double")
+    plain = {r.seq: r.sentiment_score for r in S.sentiment_lexicon(table(spark, texts), lexicon(spark), ["seq"]).collect()}
+    out = S.sentiment_lexicon(table(spark, texts), lexicon(spark), ["seq"], phrases)
+    assert out.columns == ["seq", "author", "cleaned_message", "group_name", "sentiment_score", "sentiment_label"]
+    got = {r.seq: r.sentiment_score for r in out.collect()}
+    changed = 0
+    for i, text in enumerate(texts):
+        words = (text or "").split()
+        held = valences_with_phrases(words)
+        if not any(held):
+            assert got[i] == plain[i]
+        elif all(h or (w not in LEXICON) for h, w in zip(held, words, strict=True)):
+            but = words.index("but") if "but" in words else None
+            weight = lambda k: 1 if but is None or k == but else S.BEFORE_BUT if k < but else S.AFTER_BUT  # noqa: E731, B023
+            total = sum(h[0] * weight(k) for k, h in enumerate(held) if h and h[1])
+            assert got[i] == pytest.approx(round(total / math.sqrt(total * total + S.ALPHA), 4), abs=1e-9), text
+            changed += 1
+    assert changed > 30
+    assert S.sentiment_lexicon(table(spark, texts), lexicon(spark), ["seq"], phrases.limit(0)).filter("seq = 3").first().sentiment_score == plain[3]
+
+
+def test_long_phrases_are_refused(spark):
+    long = spark.createDataFrame([("a b c d e f", 1.0)], "phrase string, value double")
+    with pytest.raises(ValueError, match="up to 5 words"):
+        S.sentiment_lexicon(table(spark, ["a"]), lexicon(spark), ["seq"], long)
