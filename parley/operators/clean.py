@@ -144,6 +144,7 @@ def clean_messages(
     keys: Sequence[str] = ("group_name",),
     order: Sequence[str] = ("timestamp", "seq"),
     row_key: Sequence[str] | None = None,
+    language_model: L.LanguageModel | None = None,
 ) -> DataFrame:
     """Text messages + ``cleaned_message``, ``language``, ``tokens``.
 
@@ -151,7 +152,7 @@ def clean_messages(
     array for a model-based lemmatiser.
     """
     texts = L.with_language(
-        filter_text(messages), lang, per_message_language, keys, order, language_lists
+        filter_text(messages), lang, per_message_language, keys, order, language_lists, language_model
     )
     words = words_of(F.col("message"), remove_emoji)
     cleaned = computed_once(

@@ -1,8 +1,9 @@
-"""Language identification by stop-word votes."""
+"""Language identification by stop-word votes, or by a model of letter trigrams."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.ml.feature import StopWordsRemover
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
-from parley.session import attach
+from parley.functions.once import computed_once, unnest
+from parley.session import attach, checkpointed
 
 # Language code -> name of the stop-word list bundled with Spark ML.
 LISTS = {
@@ -56,13 +58,81 @@ def winning_language(votes: Mapping[str, Column]) -> Column:
     return pick
 
 
+MODEL_GRAMS = 20_000
+
+
+@dataclass(frozen=True)
+class LanguageModel:
+    """Log probabilities of letter trigrams: a table (word, value) with one
+    value per language, in thousandths, in the order of ``languages``."""
+
+    languages: tuple[str, ...]
+    grams: DataFrame
+
+
+def letter_trigrams(text: Column) -> Column:
+    """Every three letters in a row of every word, with a space on either side of it."""
+
+    def of_word(word: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(F.concat(F.lit(" "), word, F.lit(" ")), i, F.lit(3)))
+
+    return F.flatten(F.transform(T.split_words(F.coalesce(text, F.lit(""))), of_word))
+
+
+def language_model(labelled: DataFrame, text: str = "message", label: str = "language", max_grams: int = MODEL_GRAMS) -> LanguageModel:
+    """Learn a model from texts whose language is known; rows without one are left out.
+
+    The ``max_grams`` commonest trigrams of all languages are kept (of equally
+    common ones the first), each with ln((n + 0.5) / (all + 0.5 * trigrams)) per
+    language.  The texts are read once; counts alone are shuffled.
+    """
+    known = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
+    counts = checkpointed(unnest(known, [F.col(label).alias("lang")], letter_trigrams(F.col(text)), "word").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
+    languages = tuple(sorted(r["lang"] for r in counts.select("lang").distinct().collect()))
+    if not languages:
+        raise ValueError("no text with a known language")
+    kept = counts.groupBy("word").agg(*(F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(languages)), F.sum("n").alias("n"))
+    kept = checkpointed(kept.orderBy(F.desc("n"), "word").limit(max_grams))
+    sums = kept.agg(F.count(F.lit(1)), *(F.sum(f"n{i}") for i in range(len(languages)))).first()
+    value = [F.round(1000 * F.log((F.col(f"n{i}") + 0.5) / F.lit(sums[i + 1] + 0.5 * sums[0]))).cast("bigint") for i in range(len(languages))]
+    return LanguageModel(languages, kept.select("word", F.array(*value).alias("value")))
+
+
+def language_scores(messages: DataFrame, model: LanguageModel, text: str = "message", prefix: str = "_v_") -> DataFrame:
+    """Add a column per language with the log probability of the message's known
+    trigrams, null without any."""
+    from parley.operators.clean import values_for_tokens  # that module imports this one
+
+    kept = messages.columns
+    rows = computed_once(messages, "_grams", letter_trigrams(F.col(text)))
+    rows = values_for_tokens(rows, model.grams, None, "_found", "array<bigint>", tokens="_grams")
+    rows = computed_once(rows, "_found", F.filter("_found", lambda v: v.isNotNull()))
+
+    def total(i: int) -> Column:
+        return F.when(F.size("_found") > 0, F.aggregate("_found", F.lit(0).cast("bigint"), lambda acc, v: acc + F.get(v, i)))
+
+    return rows.select(*kept, *(total(i).alias(f"{prefix}{lang}") for i, lang in enumerate(model.languages)))
+
+
+def likeliest_language(scores: Mapping[str, Column]) -> Column:
+    """Greatest score; ties go to the smaller code; null without a score."""
+    best = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
+    return F.coalesce(*(F.when(scores[lang] == best, F.lit(lang)) for lang in sorted(scores)))
+
+
 def message_language(
     messages: DataFrame,
     lists: Mapping[str, Sequence[str]] | None = None,
     text: str = "message",
     output: str = "language",
+    model: LanguageModel | None = None,
 ) -> DataFrame:
-    """Language of each single message; null when no list word occurs."""
+    """Language of each single message; null when no list word (with a model: no
+    known trigram) occurs."""
+    if model is not None:
+        scored = language_scores(messages, model, text)
+        best = likeliest_language({lang: F.col(f"_v_{lang}") for lang in model.languages})
+        return scored.select(*[c for c in messages.columns if c != output], best.alias(output))
     lists = lists or vocabularies()
     kept = messages.columns
     voted = messages.withColumn("_words", T.split_words(F.col(text)))
@@ -79,8 +149,10 @@ def detect_language(
     keys: Sequence[str] = ("group_name",),
     order: Sequence[str] = ("timestamp", "seq"),
     lists: Mapping[str, Sequence[str]] | None = None,
+    model: LanguageModel | None = None,
 ) -> DataFrame:
-    """One language per group, voted by its first ten text messages.
+    """One language per group, voted by its first ten text messages, or likeliest
+    for them by a model.
 
     The top-10 filter runs before the shuffle (partial group limit), so even
     the largest group sends ten rows per task.
@@ -92,8 +164,13 @@ def detect_language(
         .select(*dict.fromkeys([*keys, *order, "message"]))
         .withColumn("_rn", F.row_number().over(first))
         .filter(F.col("_rn") <= SAMPLE_MESSAGES)
-        .withColumn("_words", T.split_words(F.col("message")))
     )
+    if model is not None:
+        columns = [f"_v_{lang}" for lang in model.languages]
+        summed = language_scores(sample, model).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in columns))
+        winner = likeliest_language({lang: F.col(f"_v_{lang}") for lang in model.languages})
+        return summed.select(*keys, F.coalesce(winner, F.lit(FALLBACK_LANGUAGE)).alias("language"))
+    sample = sample.withColumn("_words", T.split_words(F.col("message")))
     counted = sample.select(
         *keys, *(v.alias(f"_v_{lang}") for lang, v in vote_counts(F.col("_words"), lists).items())
     )
@@ -111,24 +188,26 @@ def with_language(
     keys: Sequence[str] = ("group_name",),
     order: Sequence[str] = ("timestamp", "seq"),
     lists: Mapping[str, Sequence[str]] | None = None,
+    model: LanguageModel | None = None,
 ) -> DataFrame:
     """Add ``language``: forced, per message, or detected per group."""
     if lang is not None:
         return messages.withColumn("language", F.lit(lang))
     if per_message:
-        voted = message_language(messages, lists)
+        voted = message_language(messages, lists, model=model)
         return voted.withColumn("language", F.coalesce("language", F.lit(FALLBACK_LANGUAGE)))
-    detected = detect_language(messages, keys, order, lists)
-    return attach(messages, detected, list(keys))
+    detected = detect_language(messages, keys, order, lists, model)
+    return attach(messages.drop("language"), detected, list(keys))
 
 
 def language_distribution(
     messages: DataFrame,
     keys: Sequence[str] = ("group_name",),
     lists: Mapping[str, Sequence[str]] | None = None,
+    model: LanguageModel | None = None,
 ) -> DataFrame:
     """Share of messages per language; messages without a vote are 'unknown'."""
-    voted = message_language(messages, lists).withColumn(
+    voted = message_language(messages, lists, model=model).withColumn(
         "language", F.coalesce("language", F.lit("unknown"))
     )
     counts = voted.groupBy(*keys, "language").agg(F.count(F.lit(1)).alias("messages"))

@@ -195,6 +195,48 @@ def language_distribution(spark, d):
     return out.withColumn("share", F.round("share", 6))
 
 
+# A trigram model learned from four fifths of the documents.
+_TRIGRAMS = f""", t AS (SELECT seq, group_name, true_lang, "timestamp", msg_type,
+  list_filter(string_split_regex(lower(message), {sql_string(P.NON_WORD)}), lambda w: w <> '') AS ws FROM dm),
+g AS (SELECT seq, true_lang, substr(' ' || w || ' ', i, 3) AS gram FROM (
+  SELECT seq, true_lang, w, unnest(range(1, length(w) + 1)) AS i FROM (SELECT seq, true_lang, unnest(ws) AS w FROM t))),
+c AS (SELECT gram, true_lang AS lang, count(*) AS n FROM g WHERE seq % 5 <> 0 AND true_lang IS NOT NULL GROUP BY ALL),
+kept AS (SELECT gram FROM c GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT {language.MODEL_GRAMS}),
+ls AS (SELECT lang, sum(n) AS total FROM c SEMI JOIN kept USING (gram) GROUP BY lang),
+m AS (SELECT gram, lang, CAST(round(1000 * ln((coalesce(n, 0) + CAST(0.5 AS DOUBLE)) / (total + 0.5 * (SELECT count(*) FROM kept)))) AS BIGINT) AS v
+  FROM (SELECT * FROM kept, ls) LEFT JOIN c USING (gram, lang)),
+sc AS (SELECT seq, m.lang, sum(v) AS score FROM g JOIN m USING (gram) GROUP BY ALL)"""
+
+
+def trigram_model(spark, d):
+    known = document_messages(spark, d).filter(F.col("seq") % 5 != 0)
+    return language.language_model(known, label="true_lang")
+
+
+@query(
+    "message_language_model",
+    WD + _TRIGRAMS + """, best AS (SELECT seq, lang FROM sc QUALIFY row_number() OVER (PARTITION BY seq ORDER BY score DESC, lang) = 1)
+SELECT t.seq, best.lang AS language FROM t LEFT JOIN best USING (seq)""",
+)
+def message_language_model(spark, d):
+    """Language of every document by trigrams, stop words or not."""
+    out = language.message_language(document_messages(spark, d), model=trigram_model(spark, d))
+    return out.select("seq", "language")
+
+
+@query(
+    "detect_language_model",
+    WD + _TRIGRAMS + """, firsts AS (SELECT group_name, seq FROM t WHERE msg_type = 'text'
+  QUALIFY row_number() OVER (PARTITION BY group_name ORDER BY "timestamp", seq) <= 10),
+gs AS (SELECT group_name, lang, sum(score) AS score FROM firsts JOIN sc USING (seq) GROUP BY ALL),
+best AS (SELECT group_name, lang FROM gs QUALIFY row_number() OVER (PARTITION BY group_name ORDER BY score DESC, lang) = 1)
+SELECT group_name, coalesce(lang, 'fr') AS language FROM (SELECT DISTINCT group_name FROM firsts) LEFT JOIN best USING (group_name)""",
+)
+def detect_language_model(spark, d):
+    """Language of every group by the trigrams of its first ten messages."""
+    return language.detect_language(document_messages(spark, d), model=trigram_model(spark, d))
+
+
 _CLEANED = lambda: (
     "WITH "
     + CHAT_TYPED
