@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.once import computed_once, unnest
-from parley.operators import clean, sentiment, topics
+from parley.operators import clean, group_topics, sentiment, topics
 from parley.plans.queries.registry import query, sql_list
 from parley.plans.queries.views import DOCS, document_messages, load, stop_sql, words_sql
 
@@ -74,6 +74,30 @@ def topics_lda(spark, d):
     return _placement(placed, table, 5)
 
 
+@query(
+    "topics_lda_groups",
+    """WITH g AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
+SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS messages, 6 * count(*) AS topics, count(*) AS whole, count(*) AS rising, true AS pure FROM g""",
+)
+def topics_lda_groups(spark, d):
+    """A model for each language, on texts of three planted topics that share no
+    word: groups, their messages and topics, groups whose weights sum to one and
+    whose bound rises, and whether nine of ten texts lie in a topic of their own kind."""
+    planted = F.col("seq") % 3
+    coded = F.transform("tokens", lambda w: F.concat(planted.cast("string"), F.substring(F.md5(F.encode(w, "UTF-8")), 1, 1)))
+    rows = plain_tokens(spark, d).withColumns({"cleaned_message": F.array_join(coded, " "), "group_name": F.col("true_lang")})
+    placed, table, bounds = group_topics.topics_lda_per_group(rows, ["seq"], 6)
+    mixed = placed.filter(F.size("tokens") > 0).groupBy("group_name", "topic_id", planted.alias("planted")).agg(F.count(F.lit(1)).alias("n"))
+    pure = mixed.groupBy("group_name", "topic_id").agg(F.max("n").alias("most"), F.sum("n").alias("n")).agg((F.sum("most") >= 0.9 * F.sum("n")).alias("pure"))
+    steps = bounds.groupBy("group_name").agg((F.max_by("bound", "round") > F.min_by("bound", "round")).alias("rising"))
+    counts = placed.groupBy("group_name").agg(F.count(F.lit(1)).alias("messages"))
+    listed = table.groupBy("group_name").agg(F.count(F.lit(1)).alias("topics"), (F.abs(F.sum("weight") - 1) < 1e-6).alias("whole"))
+    groups = counts.join(listed, "group_name").join(steps, "group_name").agg(
+        F.count(F.lit(1)).alias("groups"), F.sum("messages").alias("messages"), F.sum("topics").alias("topics"), F.count_if("whole").alias("whole"), F.count_if("rising").alias("rising")
+    )
+    return groups.join(F.broadcast(pure), F.lit(True))  # one row each
+
+
 @query(
     "topic_top_words",
     lambda: _CONTENT()
