@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.once import computed_once, unnest
-from parley.operators import clean, group_topics, sentiment, topics
+from parley.operators import clean, density, group_topics, sentiment, topics
 from parley.plans.queries.registry import query, sql_list
 from parley.plans.queries.views import DOCS, document_messages, load, stop_sql, words_sql
 
@@ -88,14 +88,19 @@ def topics_lda_groups(spark, d):
     rows = plain_tokens(spark, d).withColumns({"cleaned_message": F.array_join(coded, " "), "group_name": F.col("true_lang")})
     placed, table, bounds = group_topics.topics_lda_per_group(rows, ["seq"], 6)
     mixed = placed.filter(F.size("tokens") > 0).groupBy("group_name", "topic_id", planted.alias("planted")).agg(F.count(F.lit(1)).alias("n"))
-    pure = mixed.groupBy("group_name", "topic_id").agg(F.max("n").alias("most"), F.sum("n").alias("n")).agg((F.sum("most") >= 0.9 * F.sum("n")).alias("pure"))
+    pure = mixed.groupBy("group_name", "topic_id").agg(F.max("n").alias("most"), F.sum("n").alias("n")).groupBy("group_name").agg(F.sum("most").alias("most"), F.sum("n").alias("n"))
     steps = bounds.groupBy("group_name").agg((F.max_by("bound", "round") > F.min_by("bound", "round")).alias("rising"))
     counts = placed.groupBy("group_name").agg(F.count(F.lit(1)).alias("messages"))
     listed = table.groupBy("group_name").agg(F.count(F.lit(1)).alias("topics"), (F.abs(F.sum("weight") - 1) < 1e-6).alias("whole"))
-    groups = counts.join(listed, "group_name").join(steps, "group_name").agg(
-        F.count(F.lit(1)).alias("groups"), F.sum("messages").alias("messages"), F.sum("topics").alias("topics"), F.count_if("whole").alias("whole"), F.count_if("rising").alias("rising")
+    groups = counts.join(listed, "group_name").join(steps, "group_name").join(pure, "group_name")
+    return groups.agg(
+        F.count(F.lit(1)).alias("groups"),
+        F.sum("messages").alias("messages"),
+        F.sum("topics").alias("topics"),
+        F.count_if("whole").alias("whole"),
+        F.count_if("rising").alias("rising"),
+        (F.sum("most") >= 0.9 * F.sum("n")).alias("pure"),
     )
-    return groups.join(F.broadcast(pure), F.lit(True))  # one row each
 
 
 @query(
@@ -132,6 +137,28 @@ def topics_embedding(spark, d):
     return _placement(placed, table, 10).join(labelled, "group_name")
 
 
+@query(
+    "density_clusters",
+    """WITH RECURSIVE e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.id, b.id AS other, round(list_distance(a.v, b.v), 6) AS distance FROM e a JOIN e b ON a.id <> b.id),
+near AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, other) <= 5),
+core AS (SELECT id, max(distance) AS core FROM near GROUP BY id HAVING count(*) = 5),
+dense AS (SELECT * FROM core WHERE core <= (SELECT quantile_disc(core, 0.9) FROM core)),
+edge AS (SELECT near.id AS a, other AS b FROM near JOIN dense x ON x.id = near.id JOIN dense y ON y.id = other),
+link AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+root AS (SELECT a AS id, least(a, min(b)) AS cluster FROM reach GROUP BY a),
+big AS (SELECT cluster, min(core) AS densest FROM root JOIN dense USING (id) GROUP BY cluster HAVING count(*) >= 5)
+SELECT e.id AS vec_id, big.cluster, round(CASE WHEN big.cluster IS NULL THEN CAST(0 AS DOUBLE) WHEN core > 0 THEN densest / core ELSE CAST(1 AS DOUBLE) END, 5) AS strength
+FROM e LEFT JOIN core USING (id) LEFT JOIN root USING (id) LEFT JOIN big USING (cluster)""",
+)
+def density_clusters(spark, d):
+    """Clusters by density of all embeddings, outliers without one."""
+    points = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    out = density.density_clusters(points)
+    return out.select(F.col("id").alias("vec_id"), "cluster", F.round("strength", 5).alias("strength"))
+
+
 @query(
     "topic_scores_rule",
     """WITH p AS (SELECT vec_id, label, label * 8 AS topic, CASE WHEN vec_id % 10 = 0 THEN NULL ELSE embedding END AS probs FROM embeddings)
