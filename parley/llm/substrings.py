@@ -27,6 +27,7 @@ from parley.llm.words import Words, parts, rolling
 SIZE = 50
 SEED = 10
 HEAVY = 50_000
+_KEY = ["doc_id", "mark"]
 LONGEST_RUN = 512  # windows of one packed string: bounds its length in texts of one repeated word
 
 
@@ -69,10 +70,10 @@ def _minimisers(size: int, seed: int):
         for batch in batches:
             for part in parts(batch, "text"):
                 least, of, at, n = _runs(Words(column(part, "text")), size, seed)
-                doc = column(part, "doc_id").take(pa.array(of.astype(np.int64)))
+                doc, mark = (column(part, c).take(pa.array(of.astype(np.int64))) for c in _KEY)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(least), doc, pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["least", "doc_id", "at", "n"],
+                    [pa.array(least), doc, mark, pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["least", *_KEY, "at", "n"],
                 )
 
     return run
@@ -84,29 +85,30 @@ def _pack(size: int, single: bool):
     def run(batches):
         for batch in batches:
             for part in parts(batch, "text"):
-                texts, ids = column(part, "text").to_pylist(), column(part, "doc_id").to_pylist()
-                least, doc, at, packed = [], [], [], []
-                for text, key, runs in zip(texts, ids, column(part, "runs").to_pylist(), strict=True):
+                texts, keys = column(part, "text").to_pylist(), zip(*(column(part, c).to_pylist() for c in _KEY), strict=True)
+                least, doc, mark, at, packed = [], [], [], [], []
+                for text, key, runs in zip(texts, keys, column(part, "runs").to_pylist(), strict=True):
                     words = text.encode("utf-8").split()
                     for r in runs:
                         for i, n in [(r["at"] + j, 1) for j in range(r["n"])] if single else [(r["at"], r["n"])]:
                             least.append(r["least"])
-                            doc.append(key)
+                            doc.append(key[0])
+                            mark.append(key[1])
                             at.append(i)
                             packed.append(b" ".join(words[i : i + n + size - 1]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(least, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(packed, pa.binary())],
-                    names=["least", "doc_id", "at", "packed"],
+                    [*(pa.array(a, pa.int64()) for a in (least, doc, mark)), pa.array(at, pa.int32()), pa.array(packed, pa.binary())],
+                    names=["least", *_KEY, "at", "packed"],
                 )
 
     return run
 
 
-def _repeats_of(rows: list[tuple[bytes, int, int]], size: int, out: list) -> None:
+def _repeats_of(rows: list[tuple[bytes, int, int, int]], size: int, out: list) -> None:
     """Windows of one bucket that start in a smaller document too."""
-    owners: dict[bytes, list[tuple[int, int]]] = {}
-    for packed, doc, at in rows:
-        owners.setdefault(packed, []).append((doc, at))
+    owners: dict[bytes, list[tuple[int, int, int]]] = {}
+    for packed, doc, mark, at in rows:
+        owners.setdefault(packed, []).append((doc, mark, at))
     windows = []
     for packed, places in owners.items():
         places.sort()
@@ -116,7 +118,7 @@ def _repeats_of(rows: list[tuple[bytes, int, int]], size: int, out: list) -> Non
         n = len(starts) - size + 1
         least = places[0][0]
         if len(owners) == 1:  # all the same string
-            out.extend((d, a, n) for d, a in places if d > least)
+            out.extend((d, m, a, n) for d, m, a in places if d > least)
             return
         windows += [(packed[starts[i] : stops[i + size - 1]], least, packed, i) for i in range(n)]
     windows.sort(key=lambda w: w[:2])
@@ -124,15 +126,15 @@ def _repeats_of(rows: list[tuple[bytes, int, int]], size: int, out: list) -> Non
         same = list(same)
         first = same[0][1]
         for _, _, packed, i in same:
-            out.extend((d, a + i, 1) for d, a in owners[packed] if d > first)
+            out.extend((d, m, a + i, 1) for d, m, a in owners[packed] if d > first)
 
 
 def _repeats(size: int):
     def run(batches):
-        out: list[tuple[int, int, int]] = []
-        for _, (packed, docs, at) in grouped(batches, "least", "packed", "doc_id", "at"):
+        out: list[tuple[int, int, int, int]] = []
+        for _, (packed, docs, marks, at) in grouped(batches, "least", "packed", *_KEY, "at"):
             if min(docs) < max(docs):
-                _repeats_of(list(zip(packed, docs, at, strict=True)), size, out)
+                _repeats_of(list(zip(packed, docs, marks, at, strict=True)), size, out)
             if len(out) > 50_000:
                 yield _spans(out)
                 out = []
@@ -141,31 +143,42 @@ def _repeats(size: int):
     return run
 
 
-def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+def _spans(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     """Neighbouring windows of a document become one span."""
     rows.sort()
     merged: list[list[int]] = []
-    for doc, at, n in rows:
-        if merged and merged[-1][0] == doc and merged[-1][1] + merged[-1][2] >= at:
-            merged[-1][2] = max(merged[-1][2], at + n - merged[-1][1])
+    for doc, mark, at, n in rows:
+        last = merged[-1] if merged else None
+        if last and last[:2] == [doc, mark] and last[2] + last[3] >= at:
+            last[3] = max(last[3], at + n - last[2])
         else:
-            merged.append([doc, at, n])
-    arrays = zip(*merged, strict=True) if merged else ([], [], [])
-    types = (pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(list(a), t) for a, t in zip(arrays, types, strict=True)], names=["doc_id", "at", "n"])
+            merged.append([doc, mark, at, n])
+    arrays = zip(*merged, strict=True) if merged else ([], [], [], [])
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(list(a), t) for a, t in zip(arrays, types, strict=True)], names=[*_KEY, "at", "n"])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text) of rows with a doc_id: mark is a hash of the text where
+    some doc_id has more than one row, else 0."""
+    docs = docs.filter("doc_id is not null")
+    once = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    mark = F.lit(0).cast("bigint") if once else F.xxhash64("text")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), mark.alias("mark"), "text")
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE, seed: int = SEED, heavy: int = HEAVY) -> DataFrame:
-    """Spans (doc_id, at, n): the windows that start at words at .. at + n - 1
+    """Spans (doc_id, mark, at, n): the windows that start at words at .. at + n - 1
     of the document also start in a document with a smaller doc_id.
 
-    docs: doc_id bigint (unique, not null), text string (null: no words).
-    Texts shorter than a window have none.  Other columns are ignored.
+    docs: doc_id bigint, text string (null: no words), and mark bigint, which
+    tells texts of the same doc_id apart (see ``keyed``).  Texts shorter than a
+    window have none.  Other columns are ignored.
     """
     if not 1 <= seed <= size:
         raise ValueError("seed must lie between 1 and size")
-    docs = workers_ready(docs).select("doc_id", "text").filter("doc_id is not null and text is not null")
-    seen = saved(docs.mapInArrow(_minimisers(size, seed), "least bigint, doc_id bigint, at int, n int"), "minimisers")
+    docs = workers_ready(docs).select(*_KEY, "text").filter("doc_id is not null and text is not null")
+    seen = saved(docs.mapInArrow(_minimisers(size, seed), "least bigint, doc_id bigint, mark bigint, at int, n int"), "minimisers")
     shared = (
         seen.groupBy("least")
         .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("rows"))
@@ -175,15 +188,15 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, seed: int = SEED, heavy:
     wanted = saved(seen.join(shared, "least"), "wanted")
 
     def packed(rows: DataFrame, single: bool) -> DataFrame:
-        runs = rows.groupBy("doc_id").agg(F.collect_list(F.struct("least", "at", "n")).alias("runs"))
-        return docs.join(runs, "doc_id").mapInArrow(_pack(size, single), "least bigint, doc_id bigint, at int, packed binary")
+        runs = rows.groupBy(*_KEY).agg(F.collect_list(F.struct("least", "at", "n")).alias("runs"))
+        return docs.join(runs, _KEY).mapInArrow(_pack(size, single), "least bigint, doc_id bigint, mark bigint, at int, packed binary")
 
     light = packed(wanted.filter("not heavy"), False)
-    spans = light.repartition("least").sortWithinPartitions("least").mapInArrow(_repeats(size), "doc_id bigint, at int, n int")
+    spans = light.repartition("least").sortWithinPartitions("least").mapInArrow(_repeats(size), "doc_id bigint, mark bigint, at int, n int")
     if not wanted.filter("heavy").isEmpty():
         single = packed(wanted.filter("heavy"), True)
         first = single.groupBy("packed").agg(F.min("doc_id").alias("first"))
-        more = single.join(first, "packed").filter("doc_id > first").select("doc_id", "at", F.lit(1).alias("n"))
+        more = single.join(first, "packed").filter("doc_id > first").select(*_KEY, "at", F.lit(1).alias("n"))
         spans = spans.union(more)
     return spans
 
@@ -222,13 +235,14 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, heavy: i
 
     Words are separated by ASCII white space and kept as they are; kept words
     are joined by one space.  A null or empty text gives no words and an empty
-    ``kept``.  Windows are judged on the input.  doc_id must be unique; rows
-    without one are left out.
+    ``kept``.  Windows are judged on the input.  Rows that repeat a doc_id give a
+    row each; their windows never count as those of a smaller document for one
+    another.  Rows without a doc_id are left out.
     """
+    docs = keyed(docs)
     spans = repeated_windows(docs, size, seed, heavy)
-    runs = spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    joined = docs.join(runs, "doc_id", "left")
+    runs = spans.groupBy(*_KEY).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    joined = docs.join(runs, _KEY, "left")
     return joined.mapInArrow(_cut(size), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
@@ -237,4 +251,4 @@ def kept_digest(removed: DataFrame) -> DataFrame:
     return removed.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
-__all__ = ["kept_digest", "remove_repeats", "repeated_windows"]
+__all__ = ["kept_digest", "keyed", "remove_repeats", "repeated_windows"]

@@ -35,6 +35,13 @@ def test_repeated_windows(spark, heavy, size, seed):
     assert sum(r.n_removed for r in got) > 500
 
 
+def test_rows_that_repeat_a_doc_id(spark):
+    w = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join(w), "a"), (2, " ".join(["x", *w]), "a"), (2, "short text", "a"), (2, " ".join([*w, "y"]), "a"), (2, "short text", "b"), (3, " ".join(["x", *w[:8]]), "a")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(frame(spark, [*rows, (None, "no id", "a")]), 9, 3).collect())
+    assert got == [(1, 12, 0, " ".join(w)), (2, 2, 0, "short text"), (2, 2, 0, "short text"), (2, 13, 12, "x"), (2, 13, 12, "y"), (3, 9, 9, "")]
+
+
 def test_repeats_in_empty_tables(spark):
     empty = frame(spark, [])
     assert substrings.remove_repeats(empty).collect() == []
