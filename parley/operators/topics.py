@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from parley.functions import text as T
 from parley.functions.once import computed_once, unnest
 from parley.operators.temporal import fill_slots
-from parley.session import attach, checkpointed
+from parley.session import checkpointed
 
 MAX_FEATURES = 1000
 LABEL_WORDS = 5
@@ -205,7 +205,8 @@ def class_tfidf(
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_class_n"))
     corpus = counts.groupBy("term").agg(F.sum("n").alias("_term_n"))
     average = sizes.agg(F.avg("_class_n").alias("avg")).first()["avg"]
-    joined = attach(attach(counts, sizes, list(keys), "inner"), corpus, ["term"], "inner")
+    # all sides come from the same counted rows: adaptive joins turn and split them
+    joined = counts.join(sizes, list(keys)).join(corpus, "term")
     weight = F.col("n") / F.col("_class_n") * F.log1p(F.lit(average or 0.0) / F.col("_term_n"))
     return joined.select(*keys, "term", "n", weight.alias("weight"))
 
