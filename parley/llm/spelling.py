@@ -121,7 +121,7 @@ def _grams(rows: DataFrame) -> DataFrame:
     same = [_place(zero, zero), _place(half, half)]
     later = [_place(zero, zero + 1), _place(half, half + 1)]
     longer = F.char_length("rest") > F.col("length")
-    return _keyed(rows, F.when(longer, F.array(*same, *later)).otherwise(F.array(*same))).distinct()
+    return _keyed(rows, F.when(longer, F.array(*same, *later)).otherwise(F.array(*same)))
 
 
 def near_words(words: DataFrame, pairs: int = PAIRS) -> DataFrame:
