@@ -145,15 +145,18 @@ def clean_messages(
     order: Sequence[str] = ("timestamp", "seq"),
     row_key: Sequence[str] | None = None,
     language_model: L.LanguageModel | None = None,
+    given_language: bool = False,
 ) -> DataFrame:
     """Text messages + ``cleaned_message``, ``language``, ``tokens``.
 
+    With ``given_language`` the messages have their ``language`` already.
+
     ``lemmas`` is a word table; ``lemmatizer`` is a pandas UDF on the token
     array for a model-based lemmatiser.
     """
-    texts = L.with_language(
-        filter_text(messages), lang, per_message_language, keys, order, language_lists, language_model
-    )
+    texts = filter_text(messages)
+    if not given_language:
+        texts = L.with_language(texts, lang, per_message_language, keys, order, language_lists, language_model)
     words = words_of(F.col("message"), remove_emoji)
     cleaned = computed_once(
         texts, "tokens", remove_stopwords(words, F.col("language"), stopword_lists)
