@@ -16,14 +16,19 @@ def message_timestamp(
     minute: Column,
     second: Column,
     meridiem: Column,
-    date_order: str = "DMY",
+    date_order: str | Column = "DMY",
 ) -> Column:
     """Build a TIMESTAMP_NTZ from captured strings; null when out of range.
 
+    ``date_order`` may be a column; there all but 'MDY' is day first.
+
     Numbers are put together directly instead of trying several date formats
     one after another: a failed format costs an exception per row.
     """
-    if date_order == "MDY":
+    if isinstance(date_order, Column):
+        swapped = F.coalesce(date_order == "MDY", F.lit(False))
+        day, month = F.when(swapped, month).otherwise(day), F.when(swapped, day).otherwise(month)
+    elif date_order == "MDY":
         day, month = month, day
     elif date_order != "DMY":
         raise ValueError(f"date_order must be 'DMY' or 'MDY', got {date_order!r}")

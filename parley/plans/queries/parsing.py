@@ -192,3 +192,59 @@ def detect_input_type(spark, d):
     return load(spark, d, "documents").select(
         "doc_id", input_type(path, F.col("doc_id") % 5 == 2).alias("kind")
     )
+
+
+# Exports of both date orders: a group's conversations of one order are one export.
+_MONTH_FIRST = "conv_id % 3 = 0"
+_PER_BLOCK = 500
+
+_DATE_ORDERS = f"""WITH {CHAT}, spaced AS (
+  SELECT * REPLACE ("timestamp" + to_days(CAST(conv_id % 360 AS INTEGER)) AS "timestamp") FROM cm0),
+w AS (
+  SELECT group_name, {_MONTH_FIRST} AS month_first, conv_id // {_PER_BLOCK} AS block, conv_id, turn, day("timestamp") AS d, month("timestamp") AS m, year("timestamp") AS y
+  FROM spaced),
+dates AS (SELECT '/exports/' || group_name || CASE WHEN month_first THEN '/us' ELSE '/eu' END AS path, block, conv_id, turn,
+  y * 372 + CASE WHEN month_first THEN m ELSE d END * 31 + CASE WHEN month_first THEN d ELSE m END AS as_mdy,
+  y * 372 + CASE WHEN month_first THEN d ELSE m END * 31 + CASE WHEN month_first THEN m ELSE d END AS as_dmy,
+  month_first OR d <= 12 AS fits_mdy, NOT month_first OR d <= 12 AS fits_dmy FROM w),
+back_dmy AS (SELECT path, sum(CASE WHEN as_dmy < before THEN 1 ELSE 0 END) AS steps FROM
+  (SELECT path, as_dmy, lag(as_dmy) OVER (PARTITION BY path, block ORDER BY conv_id, turn) AS before FROM dates WHERE fits_dmy) GROUP BY 1),
+back_mdy AS (SELECT path, sum(CASE WHEN as_mdy < before THEN 1 ELSE 0 END) AS steps FROM
+  (SELECT path, as_mdy, lag(as_mdy) OVER (PARTITION BY path, block ORDER BY conv_id, turn) AS before FROM dates WHERE fits_mdy) GROUP BY 1),
+n AS (SELECT path, count(*) AS dates, count(*) FILTER (fits_dmy) AS dmy_dates, count(*) FILTER (fits_mdy) AS mdy_dates FROM dates GROUP BY 1),
+e AS (SELECT n.*, CAST(coalesce(back_dmy.steps, 0) AS BIGINT) AS dmy_steps_back, CAST(coalesce(back_mdy.steps, 0) AS BIGINT) AS mdy_steps_back
+  FROM n LEFT JOIN back_dmy USING (path) LEFT JOIN back_mdy USING (path)),
+o AS (SELECT path, CASE WHEN mdy_dates > dmy_dates OR (mdy_dates = dmy_dates AND mdy_steps_back < dmy_steps_back) THEN 'MDY' ELSE 'DMY' END AS date_order,
+  dates, dmy_dates, mdy_dates, dmy_steps_back, mdy_steps_back, mdy_dates = dmy_dates AND mdy_steps_back = dmy_steps_back AS undecided FROM e)"""
+
+
+def mixed_order_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """One export per group and date order, in blocks of bounded size; messages by conversation."""
+    later = F.make_dt_interval(F.col("conv_id").cast("int") % 360)
+    rows = chat_messages(spark, d).withColumns({"_us": F.expr(_MONTH_FIRST), "timestamp": F.col("timestamp") + later})
+    date = F.when(F.col("_us"), F.date_format("timestamp", "MM/dd/yyyy")).otherwise(F.date_format("timestamp", "dd/MM/yyyy"))
+    line = F.concat(date, F.lit(", "), F.date_format("timestamp", "HH:mm"), F.lit(" - "), "author", F.lit(": "), "message")
+    ordered = F.array_sort(F.collect_list(F.struct("conv_id", "turn", line.alias("line"))))
+    path = F.concat(F.lit("/exports/"), "group_name", F.when(F.col("_us"), "/us").otherwise("/eu"))
+    block = F.floor(F.col("conv_id") / _PER_BLOCK).cast("bigint")
+    return rows.groupBy(path.alias("path"), "group_name", block.alias("block")).agg(
+        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"),
+    )
+
+
+@query("date_orders", _DATE_ORDERS + " SELECT * FROM o")
+def date_orders(spark, d):
+    return parse.date_orders(mixed_order_blocks(spark, d))
+
+
+# an export taken for the other order has day and month exchanged, and loses days above 12
+_READ_DATES = """, r AS (SELECT parsed.*, "timestamp" AS t,
+    date_order = CASE WHEN conv_id % 3 = 0 THEN 'MDY' ELSE 'DMY' END AS good
+  FROM parsed JOIN o ON path = '/exports/' || group_name || CASE WHEN conv_id % 3 = 0 THEN '/us' ELSE '/eu' END)
+SELECT strftime(CASE WHEN good THEN t ELSE make_timestamp(year(t), day(t), month(t), hour(t), minute(t), 0) END, '%Y-%m-%d %H:%M:%S') AS "timestamp",
+  author, message, msg_type, group_name FROM r WHERE good OR day(t) <= 12"""
+
+
+@query("parse_mixed_date_orders", _DATE_ORDERS + _PARSED.replace("cm0", "spaced") + _READ_DATES)
+def parse_mixed_date_orders(spark, d):
+    return _shown(parse.parse_exports(mixed_order_blocks(spark, d), date_order="auto"))
