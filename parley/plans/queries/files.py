@@ -287,6 +287,20 @@ def write_messages_csv(spark, d):
     return back.select("_group", "seq", F.md5("message").alias("message_md5"), "author")
 
 
+@query(
+    "write_group_csv",
+    """SELECT source || '.csv' AS file, doc_id AS seq, md5(text) AS message_md5, 'a' || (doc_id % 20) AS author FROM documents""",
+)
+def write_group_csv(spark, d):
+    messages = document_messages(spark, d).select("timestamp", "author", "message", "group_name", "seq")
+    written = sinks.write_group_csv(messages, scratch_path(spark, "group-csv"))
+    schema = "timestamp timestamp_ntz, author string, message string, group_name string, seq bigint"
+    folder = written.agg(F.min("path")).first()[0].rpartition("/")[0]
+    options = {"header": True, "multiLine": True, "escape": '"'}
+    back = spark.read.schema(schema).options(**options).csv(folder).withColumn("file", F.col("_metadata.file_name"))
+    return back.select("file", "seq", F.md5("message").alias("message_md5"), "author")
+
+
 @query(
     "report_tables",
     "WITH "
