@@ -29,7 +29,7 @@ from parley.llm.words import mix
 
 BITS = 64
 BLOCK = 16_384
-QUERIES = 100_000  # per task
+QUERIES = 100_000  # of a block, per task
 EVERY = 20
 
 
@@ -163,7 +163,7 @@ def _look_up(cuts: list[tuple[int, int]], radius: int, k: int):
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = EVERY, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, every: int = EVERY, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, distance): the k vectors with the nearest codes to
     each vector whose vec_id is divisible by ``every``, itself excepted.
 
@@ -177,23 +177,27 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = EVERY, block: int = BL
     asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
     n = codes.count()
     state = saved(asked.select(F.col("code").alias("query")).distinct().withColumn("bound", F.lit(BITS)), "queries")
-    n_queries = state.count()
     cuts = segments(n)
-    m, parts, sides = len(cuts), max(1, n // block), max(1, -(-n_queries // QUERIES))
+    m, parts = len(cuts), max(1, n // block)
     index = saved(codes.mapInArrow(_spread(cuts, parts), "segment bigint, part bigint, code bigint"), "index")
     counts = index.groupBy("segment", "part").agg(F.ceil(F.count(F.lit(1)) / (2 * block)).cast("int").alias("chunks"))
     counts = saved(counts, "index-sizes")
     chunk = F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int").alias("chunk")
-    all_sides = F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("side")
-    blocks = index.join(counts, ["segment", "part"]).select("segment", "part", chunk, "code", all_sides)
     place = ["segment", "part", "chunk", "side"]
     found = None
     done = []
     for radius in range(max(bits for _, bits in cuts) + 1):
         probes = state.mapInArrow(_probes(cuts, parts, radius), "segment bigint, part bigint, query bigint, bound int")
-        probes = probes.join(counts, ["segment", "part"]).select(
+        probes = saved(probes, "probes")
+        # only blocks that are asked take part, and only those asked very often are copied
+        asked_of = probes.groupBy("segment", "part").agg(F.ceil(F.count(F.lit(1)) / queries).cast("int").alias("sides"))
+        asked_of = saved(asked_of.join(counts, ["segment", "part"]), "asked-blocks")
+        blocks = index.join(asked_of, ["segment", "part"]).select(
+            "segment", "part", chunk, "code", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side")
+        )
+        probes = probes.join(asked_of, ["segment", "part"]).select(
             "segment", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-            F.pmod(F.xxhash64("query"), F.lit(sides)).cast("int").alias("side"), "query", "bound",
+            F.pmod(F.xxhash64("query"), F.col("sides")).cast("int").alias("side"), "query", "bound",
         )
         new = blocks.groupBy(*place).cogroup(probes.groupBy(*place)).applyInArrow(_look_up(cuts, radius, k + 1), FOUND)
         best = new if found is None else found.join(state.select("query"), "query").union(new)

@@ -13,8 +13,8 @@ def neighbours(ids, codes, query, k):
     return [(int(far[i]), int(ids[i])) for i in order]
 
 
-@pytest.mark.parametrize("n,block", [(700, 16_384), (700, 40), (6, 16_384)])
-def test_nearest_codes(spark, n, block):
+@pytest.mark.parametrize("n,block,queries", [(700, 16_384, 100_000), (700, 40, 5), (6, 16_384, 1)])
+def test_nearest_codes(spark, n, block, queries):
     rng = np.random.default_rng(n)
     centres = rng.standard_normal((4, 24))
     rows = [(i, [float(x) for x in centres[i % 4] + 0.4 * rng.standard_normal(24)], "clash") for i in range(n)]
@@ -25,7 +25,7 @@ def test_nearest_codes(spark, n, block):
     ids, codes = table.vec_id.to_numpy(), table.code.to_numpy().view(np.uint64)
     assert 2000 not in ids and 2020 not in ids and 2040 in ids
     got = {}
-    for r in hamming.nearest(vectors, 10, 20, block).orderBy("query_id", "rank").collect():
+    for r in hamming.nearest(vectors, 10, 20, block, queries).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.distance, r.vec_id))
     assert got == {int(q): neighbours(ids, codes, q, 10) for q in ids if q % 20 == 0}
 
