@@ -11,6 +11,7 @@ from parley.functions import text as T
 from parley.functions.lookup import word_lookup
 from parley.functions.once import computed_once
 from parley.operators import language as L
+from parley.operators.lemma_rules import extended_lemmas
 from parley.session import attach, checkpointed, measure
 
 # A word table up to this size is looked up inside the expression.
@@ -146,12 +147,14 @@ def clean_messages(
     row_key: Sequence[str] | None = None,
     language_model: L.LanguageModel | None = None,
     given_language: bool = False,
+    lemma_rules: bool = False,
 ) -> DataFrame:
     """Text messages + ``cleaned_message``, ``language``, ``tokens``.
 
     With ``given_language`` the messages have their ``language`` already.
 
-    ``lemmas`` is a word table; ``lemmatizer`` is a pandas UDF on the token
+    ``lemmas`` is a word table, with ``lemma_rules`` extended to the other words
+    by the endings it teaches (one more pass over the texts); ``lemmatizer`` is a pandas UDF on the token
     array for a model-based lemmatiser.
     """
     texts = filter_text(messages)
@@ -162,6 +165,8 @@ def clean_messages(
         texts, "tokens", remove_stopwords(words, F.col("language"), stopword_lists)
     )
     if lemmas is not None:
+        if lemma_rules:
+            lemmas = extended_lemmas(cleaned, lemmas)
         cleaned = lemmatize(cleaned, lemmas, row_key)
     elif lemmatizer is not None:
         cleaned = cleaned.withColumn("tokens", lemmatizer(F.col("tokens"), F.col("language")))

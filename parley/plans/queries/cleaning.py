@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from parley.functions import patterns as P
 from parley.functions import text as T
-from parley.functions.once import computed_once
-from parley.operators import clean, language
+from parley.functions.once import computed_once, unnest
+from parley.operators import clean, language, lemma_rules
 from parley.operators.parse import classify_messages
 from parley.plans.queries.registry import bundled_list, query, sql_list, sql_string
 from parley.plans.queries.views import (
@@ -300,3 +300,43 @@ def word_frequency_by_group(spark, d):
     words = clean.remove_stopwords(clean.words_of(F.col("message")), F.col("true_lang"))
     tokens = computed_once(document_messages(spark, d), "tokens", words)
     return frequency(tokens, 15, keys=["group_name"])
+
+
+# A word table with every word of even length, and what it teaches about the others.
+_STEMS = "(?:tions|tion|ings|ing|ed|es|s)$"
+_TAUGHT = f""", t AS (SELECT DISTINCT unnest({words_sql('message')}) AS word FROM dm),
+known AS (SELECT word, regexp_replace(word, '{_STEMS}', '') AS value FROM t WHERE length(word) % 2 = 0),
+same AS (SELECT *, len(list_filter(range(1, least(length(word), length(value)) + 1), lambda n: word[1:n] = value[1:n])) AS kept FROM known),
+changes AS (SELECT word, length(word) - kept AS cut, substr(value, kept + 1) AS added FROM same WHERE kept >= 2),
+ends AS (SELECT *, right(word, size) AS ending FROM (SELECT *, unnest(range(1, least(length(word) - 2, 6) + 1)) AS size FROM changes)),
+votes AS (SELECT ending, cut, added, count(*) AS words FROM ends GROUP BY ALL),
+best AS (SELECT * FROM votes WHERE cut <= length(ending) QUALIFY row_number() OVER (PARTITION BY ending ORDER BY words DESC, cut, added) = 1),
+rules AS (SELECT best.*, total FROM best JOIN (SELECT ending, sum(words) AS total FROM votes GROUP BY 1) USING (ending)
+  WHERE words >= 3 AND words >= CAST(0.7 AS DOUBLE) * total),
+others AS (SELECT word, unnest(range(1, least(length(word) - 2, 6) + 1)) AS size FROM t
+  WHERE length(word) % 2 = 1 AND regexp_matches(word, '^\\p{{L}}+$')),
+ruled AS (SELECT word, left(word, length(word) - cut) || added AS value FROM others JOIN rules ON ending = right(word, size)
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY size DESC) = 1)"""
+
+
+def _taught(spark, d):
+    tokens = clean.words_of(F.col("message"))
+    rows = computed_once(document_messages(spark, d).select("seq", "message"), "tokens", tokens)
+    known = unnest(rows, [], "tokens", "word").distinct().filter(F.length("word") % 2 == 0)
+    return rows, known.withColumn("value", F.regexp_replace("word", _STEMS, ""))
+
+
+@query(
+    "lemma_rules",
+    WD + _TAUGHT + "SELECT ending, CAST(cut AS INTEGER) AS cut, added, words, CAST(total AS BIGINT) AS \"of\" FROM rules",
+)
+def rules_of_lemmas(spark, d):
+    return lemma_rules.lemma_rules(_taught(spark, d)[1])
+
+
+@query(
+    "lemmas_by_rule",
+    WD + _TAUGHT + "SELECT word, value FROM known UNION ALL SELECT word, value FROM ruled WHERE value <> word",
+)
+def lemmas_by_rule(spark, d):
+    return lemma_rules.extended_lemmas(*_taught(spark, d))
