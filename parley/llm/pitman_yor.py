@@ -5,8 +5,9 @@ and all of them share the parent restaurant of single words, whose base is the
 uniform distribution over the known words and one unknown.
 
 1. Blocks of texts give their distinct word pairs, packed as arrays and keyed by
-   the shard of the context.  Contexts that hold more than 1 / ``HOT`` of all
-   tokens (at most ``HOT``) are dealt over all shards by the pair instead.
+   the shard of the context.  Contexts that hold more than a quarter of a shard
+   are dealt over all shards by the pair instead (at most ``HOT`` contexts, which
+   then hold more than 1 / ``HOT`` of all tokens each).
 2. A shard seats the customers of its restaurants.  A Gibbs sweep empties each
    dish of a restaurant in turn and seats its customers again, one by one, given
    all other tables and the parent's probability of the dish.  First sweeps use
@@ -15,11 +16,12 @@ uniform distribution over the known words and one unknown.
    them at the parent's tables and answer.  The same exchange sums the tables of
    the contexts that were dealt over shards, and counts words for the base score.
 4. Shards go on from the same seats with the true parent; after some sweeps the
-   predictive probabilities of several are averaged.  Each occurrence of a pair
-   adds the logarithm to its text.
+   predictive probabilities of several are averaged.  The logarithms go back to
+   the block, one for each of its pairs, and are added up there by text.
 
 Arrays travel per block and shard, so Spark moves few, large rows; no table of
-the vocabulary is broadcast or collected.
+the vocabulary is broadcast or collected.  What a row holds grows with its pairs
+alone, so that the bytes moved do not depend on the number of shards.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from parley.llm.words import Words, mix, parts
 HELD_OUT = (5, 1)  # crc32(doc_id) mod 5 = 1 is never learned from
 SHARD_BYTES = 10 << 20
 BLOCK_BYTES = 4 << 20
-HOT = 256
+HOT = 1 << 14  # most contexts that are dealt over all shards: their list goes to every task
 DISCOUNT = (0.5, 0.8)  # of the parent and of the contexts
 STRENGTH = (10.0, 2.0)
 LOCAL_SWEEPS, BURN_IN, SAMPLES = 1, 2, 4
@@ -59,27 +61,45 @@ def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context, token, text
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, those of the same place together."""
+    if not len(values):
+        return b""
+    places = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return pa.compress(places.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int, kind: np.dtype | type) -> np.ndarray:
+    if not n:
+        return np.zeros(0, dtype=kind)
+    width = np.dtype(kind).itemsize
+    places = np.frombuffer(pa.decompress(raw, n * width, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(places.reshape(width, n).T).view(kind).ravel()
+
+
 def _small(values: np.ndarray) -> bytes:
-    """As few bytes per number as the largest needs."""
+    """Numbers from 0 in as few bytes as the largest needs, after that width."""
     top = int(values.max()) if len(values) else 0
     kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64
-    return values.astype(kind).tobytes()
+    return bytes([np.dtype(kind).itemsize]) + _packed(values.astype(kind))
 
 
 def _numbers(raw: bytes, n: int) -> np.ndarray:
-    width = len(raw) // n if n else 1
-    return np.frombuffer(raw, dtype=f"u{width}").astype(np.int64)
+    return _unpacked(raw[1:], n, np.dtype(f"u{raw[0]}")).astype(np.int64)
 
 
-def _frequent(held_out: tuple[int, int]):
-    """Tokens of each block and its frequent contexts, which include all that can be hot."""
+def _frequent(most: int):
+    """Tokens of each block and its contexts with over 1 / (4 * most) of them.
+
+    A context with 1 / most of all tokens has three quarters of them in such blocks at least.
+    """
 
     def run(batches):
         for batch in batches:
             for part in parts(batch, "text", BLOCK_BYTES):
                 context, _, _ = _tokens(Words(column(part, "text"), lower=True))
                 values, counts = np.unique(context, return_counts=True)
-                often = counts * 4 * HOT >= len(context)
+                often = counts * 4 * most >= len(context)
                 values, counts = np.append(values[often].view(np.int64), 0), np.append(counts[often], len(context))
                 total = np.append(np.zeros(int(often.sum()), bool), True)
                 yield pa.RecordBatch.from_arrays([pa.array(total), pa.array(values), pa.array(counts)], names=["total", "context", "n"])
@@ -87,13 +107,26 @@ def _frequent(held_out: tuple[int, int]):
     return run
 
 
-PAIRS = "shard int, block bigint, docs binary, texts int, train binary, context binary, runs binary, word binary, times binary, text binary"
+PAIRS = "shard int, block bigint, docs binary, texts int, learned int, context binary, runs binary, words binary, word binary, times binary, text binary"
+
+
+def pair_row(shard: int, block: int, docs: bytes | None, texts: int, learned: int, context: np.ndarray, token: np.ndarray, text: np.ndarray) -> tuple:
+    """Occurrences in order of their pairs, as one row of ``PAIRS``: contexts and their
+    numbers of words, the distinct words and their places among the pairs, the
+    numbers of occurrences of the pairs, and the text of each occurrence.  Of the
+    block's texts the first ``learned`` are learned from."""
+    first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (token[1:] != token[:-1])))
+    times = np.diff(np.append(first, len(context)))
+    context, token = context[first], token[first]
+    new = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+    runs = np.diff(np.append(new, len(context)))
+    words, word = np.unique(token, return_inverse=True)
+    return (shard, block, docs, texts, learned, context[new].tobytes(), _small(runs), words.tobytes(), _small(word), _small(times), _small(text))
 
 
 def _pairs(shards: int, hot: np.ndarray, held_out: tuple[int, int]):
-    """Distinct pairs of each block by shard: contexts and their numbers of words,
-    words and their numbers of occurrences, and the text of each occurrence.
-    Only the first row of a block carries the keys of its texts."""
+    """The distinct pairs of each block by shard.  Only the first row of a block
+    carries the keys of its texts."""
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -101,8 +134,10 @@ def _pairs(shards: int, hot: np.ndarray, held_out: tuple[int, int]):
             for part in parts(batch, "text", BLOCK_BYTES):
                 number += 1
                 ids = column(part, "doc_id")
-                learn = np.array([x != held_out[1] for x in crc_mod_text(ids, held_out[0])], dtype=np.uint8)
+                held = crc_mod_text(ids, held_out[0]) == held_out[1]
+                place = np.argsort(held, kind="stable")
                 context, token, text = _tokens(Words(column(part, "text"), lower=True))
+                text = np.argsort(place)[text]
                 top = mix(context)
                 if len(hot):
                     dealt = np.isin(context, hot)
@@ -111,22 +146,13 @@ def _pairs(shards: int, hot: np.ndarray, held_out: tuple[int, int]):
                 order = np.argsort(key, kind="stable")
                 context, token, text, key = context[order], token[order], text[order], key[order]
                 shard = _shard(key, shards)
-                edges = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-                keys = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
+                edges = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist() + [len(shard)]
+                keys = ids.to_numpy(zero_copy_only=False).astype(np.int64)[place].tobytes()
                 rows = []
-                for s in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-                    c, w, t = (x[edges[s] : edges[s + 1]] for x in (context, token, text))
-                    new_pair = np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1]))
-                    first = np.flatnonzero(new_pair)
-                    times = np.diff(np.append(first, len(c)))
-                    c, w = c[first], w[first]
-                    new = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-                    runs = np.diff(np.append(new, len(c)))
-                    rows.append((s, number, None if rows else keys, len(ids), learn.tobytes(), c[new].tobytes(), _small(runs), w.tobytes(), _small(times), _small(t)))
-                types = [pa.int32(), pa.int64(), pa.binary(), pa.int32(), *[pa.binary()] * 6]
-                names = [f.split()[0] for f in PAIRS.split(", ")]
+                for i, j in zip(edges[:-1], edges[1:], strict=True):
+                    rows.append(pair_row(int(shard[i]), number, None if rows else keys, len(ids), int((~held).sum()), context[i:j], token[i:j], text[i:j]))
                 for i in range(0, len(rows), 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[i : i + 16], strict=True), types, strict=True)], names=names)
+                    yield from _table(rows[i : i + 16], PAIRS).to_batches()
 
     return run
 
@@ -143,16 +169,14 @@ class Shard:
         self.blocks, context, word = [], [], []
         times = []
         for row in sorted(rows.to_pylist(), key=lambda r: r["block"]):
-            learn = np.frombuffer(row["train"], dtype=np.uint8).astype(np.int64)
-            w = np.frombuffer(row["word"], dtype=np.uint64)
             c = np.frombuffer(row["context"], dtype=np.uint64)
-            n = _numbers(row["times"], len(w))
-            text = _numbers(row["text"], int(n.sum()))
-            context.append(np.repeat(c, _numbers(row["runs"], len(c))))
-            word.append(w)
-            at = np.cumsum(n) - n
-            times.append(np.add.reduceat(learn[text], at))
-            self.blocks.append((row["block"], row["docs"], row["texts"], n, text))
+            c = np.repeat(c, _numbers(row["runs"], len(c)))
+            n = _numbers(row["times"], len(c))
+            learn = _numbers(row["text"], int(n.sum())) < row["learned"]
+            context.append(c)
+            word.append(np.frombuffer(row["words"], dtype=np.uint64)[_numbers(row["word"], len(c))])
+            times.append(np.add.reduceat(learn.astype(np.int64), np.cumsum(n) - n))
+            self.blocks.append((row["block"], row["docs"], row["texts"], len(c), row["times"], row["text"]))
         context, word, times = np.concatenate(context), np.concatenate(word), np.concatenate(times)
         pair = mix(context) + np.uint64(3) * word
         order = np.argsort(pair, kind="stable")
@@ -291,7 +315,7 @@ def _at_root(roots: int):
     return run
 
 
-SUMS = "block bigint, docs binary, texts int, score binary, base binary, known binary, tokens binary, vocabulary double, train double"
+SCORES = "block bigint, shard int, docs binary, texts int, pairs int, times binary, text binary, score binary, count binary, vocabulary double, train double"
 
 
 def _score(roots: int, hot: np.ndarray):
@@ -318,17 +342,14 @@ def _score(roots: int, hot: np.ndarray):
             own.sweep(parent, random)
             if k >= BURN_IN:
                 mean += own.predictive(parent)
-        log_model = np.log10(mean / SAMPLES)
-        log_base = np.log10(count + 0.5)[own.dish]
-        known = (count > 0)[own.dish]
+        log_model = np.log10(mean / SAMPLES).astype(np.float32)
+        count = count[own.dish]
         out, i = [], 0
-        for block, docs, many, n, text in own.blocks:
-            entry = own.entry[i : i + len(n)]
-            i += len(n)
-            add = lambda values: np.bincount(text, weights=np.repeat(values[entry], n), minlength=many)  # noqa: B023, E731
-            seen, all_ = add(known).astype(np.int64), np.bincount(text, minlength=many)
-            out.append((block, docs, many, add(log_model).tobytes(), add(log_base).tobytes(), _small(seen), _small(all_), vocabulary, train))
-        return _table(out, SUMS)
+        for block, docs, many, n, times, text in own.blocks:
+            entry = own.entry[i : i + n]
+            i += n
+            out.append((block, shard, docs, many, n, times, text, _packed(log_model[entry]), _small(count[entry]), vocabulary, train))
+        return _table(out, SCORES)
 
     return run
 
@@ -338,14 +359,17 @@ OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_t
 
 def _of_block(held_out: tuple[int, int]):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = sorted(rows.to_pylist(), key=lambda r: (r["score"], r["base"]))
+        rows = sorted(rows.to_pylist(), key=lambda r: r["shard"])
         ids = np.frombuffer(next(r["docs"] for r in rows if r["docs"] is not None), dtype=np.int64)
         score, base, known, tokens = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for r in rows:
-            score += np.frombuffer(r["score"])
-            base += np.frombuffer(r["base"])
-            known += _numbers(r["known"], len(ids))
-            tokens += _numbers(r["tokens"], len(ids))
+            times, count = _numbers(r["times"], r["pairs"]), _numbers(r["count"], r["pairs"])
+            text = _numbers(r["text"], int(times.sum()))
+            add = lambda values: np.bincount(text, weights=np.repeat(values, times), minlength=len(ids))  # noqa: B023, E731
+            score += add(_unpacked(r["score"], r["pairs"], np.float32).astype(np.float64))
+            base += add(np.log10(count + 0.5))
+            known += add(count > 0).astype(np.int64)
+            tokens += np.bincount(text, minlength=len(ids))
         vocabulary, train = rows[0]["vocabulary"], rows[0]["train"]
         base -= tokens * np.log10(train + 0.5 * (vocabulary + 1))
         held = crc_mod(ids, held_out[0]) == held_out[1]
@@ -366,16 +390,17 @@ def perplexity_scores(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT) ->
     doc_id are left out; other columns are ignored.  Runs agree.
     """
     docs = workers_ready(docs).select("doc_id", "text").filter("doc_id is not null")
-    blocks = docs.mapInArrow(_frequent(held_out), "total boolean, context bigint, n bigint")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
+    most = min(HOT, 4 * shards)
+    blocks = docs.mapInArrow(_frequent(most), "total boolean, context bigint, n bigint")
     seen = saved(blocks.groupBy("total", "context").agg(F.sum("n").alias("n")), "frequent")
     everything = seen.filter("total").agg(F.sum("n")).first()[0] or 0
-    hot_rows = seen.filter(~F.col("total") & (F.col("n") * HOT >= everything)).collect()  # at most HOT rows
+    hot_rows = seen.filter(~F.col("total") & (F.col("n") * most >= everything)).collect()  # at most HOT rows
     hot = np.array([r.context for r in hot_rows], dtype=np.int64).view(np.uint64)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
     roots = max(1, round(shards**0.6))
     pairs = docs.mapInArrow(_pairs(shards, hot, held_out), PAIRS)
     up = pairs.groupBy("shard").applyInArrow(_to_roots(roots, hot), UP)
     down = up.groupBy("root").applyInArrow(_at_root(roots), DOWN)
-    sums = pairs.groupBy("shard").cogroup(down.groupBy("shard")).applyInArrow(_score(roots, hot), SUMS)
-    return sums.groupBy("block").applyInArrow(_of_block(held_out), OUT)
+    scores = pairs.groupBy("shard").cogroup(down.groupBy("shard")).applyInArrow(_score(roots, hot), SCORES)
+    return scores.groupBy("block").applyInArrow(_of_block(held_out), OUT)

@@ -129,12 +129,10 @@ def test_many_shards_and_hot_contexts(spark, monkeypatch):
 def test_probabilities_of_a_shard_sum_to_one():
     random = np.random.default_rng(1)
     words = np.arange(1, 6, dtype=np.uint64)
-    row = {
-        "block": 1, "docs": np.zeros(1, np.int64).tobytes(), "texts": 1, "train": np.ones(1, np.uint8).tobytes(),
-        "context": words[:1].tobytes(), "runs": np.array([5], np.uint8).tobytes(), "word": words.tobytes(),
-        "times": np.array([9, 1, 3, 1, 40], np.uint8).tobytes(), "text": np.zeros(54, np.uint8).tobytes(),
-    }
-    own = pitman_yor.Shard(pa.Table.from_pylist([row]), 0.8, 2.0)
+    times = [9, 1, 3, 1, 40]
+    row = pitman_yor.pair_row(0, 1, None, 1, 1, np.full(54, words[0]), np.repeat(words, times), np.zeros(54, np.int64))
+    own = pitman_yor.Shard(pitman_yor._table([row], pitman_yor.PAIRS), 0.8, 2.0)
+    assert own.count.tolist() == times
     parent = np.full(5, 0.2)
     for _ in range(5):
         own.sweep(parent, random)
@@ -156,5 +154,33 @@ def test_seating_follows_the_sequential_process():
     assert abs(tables.mean() - np.mean(slow)) < 0.15
 
 
+def test_bytes_moved_do_not_grow_with_the_shards(spark):
+    docs = frame(spark, corpus(4) * 4).select("doc_id", "text").coalesce(1)
+    nothing = np.zeros(0, dtype=np.uint64)
+    sizes = {}
+    for shards in (4, 40):
+        rows = docs.mapInArrow(pitman_yor._pairs(shards, nothing, (5, 1)), pitman_yor.PAIRS).toArrow()
+        assert rows.num_rows > shards / 2
+        # what a compressed array or a row costs by itself is less than 100 bytes
+        sizes[shards] = sum(c.nbytes for c in rows.columns) - 100 * rows.num_rows
+    assert sizes[40] < 1.2 * sizes[4]
+
+
+@pytest.mark.parametrize("values", [[], [0], [255, 3], [256, 0, 70_000], [1 << 40, 5]])
+def test_packed_numbers_come_back(values):
+    numbers = np.array(values, dtype=np.int64)
+    assert pitman_yor._numbers(pitman_yor._small(numbers), len(numbers)).tolist() == values
+    scores = np.array(values, dtype=np.float32)
+    assert pitman_yor._unpacked(pitman_yor._packed(scores), len(scores), np.float32).tolist() == scores.tolist()
+
+
+def test_texts_that_repeat_a_key_and_texts_without_one(spark):
+    rows = [(1, "a b a", "x"), (1, "a b a", "x"), (1, "c", "x"), (2, None, None), (None, "a b", "x"), (3, "", "x")]
+    got = pitman_yor.perplexity_scores(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(1, 2), (1, 4), (1, 4), (2, 1), (3, 1)]
+    same = [r.base_score for r in got if r.n_tokens == 4]
+    assert same[0] == same[1]
+
+
 def test_no_documents(spark):
     assert pitman_yor.perplexity_scores(frame(spark, [])).collect() == []
