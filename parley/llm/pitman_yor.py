@@ -37,12 +37,13 @@ from parley.llm.words import Words, mix, parts
 
 HELD_OUT = (5, 1)  # crc32(doc_id) mod 5 = 1 is never learned from
 SHARD_BYTES = 10 << 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 HOT = 1 << 14  # most contexts that are dealt over all shards: their list goes to every task
 DISCOUNT = (0.5, 0.8)  # of the parent and of the contexts
 STRENGTH = (10.0, 2.0)
 LOCAL_SWEEPS, BURN_IN, SAMPLES = 1, 2, 4
 END, START = mix(np.array([0x454E44, 0x5354415254], dtype=np.uint64))
+SCORE_STEPS = 1 << 16  # to one power of ten: a rounding of 1e-5 a token, far below what the seats of another run change
 _STEP = 32  # customers i to i + i // _STEP of a dish are seated together
 
 
@@ -61,31 +62,23 @@ def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context, token, text
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Numbers as compressed bytes, those of the same place together."""
+def _small(values: np.ndarray) -> bytes:
+    """Numbers from 0, after the width that the largest needs: compressed bytes, those of the same place together."""
     if not len(values):
         return b""
-    places = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return pa.compress(places.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpacked(raw: bytes, n: int, kind: np.dtype | type) -> np.ndarray:
-    if not n:
-        return np.zeros(0, dtype=kind)
-    width = np.dtype(kind).itemsize
-    places = np.frombuffer(pa.decompress(raw, n * width, codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(places.reshape(width, n).T).view(kind).ravel()
-
-
-def _small(values: np.ndarray) -> bytes:
-    """Numbers from 0 in as few bytes as the largest needs, after that width."""
-    top = int(values.max()) if len(values) else 0
+    top = int(values.max())
     kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64
-    return bytes([np.dtype(kind).itemsize]) + _packed(values.astype(kind))
+    width = np.dtype(kind).itemsize
+    places = values.astype(kind).view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + pa.compress(places.tobytes(), codec="zstd", asbytes=True)
 
 
 def _numbers(raw: bytes, n: int) -> np.ndarray:
-    return _unpacked(raw[1:], n, np.dtype(f"u{raw[0]}")).astype(np.int64)
+    """The ``n`` numbers of ``_small``."""
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    places = np.frombuffer(pa.decompress(raw[1:], n * raw[0], codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(places.reshape(raw[0], n).T).view(f"u{raw[0]}").ravel().astype(np.int64)
 
 
 def _frequent(most: int):
@@ -342,13 +335,13 @@ def _score(roots: int, hot: np.ndarray):
             own.sweep(parent, random)
             if k >= BURN_IN:
                 mean += own.predictive(parent)
-        log_model = np.log10(mean / SAMPLES).astype(np.float32)
+        steps = np.rint(-SCORE_STEPS * np.log10(mean / SAMPLES)).astype(np.int64)
         count = count[own.dish]
         out, i = [], 0
         for block, docs, many, n, times, text in own.blocks:
             entry = own.entry[i : i + n]
             i += n
-            out.append((block, shard, docs, many, n, times, text, _packed(log_model[entry]), _small(count[entry]), vocabulary, train))
+            out.append((block, shard, docs, many, n, times, text, _small(steps[entry]), _small(count[entry]), vocabulary, train))
         return _table(out, SCORES)
 
     return run
@@ -366,7 +359,7 @@ def _of_block(held_out: tuple[int, int]):
             times, count = _numbers(r["times"], r["pairs"]), _numbers(r["count"], r["pairs"])
             text = _numbers(r["text"], int(times.sum()))
             add = lambda values: np.bincount(text, weights=np.repeat(values, times), minlength=len(ids))  # noqa: B023, E731
-            score += add(_unpacked(r["score"], r["pairs"], np.float32).astype(np.float64))
+            score -= add(_numbers(r["score"], r["pairs"]) / SCORE_STEPS)
             base += add(np.log10(count + 0.5))
             known += add(count > 0).astype(np.int64)
             tokens += np.bincount(text, minlength=len(ids))

@@ -170,8 +170,6 @@ def test_bytes_moved_do_not_grow_with_the_shards(spark):
 def test_packed_numbers_come_back(values):
     numbers = np.array(values, dtype=np.int64)
     assert pitman_yor._numbers(pitman_yor._small(numbers), len(numbers)).tolist() == values
-    scores = np.array(values, dtype=np.float32)
-    assert pitman_yor._unpacked(pitman_yor._packed(scores), len(scores), np.float32).tolist() == scores.tolist()
 
 
 def test_texts_that_repeat_a_key_and_texts_without_one(spark):
