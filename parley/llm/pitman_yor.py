@@ -105,8 +105,8 @@ PAIRS = "shard int, block bigint, docs binary, texts int, learned int, context b
 
 def pair_row(shard: int, block: int, docs: bytes | None, texts: int, learned: int, context: np.ndarray, token: np.ndarray, text: np.ndarray) -> tuple:
     """Occurrences in order of their pairs, as one row of ``PAIRS``: contexts and their
-    numbers of words, the distinct words and their places among the pairs, the
-    numbers of occurrences of the pairs, and the text of each occurrence.  Of the
+    numbers of words, the steps between the sorted distinct words and the word of each
+    pair, the numbers of occurrences of the pairs, and the text of each occurrence.  Of the
     block's texts the first ``learned`` are learned from."""
     first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (token[1:] != token[:-1])))
     times = np.diff(np.append(first, len(context)))
@@ -114,7 +114,7 @@ def pair_row(shard: int, block: int, docs: bytes | None, texts: int, learned: in
     new = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
     runs = np.diff(np.append(new, len(context)))
     words, word = np.unique(token, return_inverse=True)
-    return (shard, block, docs, texts, learned, context[new].tobytes(), _small(runs), words.tobytes(), _small(word), _small(times), _small(text))
+    return (shard, block, docs, texts, learned, context[new].tobytes(), _small(runs), _small(np.diff(words, prepend=np.uint64(0))), _small(word), _small(times), _small(text))
 
 
 def _pairs(shards: int, hot: np.ndarray, held_out: tuple[int, int]):
@@ -167,7 +167,8 @@ class Shard:
             n = _numbers(row["times"], len(c))
             learn = _numbers(row["text"], int(n.sum())) < row["learned"]
             context.append(c)
-            word.append(np.frombuffer(row["words"], dtype=np.uint64)[_numbers(row["word"], len(c))])
+            w = _numbers(row["word"], len(c))
+            word.append(np.cumsum(_numbers(row["words"], int(w.max()) + 1).view(np.uint64))[w])
             times.append(np.add.reduceat(learn.astype(np.int64), np.cumsum(n) - n))
             self.blocks.append((row["block"], row["docs"], row["texts"], len(c), row["times"], row["text"]))
         context, word, times = np.concatenate(context), np.concatenate(word), np.concatenate(times)
