@@ -2,12 +2,13 @@
 
 Every entity is mapped by a keyed permutation of all strings of its format:
 digits stay digits, vowels vowels, consonants consonants, in the same script and
-case; separators, country codes and top-level domains stay.  Card numbers keep
-their check-sum state, addresses stay valid, first names move within the list of
+case; separators, country codes, key prefixes and top-level domains stay.  Card and
+bank account numbers keep their check-sum state, addresses stay valid, first names move within the list of
 their gender and script.  A permutation never maps two entities to one; what it
 can do is to hit an entity that the corpus holds, or leave one as it is.  Such
 hits are found by a join over the distinct entities and tried again with another
-tweak, until none is left.  The same entity gets the same surrogate everywhere,
+tweak, until none is left; where ``TRIES`` tweaks find no free string, the format is
+widened.  The same entity gets the same surrogate everywhere,
 and parts of a name that stand alone later in the text follow the full name.
 """
 
@@ -17,6 +18,7 @@ import hashlib
 import hmac
 import re
 from bisect import bisect_right
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ FIRST_NAMES = {
     "cyrillic male": "Александр Алексей Андрей Дмитрий Иван Михаил Николай Сергей",
 }
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Madame Monsieur Señor Señora Don Doña"
+KEY_PREFIXES = "AKIA ASIA sk- ghp_ gho_ ghs_ glpat- xoxb- xoxp-"
 # --- end of fixed values ----------------------------------------------------
 
 _NAME_LIST = {name: kind for kind, names in FIRST_NAMES.items() for name in names.split()}
@@ -47,6 +50,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _ENTITY = re.compile(
     r"(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?:(?i:token|secret|password|passwd|api[_-]?key)(?:[_-]\w+|[0-9]+)?(?!\w)[\"']?\s*[=:]\s*[\"']?)(?P<secret>[^\s\"'<>,;]{8,})"
+    rf"|(?P<key>(?<!\w)(?:{'|'.join(KEY_PREFIXES.split())})[A-Za-z0-9_-]{{16,}}(?!\w))"
     r"|(?P<hex>(?<![\w])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\w]))"
     r"|(?P<iban>(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\w]))"
     rf"|(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.[0-9]))"
@@ -55,7 +59,8 @@ _ENTITY = re.compile(
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<card>(?<![\w])(?:[0-9]{13,19}|[0-9]{4}(?P<sep>[ -])(?:[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{4}(?:(?P=sep)[0-9]{3})?|[0-9]{6}(?P=sep)[0-9]{4,5}))(?![\w]))",
 )
-KINDS = ("email", "secret", "hex", "iban", "ip", "phone", "ssn", "card")
+TRIES = 20  # tweaks of one width
+KINDS = ("email", "secret", "key", "hex", "iban", "ip", "phone", "ssn", "card")
 _COUNTRY = re.compile(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})")
 _TRIGGER = re.compile(r"[0-9@=:]")
 _UPPER = r"[A-ZÀ-ÖØ-ÞА-Я]"
@@ -91,6 +96,11 @@ def card_length(text: str, start: int, stop: int) -> int:
     return 0 if row else len(card)
 
 
+def mod97(iban: str) -> int:
+    """Remainder of a bank account number; 1 if its check digits are right."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
 def normal(kind: str, text: str) -> str:
     """The form that two mentions of one entity share."""
     if kind in ("card", "iban"):
@@ -143,7 +153,13 @@ class Surrogates:
             out.append(c)
         return "".join(reversed(out))
 
-    def _octets(self, text: str, label: str) -> str:
+    def _octets(self, text: str, label: str, any_width: bool) -> str:
+        if any_width:
+            value = 0
+            for o in text.split("."):
+                value = value << 8 | int(o)
+            value = self._permute(value, 1 << 32, f"{label}|any")
+            return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
         ranges = {1: (0, 10), 2: (10, 90), 3: (100, 156)}
         octets = text.split(".")
         value, size = 0, 1
@@ -163,31 +179,39 @@ class Surrogates:
         label = f"{kind}|{tweak}"
         if kind == "first":
             return self.next_name[text]
+        wider = tweak // TRIES
         if kind == "ip":
-            return self._octets(text, label)
+            return self._octets(text, label, wider > 0)
+        more = next((_CLASS[c] for c in reversed(text) if c in _CLASS), _LETTERS[1])[0] * wider
         if kind == "email":
             local, _, domain = text.partition("@")
             host, _, top = domain.rpartition(".")
-            return f"{self._letters(f'{local}@{host}', label)}.{top}"
+            return f"{self._letters(f'{local}{more}@{host}', label)}.{top}"
         if kind == "card":
-            head = self._letters(text[:-1], label)
+            head = self._letters(text[:-1] + "0" * wider, label)
             return next(head + str(d) for d in range(10) if luhn(head + str(d)) == luhn(text))
         if kind == "iban":
-            return text[:2] + self._letters(text[2:], label)
+            if mod97(text) != 1:
+                return text[:2] + self._letters(text[2:] + "0" * wider, label)
+            account = self._letters(text[4:] + "0" * wider, label)
+            return f"{text[:2]}{98 - mod97(f'{text[:2]}00{account}'):02d}{account}"
         if kind == "phone":
             code = _COUNTRY.match(text)
             at = code.end() if code else 0
-            return text[:at] + self._letters(text[at:], label)
+            return text[:at] + self._letters(text[at:] + "0" * wider, label)
+        if kind == "key":
+            prefix = next(p for p in KEY_PREFIXES.split() if text.startswith(p))
+            return prefix + self._letters(text[len(prefix) :] + more, label)
         if kind in ("hex",) or kind == "secret" and set(text) <= set(_HEX):
-            return self._letters(text, label, _HEX)
-        return self._letters(text, label)
+            return self._letters(text + "0" * wider, label, _HEX)
+        return self._letters(text + more, label)
 
 
 def _spelled(kind: str, mention: str, surrogate: str) -> str:
     """A surrogate in the spelling of the mention: its separators and case."""
     if kind in ("card", "iban", "phone"):
         new = (c for c in surrogate if c.isalnum())
-        return "".join(next(new) if c.isalnum() else c for c in mention)
+        return "".join([next(new) if c.isalnum() else c for c in mention]) + "".join(new)
     if kind == "email" and len(mention) == len(surrogate):
         return "".join(s.upper() if m.isupper() else s for m, s in zip(mention, surrogate, strict=True))
     return surrogate
@@ -253,17 +277,17 @@ def _surrogate_rows(key: bytes):
     return run
 
 
-def exceptions(entities: DataFrame, key: bytes, tries: int = 20) -> DataFrame:
+def exceptions(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, tweak) of the entities that need another tweak than 0.
 
     A surrogate is refused if the corpus holds it as an entity or if an entity
-    settled before, or a smaller one of this round, has it.  An entity that is
-    refused ``tries`` times (its format has no free string) keeps its last tweak.
+    settled before, or a smaller one of this round, has it.  From tweak ``TRIES`` on
+    the format grows by a letter or digit for every ``TRIES`` tweaks (the octets of
+    an address by any value), so that a free string is found for every entity.
     """
     make = lambda df: df.mapInArrow(_surrogate_rows(key), "kind string, value string, tweak int, surrogate string")
     settled = saved(make(entities.withColumn("tweak", F.lit(0))), "surrogates")
-    refused = None
-    for tweak in range(1, tries + 1):
+    for tweak in count(1):
         taken = entities.select("kind", F.col("value").alias("surrogate"))
         first = settled.groupBy("kind", "surrogate").agg(F.min(F.struct("tweak", "value")).alias("first"))
         twice = settled.join(first, ["kind", "surrogate"]).filter(F.struct("tweak", "value") != F.col("first")).select("kind", "value")
@@ -310,21 +334,23 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_replaced): the texts with every detected entity replaced.
 
     Detected: e-mail and IPv4 addresses, phone, card (see ``card_length``), social
-    security and bank account numbers, secrets after a name like ``token =``, long
-    hexadecimal strings, and persons (a listed first name and a surname, or a title
+    security and bank account numbers, secrets after a name like ``token =``, keys with
+    a known prefix, long hexadecimal strings, and persons (a listed first name and a surname, or a title
     and a surname) with later mentions of their parts.  Everything else stays as it
-    is, byte for byte.  A null text stays null.  The key decides the surrogates;
+    is, byte for byte.  A null text stays null; rows without a doc_id are replaced
+    like the others.  The key decides the surrogates;
     the same key gives the same ones on every run.  Repeated rows are replaced
     alike; other columns are ignored.
     """
     secret = key.encode("utf-8")
-    docs = workers_ready(docs).select("doc_id", "text")
-    found = saved(docs.mapInArrow(_detect, "doc_id bigint, kind string, value string"), "entities")
+    # a row without a key goes by its text; rows that meet by chance only share what they look up
+    docs = workers_ready(docs).select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("row"))
+    found = saved(docs.select(F.col("row").alias("doc_id"), "text").mapInArrow(_detect, "doc_id bigint, kind string, value string"), "entities")
     other = exceptions(found.select("kind", "value").distinct(), secret)
     tweaks = (
         found.join(other, ["kind", "value"])
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").alias("row"))
         .agg(F.collect_set(F.struct("kind", "value", "tweak")).alias("tweaks"))
     )
-    rows = attach(docs, tweaks, ["doc_id"])
+    rows = attach(docs, tweaks, ["row"])
     return rows.mapInArrow(_replace(secret), "doc_id bigint, text string, n_replaced bigint")
