@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.session import scratch_path, ship_package
+from parley.session import saved, ship_package
 
 #: One word, as a Java and RE2 pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,14 +26,6 @@ def workers_ready(df: DataFrame) -> DataFrame:
     return df
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: its lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(key: Column, n: int) -> Column:
     """crc32 of the key as text, mod n."""
     return F.pmod(F.crc32(F.encode(key.cast("string"), "UTF-8")), F.lit(n))

@@ -97,6 +97,15 @@ def test_spanning_forest(spark):
     assert sum(r.w for r in kept) == total and len(kept) == len(root) - len({find(v) for v in root})
 
 
+def test_a_forest_of_many_rounds_keeps_small_plans(spark):
+    # neighbours are joined first, then pairs of them, and so on: five rounds
+    edges = [(i, i + 1, float((i + 1) & -(i + 1))) for i in range(31)]
+    forest, trees = D.spanning_forest(spark.createDataFrame(edges, "a bigint, b bigint, w double"))
+    assert trees._jdf.queryExecution().optimizedPlan().constraints().size() < 100
+    assert {r.node: r.root for r in trees.collect()} == {i: 0 for i in range(32)}
+    assert sorted(map(tuple, forest.collect())) == edges
+
+
 def test_odd_points(spark):
     rng = np.random.default_rng(4)
     points = blobs(rng, 40, centres=1) + [(90, None), (91, []), (92, [1.0]), (93, [float("nan")] * 6), (94, [None] * 6)]
