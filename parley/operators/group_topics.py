@@ -182,15 +182,19 @@ def topics_lda_per_group(
     vocabulary = checkpointed(vocabulary)
     words = attach(counts, vocabulary, ["_group", "term"], "inner").select("_group", "_doc", "_term", (F.col("tf") * F.col("idf")).alias("weight"))
     words = checkpointed(words)
-    per_group = words.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("_chunks"))
+    per_group = checkpointed(words.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("_chunks")))
     dealt = attach(words, per_group, ["_group"], "inner").withColumn("_chunk", F.pmod(F.xxhash64("_doc"), F.col("_chunks"))).drop("_chunks")
-    chunks = checkpointed(dealt.groupBy("_group", "_chunk").applyInArrow(_packed, _CHUNKS))
+    packed = dealt.groupBy("_group", "_chunk").applyInArrow(_packed, _CHUNKS)
+    # much work for few bytes: dealt by number, and models go to the chunks, as by
+    # group most chunks of a large one would meet its model in one task
+    n_chunks = per_group.agg(F.sum("_chunks")).first()[0] or 1
+    chunks = checkpointed(packed.repartition(min(int(n_chunks), 8 * messages.sparkSession.sparkContext.defaultParallelism)))
 
     n_terms = vocabulary.groupBy("_group").agg(F.count(F.lit(1)).cast("int").alias("n_terms"))
     model = checkpointed(n_terms.withColumn("model", F.lit(None).cast("array<double>")))
     bounds = None
     for step in range(max_iter):
-        rows = chunks.join(model, "_group").mapInArrow(_round(n_topics, seed, precision), "_group string, _term int, expected array<double>")
+        rows = attach(chunks, model, ["_group"], "inner").mapInArrow(_round(n_topics, seed, precision), "_group string, _term int, expected array<double>")
         sums = F.array(*(F.sum(F.get("expected", k)) for k in range(n_topics)))
         summed = checkpointed(rows.groupBy("_group", "_term").agg(sums.alias("sums"), F.max(F.get("expected", F.lit(0))).alias("own")))
         bound = summed.filter("_term < 0").groupBy("_group").agg(F.sum(F.when(F.col("_term") == -1, F.get("sums", F.lit(0))).otherwise(F.col("own"))).alias("bound"))
@@ -202,7 +206,7 @@ def topics_lda_per_group(
         model = summed.filter("_term >= 0").groupBy("_group").agg(F.count(F.lit(1)).cast("int").alias("n_terms"), values.alias("model"))
     model = checkpointed(model)
 
-    placed = chunks.join(model, "_group").mapInArrow(_assigned(n_topics, seed, precision), "_group string, _doc string, topic_id int, topic_score double")
+    placed = attach(chunks, model, ["_group"], "inner").mapInArrow(_assigned(n_topics, seed, precision), "_group string, _doc string, topic_id int, topic_score double")
     given = [c for c in messages.columns if c not in ("topic_id", "topic_score")]
     annotated = named.select(*given, "_group", "_doc").join(placed, ["_group", "_doc"], "left").select(
         *given, F.coalesce("topic_id", F.lit(0)).alias("topic_id"), F.coalesce("topic_score", F.lit(1 / n_topics)).alias("topic_score")

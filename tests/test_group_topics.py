@@ -102,3 +102,24 @@ def test_planted_topics_of_many_groups(spark):
 def test_no_messages(spark):
     placed, table, bounds = G.topics_lda_per_group(frame(spark, {"a": ["x"]}).limit(0), ["seq"], 3, max_iter=2)
     assert placed.collect() == table.collect() == bounds.collect() == []
+
+
+def test_chunks_of_one_group_are_worked_on_in_many_tasks(spark, tmp_path, monkeypatch):
+    whole = G._round
+
+    def told(*options):
+        run = whole(*options)
+
+        def inner(batches):
+            from pyspark import TaskContext
+
+            for batch in batches:
+                if batch.num_rows:
+                    (tmp_path / str(TaskContext.get().partitionId())).touch()
+                yield from run([batch])
+
+        return inner
+
+    monkeypatch.setattr(G, "_round", told)
+    G.topics_lda_per_group(frame(spark, {"a": [f"one two three{i % 7}" for i in range(60)]}), ["seq"], 2, max_iter=1, chunk=5)
+    assert len(list(tmp_path.iterdir())) > 1
