@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.once import unnest
-from parley.session import attach
+from parley.session import attach, checkpointed
 
 LONGEST = 6
 STEM = 2
@@ -69,8 +69,9 @@ def extended_lemmas(messages: DataFrame, lemmas: DataFrame, tokens: str = "token
     Endings are looked up once for each different word, not for each token.
     """
     longest = int(rule_options.get("longest", LONGEST))
+    lemmas = checkpointed(lemmas.select("word", "value"))  # read three times
     known = lemmas.filter("word is not null").select("word").distinct()
     occurring = unnest(messages, [], tokens, "word").distinct()
     others = occurring.join(known, "word", "left_anti")
     ruled = ruled_lemmas(others, lemma_rules(lemmas, **rule_options), longest)
-    return lemmas.select("word", "value").unionByName(ruled)
+    return lemmas.unionByName(ruled)

@@ -23,6 +23,7 @@ from parley.plans.queries.views import (
     winner_sql,
     words_sql,
 )
+from parley.session import saved
 
 W = "WITH " + CHAT
 WD = "WITH " + DOCS
@@ -321,7 +322,9 @@ ruled AS (SELECT word, left(word, length(word) - cut) || added AS value FROM oth
 
 def _taught(spark, d):
     tokens = clean.words_of(F.col("message"))
-    rows = computed_once(document_messages(spark, d).select("seq", "message"), "tokens", tokens)
+    rows = computed_once(document_messages(spark, d).select("message"), "tokens", tokens)
+    # read once for the word table and once for the other words
+    rows = saved(rows.select("tokens"), "tokens")
     known = unnest(rows, [], "tokens", "word").distinct().filter(F.length("word") % 2 == 0)
     return rows, known.withColumn("value", F.regexp_replace("word", _STEMS, ""))
 

@@ -41,3 +41,22 @@ def test_cleaning_with_rules(spark):
     assert ruled["cleaned_message"] == "marcher regarder chanter village"
     table = extended_lemmas(spark.createDataFrame([(["chantent", "restons"],), (None,)], "tokens array<string>"), lemmas)
     assert sorted(set(map(tuple, table.collect())) - set(forms(STEMS))) == [("restons", "rester")]
+
+
+def test_the_word_table_is_computed_once(spark):
+    from pyspark.sql import functions as F
+
+    from parley.operators.lemma_rules import extended_lemmas
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(word):
+        seen.add(1)
+        return word
+
+    table = spark.createDataFrame([("walking", "walk"), ("talking", "talk"), ("baking", "bak")], "word string, value string")
+    lemmas = table.withColumn("word", F.udf(told, "string").asNondeterministic()("word"))
+    rows = spark.createDataFrame([(["joking", "walking"],)], "tokens array<string>")
+    got = {tuple(r) for r in extended_lemmas(rows, lemmas).collect()}
+    assert got == {("walking", "walk"), ("talking", "talk"), ("baking", "bak"), ("joking", "jok")}
+    assert seen.value == 3
