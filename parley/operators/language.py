@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,7 +89,9 @@ def language_model(labelled: DataFrame, text: str = "message", label: str = "lan
     language.  The texts are read once; counts alone are shuffled.
     """
     known = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = checkpointed(unnest(known, [F.col(label).alias("lang")], letter_trigrams(F.col(text)), "word").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
+    words = unnest(known, [F.col(label).alias("lang")], T.split_words(F.col(text)), "word").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    # the trigrams of each different word, as often as the word occurs
+    counts = checkpointed(unnest(words, ["lang", "n"], letter_trigrams(F.col("word")), "word").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     languages = tuple(sorted(r["lang"] for r in counts.select("lang").distinct().collect()))
     if not languages:
         raise ValueError("no text with a known language")
@@ -98,12 +102,53 @@ def language_model(labelled: DataFrame, text: str = "message", label: str = "lan
     return LanguageModel(languages, kept.select("word", F.array(*value).alias("value")))
 
 
+def _inline_values(model: LanguageModel) -> dict[str, list[int]] | None:
+    """The least value of each trigram, for a table small enough to travel with
+    the tasks; None for a larger one or one with gaps."""
+    from parley.operators.clean import INLINE_WORDS  # that module imports this one
+
+    table = model.grams.filter("word is not null").groupBy("word").agg(F.min("value").alias("value"))
+    rows = table.limit(INLINE_WORDS + 1).collect()
+    whole = all(r["value"] is not None and len(r["value"]) == len(model.languages) and None not in r["value"] for r in rows)
+    return {r["word"]: list(r["value"]) for r in rows} if whole and len(rows) <= INLINE_WORDS else None
+
+
+def _word_sums(values: dict[str, list[int]], n_languages: int):
+    """A UDF: the words of a text -> the sums of their known trigrams' values, null
+    without any.  A batch looks every different word up once."""
+
+    @F.arrow_udf("array<bigint>")
+    def sums(words: pa.Array) -> pa.Array:
+        sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        table = np.zeros((len(coded.dictionary), n_languages + 1), dtype=np.int64)  # last: known trigrams
+        for row, word in enumerate(coded.dictionary.to_pylist()):
+            padded = f" {word} "
+            found = [v for i in range(len(word)) if (v := values.get(padded[i : i + 3])) is not None]
+            if found:
+                table[row, :-1], table[row, -1] = np.sum(found, axis=0), len(found)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        some, starts = sizes > 0, np.cumsum(sizes) - sizes
+        out = np.zeros((len(sizes), n_languages + 1), dtype=np.int64)
+        for k in range(n_languages + 1):
+            if len(at):
+                out[some, k] = np.add.reduceat(table[at, k], starts[some])
+        return pa.array([row[:-1] if row[-1] else None for row in out.tolist()], pa.list_(pa.int64()))
+
+    return sums
+
+
 def language_scores(messages: DataFrame, model: LanguageModel, text: str = "message", prefix: str = "_v_") -> DataFrame:
     """Add a column per language with the log probability of the message's known
     trigrams, null without any."""
     from parley.operators.clean import values_for_tokens  # that module imports this one
 
     kept = messages.columns
+    values = _inline_values(model)
+    if values is not None:
+        words = computed_once(messages, "_words", T.split_words(F.coalesce(F.col(text), F.lit(""))))
+        rows = computed_once(words, "_sums", _word_sums(values, len(model.languages))("_words"))
+        return rows.select(*kept, *(F.get("_sums", i).alias(f"{prefix}{lang}") for i, lang in enumerate(model.languages)))
     rows = computed_once(messages, "_grams", letter_trigrams(F.col(text)))
     rows = values_for_tokens(rows, model.grams, None, "_found", "array<bigint>", tokens="_grams")
     rows = computed_once(rows, "_found", F.filter("_found", lambda v: v.isNotNull()))

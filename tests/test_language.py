@@ -82,3 +82,17 @@ def test_held_out_documents(spark):
     for texts in (held, bare.filter("length(message) > 20")):
         right = L.message_language(texts, model=model).agg(F.avg((F.col("language") == F.col("true_lang")).cast("double"))).first()[0]
         assert right >= 0.95
+
+
+def test_sums_by_word_equal_those_by_trigram(spark, model, monkeypatch):
+    from parley.operators import clean
+
+    texts = ["Wald und Wetter und Wald", "", None, "zzz", "Forêt 😀 l'été", "a", "😀😀", "nothing_at all, woods"]
+    given = rows(spark, [("x", t) for t in texts]).repartition(2)
+    names = [f"_v_{lang}" for lang in model.languages]
+    quick = L.language_scores(given, model)
+    assert "ArrowEvalPython" in quick._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in quick.orderBy("seq").select(*names).collect()]
+    monkeypatch.setattr(clean, "INLINE_WORDS", 0)
+    assert got == [tuple(r) for r in L.language_scores(given, model).orderBy("seq").select(*names).collect()]
+    assert got[1] == got[2] == (None,) * 3 and got[0][0] is not None
