@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from parley.operators.clean import clean_messages
 from parley.operators.language import SAMPLE_MESSAGES, detect_language
-from parley.session import attach
+from parley.session import attach, spread
 
 _FOLDER = re.compile(r"(batch|merged)=(\d+)")
 ORDER = ("timestamp", "path", "block", "seq")
@@ -206,7 +206,7 @@ def write_cleaned(
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        t.raw.write(batch, number)
+        t.raw.write(spread(batch), number)  # a batch of few files is work for all cores
         rows = t.raw.read_batch(spark, number)
         t.first.write(rows, number)
         touched = rows.select(*keys).distinct()

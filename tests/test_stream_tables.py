@@ -109,3 +109,15 @@ def test_an_empty_batch(spark, tmp_path):
     target = str(tmp_path / "cleaned")
     run_batches(spark, tmp_path, lambda s: tables.write_cleaned(s, target), [[], rows()[:3], []])
     assert tables.read_cleaned(spark, target).count() == 3
+
+
+def test_a_batch_of_one_file_is_work_for_all_cores(spark, tmp_path):
+    import datetime as dt
+
+    rows = [(dt.datetime(2024, 1, 1, 0, i), "g", "text", f"some words of message number {i}", i) for i in range(50)]
+    given = spark.createDataFrame(rows, "timestamp timestamp, group_name string, msg_type string, message string, seq long")
+    given.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(given.schema).parquet(str(tmp_path / "in"))
+    tables.write_cleaned(stream, str(tmp_path / "out"), order=("timestamp", "seq")).trigger(availableNow=True).start().awaitTermination()
+    assert len(list((tmp_path / "out/raw/batch=000000000000").glob("*.parquet"))) > 1
+    assert tables.read_cleaned(spark, str(tmp_path / "out")).count() == 50
