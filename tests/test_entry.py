@@ -54,3 +54,28 @@ def test_every_query_agrees_with_its_sql():
         capture_output=True, text=True, timeout=1500,
     )
     assert run.returncode == 0, run.stdout[-4000:]
+
+
+def test_texts_are_tokenised_once(spark, tmp_path):
+    from parley.plans.queries import QUERIES
+
+    rows = [(i, f"one two three four five{i % 3}", "en", "src0", 20) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("sentiment_phrases", "topics_lda_groups"):
+        files = QUERIES[name](spark, str(tmp_path)).inputFiles()
+        assert not any("documents.parquet" in f for f in files), name
+
+
+def test_parts_of_a_table_are_bounded(spark, tmp_path, monkeypatch):
+    import os
+
+    from parley import session
+
+    folder = tmp_path / "a table"
+    spark.range(5000).selectExpr("id", "md5(cast(id as string)) t").coalesce(1).write.parquet(str(folder))
+    size = sum(os.path.getsize(f) for f in folder.glob("*.parquet"))
+    read = spark.read.parquet(str(folder))
+    monkeypatch.setattr(session, "PART_BYTES", 10_000)
+    assert session.spread(read, "id").rdd.getNumPartitions() == -(-size // 10_000) > 4
+    monkeypatch.setattr(session, "PART_BYTES", 1 << 30)
+    assert session.spread(read, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
