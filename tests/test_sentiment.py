@@ -221,3 +221,15 @@ def test_long_phrases_are_refused(spark):
     long = spark.createDataFrame([("a b c d e f", 1.0)], "phrase string, value double")
     with pytest.raises(ValueError, match="up to 5 words"):
         S.sentiment_lexicon(table(spark, ["a"]), lexicon(spark), ["seq"], long)
+
+
+def test_words_far_from_modifiers_keep_their_values(spark):
+    """Looking at the neighbours of every word gives the same as of those beside modifiers."""
+    odd = ["good", "bad", "no", "least", "at", "very", "never", "so", "this", "without", "doubt", "or", "nor", "but", "hardly", "x", "y", "dont"]
+    texts = [" ".join(odd[(i * 7 + j * j * (i % 5 + 1) + j) % len(odd)] for j in range(12)) for i in range(200)]
+    values = {"good": 1.9, "bad": -2.5, "no": -1.2, "doubt": -1.5, "so": 0.5}
+    rows = spark.createDataFrame([(t.split(), [values.get(w) for w in t.split()]) for t in texts], "w array<string>, v array<double>")
+    rows = rows.withColumns({"at": F.array_position("w", "but") - 1, "marks": S.modifies(F.col("w")), "all": F.transform("w", lambda _: F.lit(True))})
+    total = lambda marks: S.total_valence(F.col("w"), F.col("v"), F.col("at"), F.col(marks))
+    got = rows.select(total("marks").alias("a"), total("all").alias("b"), F.exists("marks", lambda m: ~m).alias("some")).collect()
+    assert all(r.a == r.b for r in got) and any(r.some for r in got) and len({r.a for r in got}) > 20

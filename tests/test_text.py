@@ -4,9 +4,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from parley.functions import patterns as P
 from parley.functions import text as T
 from parley.functions.dates import message_timestamp, whole_days
 from parley.functions.lookup import word_lookup
+from parley.operators.clean import words_of
 from tests.conftest import ts
 
 
@@ -132,3 +134,18 @@ def test_file_names(spark):
     got = rows.select(T.file_stem(F.col("p")).alias("s"), T.file_suffix(F.col("p")).alias("x")).collect()
     assert [r["s"] for r in got] == ["_chat", "Famille.v2", "b", ".hidden", "b"]
     assert [r["x"] for r in got] == [".txt", ".zip", "", "", ""]
+
+
+ODD = ["plain text, 5 words", "a\x00b\x08 c", "l\u2019été à la mer", "no\u2003break\u00a0space\ttab\nline", "ab😀cd 1\ufe0f\u20e3 5#", "©opy ®ight", "mé\x01dia omis", "<Media omitted>x", "", "  ", "\x85a\u2028b", "Straße ΑΣ x_1 ½", None]
+
+
+def test_shortcuts_give_the_same_words(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "i int, t string")
+    whole = T.split_words(T.strip_emoji(T.strip_artefacts(T.normalize_encoding(F.col("t")))))
+    separators = F.filter(F.split(F.lower("t"), P.NON_WORD), lambda w: w != "")
+    spaces = F.filter(F.split("t", f"[{P.SPACE}]+"), lambda w: w != "")
+    got = rows.select("t", T.is_plain(F.col("t")).alias("plain"), words_of(F.col("t")).alias("a"), whole.alias("b"),
+                      T.split_words(F.col("t")).alias("c"), separators.alias("d"), T.split_on_space(F.col("t")).alias("e"), spaces.alias("f")).collect()
+    for r in got:
+        assert (r.a, r.c, r.e) == (r.b, r.d, r.f), r
+    assert {r.t for r in got if r.plain} == {ODD[0], ODD[2], ODD[3], ODD[7], "", "  ", ODD[10], ODD[11]}
