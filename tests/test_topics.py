@@ -114,3 +114,13 @@ def test_word_frequency(rows):
     assert [(r["word"], r["n"]) for r in top] == [("cours", 3), ("examen", 3)]
     plan = topics.word_frequency(rows, 2, keys=["group_name"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_vectors_do_not_read_the_texts_again(rows, tmp_path):
+    spark = rows.sparkSession
+    rows.write.parquet(str(tmp_path / "texts"))
+    stored = spark.read.parquet(str(tmp_path / "texts"))
+    vectors, names = topics.tfidf_vectors(stored)
+    assert stored.inputFiles() and not vectors.inputFiles()
+    annotated, _ = topics.topics_lda(stored, n_topics=2)
+    assert not annotated.inputFiles() and annotated.columns == [*rows.columns, "topic_id", "topic_score"]
