@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import json
 import os
+import stat
 import time
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql.datasource import (
     DataSource,
@@ -62,6 +64,34 @@ def _row(root, kind, path, depth, info=None, error=None):
     return (root, kind, path, parent, depth, length, modified, error)
 
 
+def _entries(filesystem, folder: str) -> Iterator[tuple]:
+    """(path, is a folder, entry with size and mtime_ns) of the files and folders in a folder.
+
+    A local folder is read entry by entry, so that a task holds one of them and
+    not as many as the folder has; Arrow gives a list.
+    """
+    from pyarrow import fs
+
+    if filesystem.type_name != "local":
+        for entry in filesystem.get_file_info(fs.FileSelector(folder)):
+            if entry.type in (fs.FileType.File, fs.FileType.Directory):
+                yield entry.path, entry.type == fs.FileType.Directory, entry
+        return
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            try:
+                status = entry.stat()
+            except FileNotFoundError:  # gone by now, or a link to nothing
+                continue
+            if stat.S_ISREG(status.st_mode) or stat.S_ISDIR(status.st_mode):
+                yield f"{folder.rstrip('/')}/{entry.name}", stat.S_ISDIR(status.st_mode), _Status(status.st_size, status.st_mtime_ns)
+
+
+class _Status(NamedTuple):
+    size: int
+    mtime_ns: int
+
+
 def _list_export(path: str) -> Iterator[tuple]:
     """Rows of one export: itself, or the files of a folder to two levels."""
     from pyarrow import fs
@@ -72,13 +102,13 @@ def _list_export(path: str) -> Iterator[tuple]:
     if info.type == fs.FileType.NotFound:
         yield _row(path, None, path, 0, error=f"{path} does not exist")
     elif info.type == fs.FileType.Directory:
-        for entry in filesystem.get_file_info(fs.FileSelector(local)):
-            if entry.type == fs.FileType.File:
-                yield _row(path, "dir", scheme + entry.path, 1, entry)
-            elif entry.type == fs.FileType.Directory:
-                for inner in filesystem.get_file_info(fs.FileSelector(entry.path)):
-                    if inner.type == fs.FileType.File:
-                        yield _row(path, "dir", scheme + inner.path, 2, inner)
+        for at, is_folder, entry in _entries(filesystem, local):
+            if not is_folder:
+                yield _row(path, "dir", scheme + at, 1, entry)
+                continue
+            for inner_at, deeper, inner in _entries(filesystem, at):
+                if not deeper:
+                    yield _row(path, "dir", scheme + inner_at, 2, inner)
         # keeps an empty folder visible, so that it can be reported
         yield _row(path, "dir", scheme + local + "/", 0)
     elif _kind(local) is None:
@@ -89,12 +119,10 @@ def _list_export(path: str) -> Iterator[tuple]:
 
 
 def _list_landing(folder: str) -> Iterator[str]:
-    from pyarrow import fs
-
     filesystem, local = open_filesystem(folder)
-    for entry in filesystem.get_file_info(fs.FileSelector(local)):
-        if entry.type == fs.FileType.Directory or _kind(entry.path):
-            yield _scheme(folder, local) + entry.path
+    for at, is_folder, _ in _entries(filesystem, local):
+        if is_folder or _kind(at):
+            yield _scheme(folder, local) + at
 
 
 class _Paths(InputPartition):

@@ -5,7 +5,7 @@ import zipfile
 import pytest
 
 from parley.operators.parse import parse_exports
-from parley.sources import exports
+from parley.sources import exports, listing
 from parley.sources.blocks import message_blocks
 from tests.conftest import ANDROID, IOS
 
@@ -170,3 +170,27 @@ def test_media_of_folders_and_archives(spark, tree):
     member = [r["path"] for r in exports.media_files(listing).collect() if "!/" in r["path"]][0]
     with exports.open_media(member) as stream:
         assert stream.read() == b"0" * 100
+
+
+def test_a_local_folder_is_read_entry_by_entry(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    (tmp_path / "in").mkdir()
+    for name in ("a.mp3", "_chat.txt", "in/b.jpg"):
+        (tmp_path / name).write_bytes(b"x" * len(name))
+    (tmp_path / "link.mp4").symlink_to(tmp_path / "a.mp3")
+    (tmp_path / "nothing.mp4").symlink_to(tmp_path / "gone")
+    folder = str(tmp_path)
+
+    def listed():
+        return sorted(listing._list_export(folder), key=str), sorted(listing._list_landing(folder))
+
+    with monkeypatch.context() as patched:  # as any other filesystem is listed
+        patched.setattr(listing, "open_filesystem", lambda path: (fs.SubTreeFileSystem("/", fs.LocalFileSystem()), path[1:]))
+        patched.setattr(listing, "_scheme", lambda path, local: "/")
+        rows, inputs = listed()
+    monkeypatch.setattr(fs, "FileSelector", None)  # a list of all entries
+    got_rows, got_inputs = listed()
+    as_listed = [r[:2] + (r[2].lstrip("/"), r[3].lstrip("/")) + r[4:] for r in rows]
+    assert [r[:2] + (r[2].lstrip("/"), r[3].lstrip("/")) + r[4:] for r in got_rows] == as_listed
+    assert len(got_rows) == 5 and [i.lstrip("/") for i in got_inputs] == [i.lstrip("/") for i in inputs]
