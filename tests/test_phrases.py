@@ -52,3 +52,28 @@ def test_rare_phrases_stay_off_the_disk(spark, monkeypatch):
     assert sorted(r["phrase"] for r in table.collect()) == sorted(p for n, top in modelling.PHRASES.items() for p, _ in commonest(texts, n, top))
     written = sum(size for name, size in shuffle_files(spark).items() if name not in before)
     assert 0 < written < sum(len(" ".join(t)) for t in texts)
+
+
+def test_phrases_are_built_only_where_their_words_are(spark):
+    rows = spark.createDataFrame([("a b c a b".split(),), (["a"],), ([],)], "tokens array<string>")
+    table = spark.createDataFrame([("a b", 2), ("b a", 2), ("c a b", 3)], "word string, n int")
+    roles = S._roles(table, [3, 2])
+    out = rows.withColumn("_roles", S.F.transform("tokens", roles))
+    second = S.consecutive("tokens", 2, lambda i: S.F.get("_roles", i + 1).bitwiseAND(S._role(2, 1)) != 0)
+    got = [tuple(r) for r in out.select("_roles", second.alias("g")).collect()]
+    a, b, c = S._role(2, 0) | S._role(2, 1) | S._role(3, 1), S._role(2, 0) | S._role(2, 1) | S._role(3, 2), S._role(3, 0)
+    assert got == [([a, b, c, a, b], ["a b", "", "c a", "a b"]), ([a], []), ([], [])]
+
+
+@pytest.mark.parametrize("inline", [50_000, 0])
+def test_odd_phrases_hold_nothing(spark, monkeypatch, inline):
+    """The result with and without the lookup of a phrase's words."""
+    monkeypatch.setattr(S, "INLINE_WORDS", inline)
+    odd = [("", 9.0), (" ", 9.0), ("aa  bb", 9.0), (" aa", 9.0), ("bb cc", None), ("aa bb", 1.0), ("cc", 2.0), ("aa bb cc dd", -3.0)]
+    phrases = spark.createDataFrame(odd, "phrase string, value double")
+    texts = ["aa bb", "bb cc", "aa bb cc dd", "aa", "aa bb cc aa bb cc dd cc", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "seq int, cleaned_message string")
+    lexicon = spark.createDataFrame([("dd", 4.0)], "word string, value double")
+    got = {r.seq: r.sentiment_score for r in S.sentiment_lexicon(rows, lexicon, ["seq"], phrases).collect()}
+    total = [1.0, 2.0, -3.0, 0.0, 1.0 + 2.0 - 3.0 + 2.0, 0.0, 0.0]
+    assert got == {i: round(t / (t * t + S.ALPHA) ** 0.5, 4) for i, t in enumerate(total)}
