@@ -34,6 +34,23 @@ def test_frequent_phrases_are_exact(spark, monkeypatch, buckets):
         assert sorted(((r["phrase"], r["count"]) for r in got if r["n"] == n), key=lambda x: (-x[1], x[0].encode())) == commonest(texts, n, top[n])
 
 
+@pytest.mark.parametrize("buckets", [16, 128])
+def test_frequent_phrases_outside_the_heaviest_buckets(spark, monkeypatch, buckets):
+    """Buckets that reach the count of the last are counted too, whole or in parts."""
+    monkeypatch.setattr(S, "BUCKETS", buckets)
+    rounds = []
+    monkeypatch.setattr(S, "_phrase_counts", lambda *a, count=S._phrase_counts: rounds.append(a[-1]) or count(*a))
+    rng = random.Random(buckets)
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    texts = [[words[int(100 * rng.random() ** 2)] for _ in range(60)] for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "tokens array<string>")
+    top = {2: 2, 3: 1}
+    got = S.frequent_phrases(rows, top).collect()
+    for n in top:
+        assert sorted(((r["phrase"], r["count"]) for r in got if r["n"] == n), key=lambda x: (-x[1], x[0].encode())) == commonest(texts, n, top[n])
+    assert rounds == [buckets, buckets * S.FINER]
+
+
 def test_no_phrases(spark):
     rows = spark.createDataFrame([(None,), ([],), (["aa"],)], "tokens array<string>")
     assert S.frequent_phrases(rows, {2: 3, 3: 2}).collect() == []
